@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
+from pyspark.sql import types as T
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
@@ -21,6 +22,16 @@ def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def read_table(spark: SparkSession, path: str, columns: T.StructType | str) -> DataFrame:
+    """A Parquet table of declared columns; empty while nothing has been written."""
+    try:
+        return spark.read.schema(columns).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], columns)
+
+
 def upsert_partitions(incoming: DataFrame, path: str, keys: list[str], partition: str) -> None:
     """Upsert into a Parquet table partitioned by ``partition``, which must be one of ``keys``.
 

@@ -19,6 +19,7 @@ from wattscope.operators import (
     reconcile, registry, scenarios, serving, telemetry, upsert,
 )
 from wattscope.plans import testbed as bed
+from wattscope.plans.stream_catalog import STREAMS
 from wattscope.session import prepare
 from wattscope.settings import FleetSettings
 
@@ -134,9 +135,7 @@ def plant_metrics(spark, d):
 
 
 def plant_metrics_with_silent(spark, d):
-    # One day only, so that some plants stay silent, is what a microbatch would see.
-    day = bed.telemetry(spark, d).where("status = 'WARNING'")
-    return metrics.plant_metrics(day, _plant_ref(spark, d), S, include_silent=True)
+    return metrics.plant_metrics(bed.telemetry(spark, d), _plant_ref(spark, d), S, include_silent=True)
 
 
 def _windowed(spark, d, slide=None):
@@ -429,4 +428,4 @@ def _bind(query: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: _bind(q) for q in BATCH}
+    return {q.__name__: _bind(q) for q in (*BATCH, *STREAMS)}
