@@ -94,8 +94,11 @@ def unreferenced_days(dates: DataFrame, reference: DataFrame) -> DataFrame:
     return dates.join(reference.select("simulation_date").distinct(), "simulation_date", "left_anti")
 
 
-def totals(summary: DataFrame) -> DataFrame:
-    """Portfolio figures per day; a day without rows has no row. Performance is a ratio of sums."""
+def totals(summary: DataFrame, *more: Column) -> DataFrame:
+    """Portfolio figures per day; a day without rows has no row. Performance is a ratio of sums.
+
+    ``more`` are further aggregates over the same rows.
+    """
     sums = {
         "actual_generation_kwh": "actual_generation_kwh",
         "expected_generation_kwh": "expected_generation_kwh",
@@ -105,6 +108,6 @@ def totals(summary: DataFrame) -> DataFrame:
     }
     return (summary.groupBy("simulation_date")
             .agg(*(F.sum(c).alias(name) for name, c in sums.items()),
-                 F.count(F.lit(1)).alias("plant_count"))
+                 F.count(F.lit(1)).alias("plant_count"), *more)
             .withColumn("performance_pct", model.ratio_pct(F.col("actual_generation_kwh"),
                                                            F.col("expected_generation_kwh"))))

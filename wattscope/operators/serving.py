@@ -120,20 +120,18 @@ def daily_rows(summary: DataFrame, plants: DataFrame) -> DataFrame:
             .orderBy("simulation_date", F.asc_nulls_last("performance_pct"), "plant_id"))
 
 
-def performers(rows: DataFrame) -> DataFrame:
-    """Best and worst plant per day among those with a performance; ties by plant id."""
-    ranked = rows.where("performance_pct is not null")
-    who = F.struct("plant_id", "plant_name", "performance_pct")
-    order = F.struct("performance_pct", "plant_id")
-    return (ranked.groupBy("simulation_date")
-            .agg(F.max_by(who, order).alias("best"), F.min_by(who, order).alias("worst"))
-            .select("simulation_date", *(
-                F.col(f"{end}.{c}").alias(f"{end}_{c}")
-                for end in ("best", "worst") for c in ("plant_id", "plant_name", "performance_pct"))))
-
-
 def daily_report(summary: DataFrame, plants: DataFrame) -> DataFrame:
-    """Per reconciled day: portfolio totals with the best and the worst performer."""
-    rows = daily_rows(summary, plants)
-    return (totals(summary).join(performers(rows), "simulation_date", "left")
-            .orderBy("simulation_date"))
+    """Per reconciled day: portfolio totals with the best and the worst performer.
+
+    Ranked are the plants with a performance; ties go by plant id. One aggregation yields all
+    of it, so the summary is read once.
+    """
+    named = summary.join(plants.select("plant_id", "plant_name"), "plant_id", "left")
+    who = F.struct("plant_id", "plant_name", "performance_pct")
+    rank = F.when(F.col("performance_pct").isNotNull() & F.col("plant_name").isNotNull(),
+                  F.struct("performance_pct", "plant_id"))
+    report = totals(named, F.max_by(who, rank).alias("best"), F.min_by(who, rank).alias("worst"))
+    ends = [F.col(f"{end}.{c}").alias(f"{end}_{c}")
+            for end in ("best", "worst") for c in ("plant_id", "plant_name", "performance_pct")]
+    kept = [c for c in report.columns if c not in ("best", "worst")]
+    return report.select(*kept, *ends).orderBy("simulation_date")

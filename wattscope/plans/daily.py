@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from wattscope import schema
 from wattscope.operators import energy, feed, monitor, quality, reconcile
 from wattscope.operators.upsert import read_table, replace_partitions, upsert_partitions
+from wattscope.session import materialize
 from wattscope.settings import FleetSettings
 from wattscope.sources.archive import read_days
 from wattscope.sources.feed_csv import read_feed
@@ -71,7 +72,7 @@ def run_days(spark: SparkSession, archive: str, feed_path: str, plants: DataFram
     requested = F.col("feed_date").between(F.lit(first), F.lit(last))
 
     rows, files = read_feed(spark, feed_path)
-    assessed = feed.assess(rows.where(requested))
+    assessed = materialize(feed.assess(rows.where(requested)), "assessed-feed")
     feed_problems = feed.feed_problems(assessed, active)
     file_errors = files.where(requested & (F.col("level") == "error"))
     undelivered = (dates.join(assessed.select(F.col("feed_date").alias("simulation_date")).distinct(),

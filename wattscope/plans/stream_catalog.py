@@ -3,8 +3,6 @@ with ``availableNow``, and the tables the stream leaves behind are the result.""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +11,7 @@ from pyspark.sql import functions as F
 from wattscope.operators import energy, metrics, reconcile, registry, telemetry
 from wattscope.plans import daily
 from wattscope.plans import testbed as bed
-from wattscope.session import checkpoint_root
+from wattscope.session import new_folder
 from wattscope.settings import FleetSettings
 from wattscope.sources import feed_csv
 from wattscope.sources.archive import read_days, write_archive
@@ -29,20 +27,13 @@ FIRST, LAST = date(2024, 1, 1), date(2024, 1, 30)
 GAP_SECONDS = 3 * 86400
 
 
-def _workspace(spark: SparkSession, name: str) -> str:
-    """A new folder for one run, in the shared folder where the cluster names one."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    root = checkpoint_root(spark, configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return f"{root}/wattscope-{name}-{uuid.uuid4().hex}"
-
-
 def _landed(spark: SparkSession, sf_dir: str, work: str) -> DataFrame:
     bed.raw_records(spark, sf_dir).write.parquet(f"{work}/records")
     return file_records(spark, f"{work}/records")
 
 
 def stream_valid(spark, d):
-    work = _workspace(spark, "valid")
+    work = new_folder(spark, "valid")
     events = telemetry.trusted(telemetry.parse(_landed(spark, d, work)), S.watermark)
     rows = events.select("event_id", "plant_id", "inverter_id", "irradiance_wm2", "status",
                          "availability", "event_time")
@@ -52,7 +43,7 @@ def stream_valid(spark, d):
 
 def stream_windowed_metrics(spark, d):
     """Windows still open when the records end are not written; that is append mode."""
-    work = _workspace(spark, "windows")
+    work = new_folder(spark, "windows")
     plants = registry.plant_reference(bed.plants(spark, d), bed.inverters(spark, d))
     events = telemetry.trusted(telemetry.parse(_landed(spark, d, work)), S.watermark)
     rows = metrics.windowed_plant_metrics(events, plants, S, "6 hours")
@@ -61,7 +52,7 @@ def stream_windowed_metrics(spark, d):
 
 
 def stream_quarantine(spark, d):
-    work = _workspace(spark, "quarantine")
+    work = new_folder(spark, "quarantine")
     judged = telemetry.judge(telemetry.parse(_landed(spark, d, work)))
     sinks.write_quarantine(judged, f"{work}/ckpt", path=f"{work}/out", trigger=NOW).awaitTermination()
     reason = F.get_json_object("value", "$.rejection_reason").alias("rejection_reason")
@@ -78,13 +69,13 @@ def _archived(spark, d, work):
 
 def stream_archive_roundtrip(spark, d):
     """Archived by the stream, read back by day: the daily actuals of the records."""
-    path = _archived(spark, d, _workspace(spark, "archive"))
+    path = _archived(spark, d, new_folder(spark, "archive"))
     return energy.plant_actuals(read_days(spark, path, FIRST, LAST), S)
 
 
 def stream_alert_lifecycle(spark, d):
     """A week of records per microbatch, the query stopped and started again in between."""
-    work = _workspace(spark, "alerts")
+    work = new_folder(spark, "alerts")
     records = bed.raw_records(spark, d)
     week = F.floor(F.unix_timestamp("timestamp") / WEEK)
     low, high = records.agg(F.min(week), F.max(week)).first()
@@ -99,7 +90,7 @@ def stream_alert_lifecycle(spark, d):
 
 def stream_silence(spark, d):
     """Alert changes by event-time timers, silence included."""
-    work = _workspace(spark, "silence")
+    work = new_folder(spark, "silence")
     events = telemetry.trusted(telemetry.parse(_landed(spark, d, work)), S.watermark)
     inverters = registry.inverter_reference(bed.inverters(spark, d))
     changes = silence.alert_changes(silence.windowed_latest(events, "6 hours"), inverters,
@@ -110,7 +101,7 @@ def stream_silence(spark, d):
 
 def daily_job(spark, d):
     """Feed files and archive in, published summaries out, for the whole month in one run."""
-    work = _workspace(spark, "daily")
+    work = new_folder(spark, "daily")
     archive = _archived(spark, d, work)
     feed_csv.write_feed(bed.daily_reference(spark, d), f"{work}/feed")
     tables = daily.DailyTables(f"{work}/tables")

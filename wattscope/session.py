@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_CONF = {
     # Days and windows are UTC everywhere.
@@ -38,10 +39,32 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpoint_root(spark: SparkSession, fallback: str) -> str:
-    """The shared folder the cluster names for checkpoints; ``fallback`` only where none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    root = configured or fallback
-    if "://" not in root and not os.path.isabs(root):
-        raise ValueError(f"checkpoint folder must be absolute: {root}")
-    return root.rstrip("/")
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local session (tests) gets a temporary one where none is named: on a cluster a
+    machine's own folder would be lost with the machine.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder all executors share")
+    own = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    return f"{shared_folder(spark)}/wattscope-{label}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back.
+
+    For a reduced set that several branches of a plan read: the input behind it is scanned
+    once, and losing an executor later repeats only what comes after.
+    """
+    path = new_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
