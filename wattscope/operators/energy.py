@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattscope.functions import model
+from wattscope.operators.pick import first_per_key
 from wattscope.settings import FleetSettings
 
 METER = ("simulation_date", "plant_id", "inverter_id")
@@ -35,11 +36,10 @@ def _rise(reading: Column, previous: Column) -> Column:
 def energy_increments(events: DataFrame, s: FleetSettings = FleetSettings()) -> DataFrame:
     """Every reading with ``energy_increment_kwh``, what it adds to its inverter's day."""
     cut = _sliced(events, s.slice_seconds)
-    closing = (cut.groupBy(*_SLICE)
-               .agg(F.max_by("energy_today_kwh", F.struct(*_ORDER)).alias("closing_kwh"))
-               .withColumn("carried_kwh", F.lag("closing_kwh").over(
-                   Window.partitionBy(*METER).orderBy("slice")))
-               .drop("closing_kwh"))
+    last = first_per_key(cut.select(*_SLICE, *_ORDER, "energy_today_kwh"), _SLICE,
+                         [F.desc(c) for c in _ORDER])
+    closing = last.select(*_SLICE, F.lag("energy_today_kwh").over(
+        Window.partitionBy(*METER).orderBy("slice")).alias("carried_kwh"))
     local = Window.partitionBy(*_SLICE).orderBy(*_ORDER)
     read = (cut.withColumns({"before_kwh": F.lag("energy_today_kwh").over(local),
                              "place": F.row_number().over(local)})

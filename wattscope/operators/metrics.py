@@ -1,10 +1,9 @@
 """Live plant and portfolio metrics.
 
 Current power is the sum of each inverter's latest reading; average power is the mean over
-instants of the plant's total. Both come out of one pass: every event enters one group per
-inverter and one group per instant, both combined map-side, and one short second step folds
-the groups into a row per plant. No self-join, so the input is read once, and the same plan
-runs on a table and (windowed) on a stream.
+instants of the plant's total. On a table these are two reductions of the input that meet as
+one row per plant. A stream cannot join two of its own aggregations, so there every event
+enters one group per inverter and one per instant, and one further aggregation folds both.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from wattscope import schema
 from wattscope.functions import model
+from wattscope.operators.pick import first_per_key
 from wattscope.settings import FleetSettings
 
 ASSET = ("plant_id", "inverter_id")
@@ -21,11 +21,9 @@ RECENCY = ("event_time", "kafka_offset")
 
 
 def latest_reading(events: DataFrame, keys: tuple[str, ...] = ASSET) -> DataFrame:
-    """The most recent row per key; equal times are decided by the offset.
-
-    An aggregate, not a ranking: each task keeps one row per key before the shuffle, so the
-    exchange carries inverters, not readings, whatever the skew.
-    """
+    """The most recent row per key; equal times are decided by the offset."""
+    if not events.isStreaming:
+        return first_per_key(events, keys, [F.desc(c) for c in RECENCY])
     rest = [c for c in events.columns if c not in keys]
     picked = events.groupBy(*keys).agg(
         F.max_by(F.struct(*rest), F.struct(*RECENCY)).alias("row"))
@@ -39,39 +37,54 @@ def power_timeline(events: DataFrame) -> DataFrame:
             .agg(F.sum("active_power_kw").alias("plant_power_kw")))
 
 
-def _is_online(reading: str) -> Column:
-    return (F.col(f"{reading}.status") != "OFFLINE") & (F.col(f"{reading}.availability") > 0)
+_READING = ("active_power_kw", "irradiance_wm2", "status", "availability")
+
+
+def _fleet_measures(prefix: str = "") -> list[Column]:
+    """Figures of a plant from the latest readings of its inverters."""
+    power, sun, status, up = (F.col(prefix + c) for c in _READING)
+    return [F.sum(power).alias("current_power_kw"),
+            F.avg(sun).alias("avg_irradiance_wm2"),
+            F.count_if((status != "OFFLINE") & (up > 0)).alias("online_inverters"),
+            F.count("inverter_id").alias("reporting_inverters")]
+
+
+def _instant_measures(instant: str, power: str) -> list[Column]:
+    """Bounds and time average; the bounds of a plant's events are those of its instants."""
+    return [F.min(instant).alias("first_event_at"), F.max(instant).alias("last_event_at"),
+            F.avg(power).alias("avg_power_kw")]
 
 
 def _plant_state(events: DataFrame, span: list[str]) -> DataFrame:
     """Per plant (and per ``span`` column): latest state, bounds and time-averaged power."""
-    reading = F.struct("active_power_kw", "irradiance_wm2", "status", "availability")
-    recency = F.struct(*RECENCY)
-    # One copy of the event for its inverter, one (power only) for its instant.
+    if events.isStreaming:
+        return _plant_state_in_one_pass(events, span)
+    by = ["plant_id", *span]
+    current = (latest_reading(events.select(*by, "inverter_id", *_READING, *RECENCY),
+                              ("plant_id", "inverter_id", *span))
+               .groupBy(*by).agg(*_fleet_measures()))
+    timeline = events.groupBy(*by, "event_time").agg(F.sum("active_power_kw").alias("power"))
+    return current.join(timeline.groupBy(*by).agg(*_instant_measures("event_time", "power")), by)
+
+
+def _plant_state_in_one_pass(events: DataFrame, span: list[str]) -> DataFrame:
+    reading, recency = F.struct(*_READING), F.struct(*RECENCY)
     per_inverter = F.struct(
         F.col("inverter_id"), F.lit(None).cast("timestamp").alias("instant"),
         F.lit(None).cast("double").alias("power"), reading.alias("reading"),
         recency.alias("recency"))
+    # Power is all that counts at an instant.
     per_instant = F.struct(
         F.lit(None).cast("string").alias("inverter_id"), F.col("event_time").alias("instant"),
         F.col("active_power_kw").alias("power"),
         F.when(F.lit(False), reading).alias("reading"), F.when(F.lit(False), recency).alias("recency"))
-    facets = events.select("plant_id", *span, F.explode(F.array(per_inverter, per_instant)).alias("f"))
-    groups = (facets
+    groups = (events
+              .select("plant_id", *span, F.explode(F.array(per_inverter, per_instant)).alias("f"))
               .groupBy("plant_id", *span, F.col("f.inverter_id").alias("inverter_id"),
                        F.col("f.instant").alias("instant"))
-              .agg(F.max_by("f.reading", "f.recency").alias("last"),
-                   F.sum("f.power").alias("power")))
-    # The bounds of a plant's events are the bounds of its instants.
+              .agg(F.max_by("f.reading", "f.recency").alias("last"), F.sum("f.power").alias("power")))
     return groups.groupBy("plant_id", *span).agg(
-        F.min("instant").alias("first_event_at"),
-        F.max("instant").alias("last_event_at"),
-        F.avg("power").alias("avg_power_kw"),
-        F.sum("last.active_power_kw").alias("current_power_kw"),
-        F.avg("last.irradiance_wm2").alias("avg_irradiance_wm2"),
-        F.count_if(_is_online("last")).alias("online_inverters"),
-        F.count("inverter_id").alias("reporting_inverters"),
-    )
+        *_fleet_measures("last."), *_instant_measures("instant", "power"))
 
 
 def _judge_plants(state: DataFrame, s: FleetSettings) -> DataFrame:

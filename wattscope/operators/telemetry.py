@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattscope import schema
+from wattscope.operators.pick import first_per_key
 
 _CORRUPT = "_corrupt_record"
 
@@ -96,15 +97,9 @@ def deduplicate(events: DataFrame, watermark: str = "2 minutes") -> DataFrame:
     if events.isStreaming:
         return (events.withWatermark("event_time", watermark)
                 .dropDuplicatesWithinWatermark(["event_id"]))
-    arrival = [c for c in ("kafka_timestamp", "kafka_partition", "kafka_offset")
+    arrival = [F.col(c) for c in ("kafka_timestamp", "kafka_partition", "kafka_offset")
                if c in events.columns]
-    if not arrival:
-        return events.dropDuplicates(["event_id"])
-    rest = [c for c in events.columns if c != "event_id"]
-    first = events.groupBy("event_id").agg(
-        F.min_by(F.struct(*rest), F.struct(*arrival)).alias("copy"))
-    return first.select(*(F.col("event_id") if c == "event_id" else F.col(f"copy.{c}").alias(c)
-                          for c in events.columns))
+    return first_per_key(events, ["event_id"], arrival) if arrival else events.dropDuplicates(["event_id"])
 
 
 def trusted(parsed: DataFrame, watermark: str = "2 minutes") -> DataFrame:

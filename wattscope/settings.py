@@ -25,7 +25,7 @@ class FleetSettings:
     stale_after_seconds: int = 60
     # An inverter-day is cut into pieces of this many seconds so that one busy
     # inverter is spread over many tasks; results do not depend on it.
-    slice_seconds: int = 900
+    slice_seconds: int = 3600
 
     def __post_init__(self) -> None:
         if self.reference_irradiance_wm2 <= 0:
