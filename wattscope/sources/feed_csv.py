@@ -44,7 +44,7 @@ def read_feed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     if not kinds:
         raise FeedError(f"no feed file at {path}")
 
-    frames, problems = [], []
+    frames, problems, readable = [], [], []
     for header in kinds:
         names = [n.strip().strip('"').lstrip("﻿") for n in header.split(",")]
         missing = [c for c in schema.FEED_COLUMNS if c not in names]
@@ -58,6 +58,7 @@ def read_feed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
                     F.lit(problem).alias("problem"), F.lit(", ".join(columns)).alias("detail")))
         if missing:
             continue
+        readable.append(header)
         layout = T.StructType([T.StructField(n if n in schema.FEED_COLUMNS else f"extra_{i}", T.StringType())
                                for i, n in enumerate(names)])
         rows = (spark.read.schema(layout).option("header", True).csv(path).select(
@@ -75,7 +76,7 @@ def read_feed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         for frame in frames[1:]:
             rows = rows.unionByName(frame)
     placed = _with_position(rows)
-    empty = (headers.select("feed_path")
+    empty = (headers.where(F.col("header").isin(readable)).select("feed_path")
              .join(rows.select("feed_path"), "feed_path", "left_anti")
              .select(_feed_date(F.col("feed_path")).alias("feed_date"), F.lit("error").alias("level"),
                      F.lit("NO_ROWS").alias("problem"), F.lit("").alias("detail")))
