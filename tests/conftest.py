@@ -18,7 +18,9 @@ def spark():
     session = build_session("tests", "local[4]", {
         "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "6g",
-        "spark.log.level": "ERROR"})
+        "spark.log.level": "ERROR",
+        # Compiling costs more than it saves on a handful of rows.
+        "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"})
     yield session
     session.stop()
 

@@ -263,7 +263,8 @@ _VIEWS: dict[str, str] = {
         UNION ALL
         SELECT DISTINCT feed_date, NULL, NULL, CASE nth WHEN 7 THEN 'DATES_MIXED' ELSE 'DATE_NOT_REQUESTED' END,
                CASE nth WHEN 7 THEN '2024-01-07..2024-01-08' ELSE '2024-01-10..2024-01-10' END
-        FROM feed_rows WHERE nth IN (7, 9)""",
+        FROM feed_rows
+        WHERE nth = 9 OR (nth = 7 AND 8 IN (SELECT n_nationkey FROM sites))""",
     "script": """
         SELECT ['INV_UNDERPERFORMANCE', 'INV_OFFLINE', 'TELEMETRY_GAP', 'RECOVERY'][least(n_regionkey + 1, 4)] AS scenario,
                n_nationkey * 12 * 288 AS w_start, (n_nationkey * 12 + 9) * 288 AS w_end,
@@ -557,8 +558,8 @@ _QUERIES: dict[str, str] = {
                TIMESTAMP '2024-02-01' AS last_success_at, 'the batch raised' AS message FROM events""",
     "display_units": f"""
         SELECT plant_id, CASE WHEN expected_power_kw IS NULL THEN '—'
-                              WHEN abs(expected_power_kw) >= 1000 THEN printf('%.2f MW', expected_power_kw / 1000)
-                              ELSE printf('%.1f kW', expected_power_kw) END AS expected,
+                              WHEN abs(expected_power_kw) >= 1000 THEN printf('%.2f MW', round(expected_power_kw / 1000, 2))
+                              ELSE printf('%.1f kW', round(expected_power_kw, 1)) END AS expected,
                CASE WHEN sec < 60 THEN CAST(sec AS VARCHAR) || 's ago'
                     WHEN CAST(round(sec / CAST(60 AS DOUBLE)) AS BIGINT) < 60 THEN CAST(CAST(round(sec / CAST(60 AS DOUBLE)) AS BIGINT) AS VARCHAR) || 'm ago'
                     ELSE CAST(CAST(round(round(sec / CAST(60 AS DOUBLE)) / 60) AS BIGINT) AS VARCHAR) || 'h ago' END AS age,
