@@ -55,16 +55,28 @@ def _instant_measures(instant: str, power: str) -> list[Column]:
             F.avg(power).alias("avg_power_kw")]
 
 
-def _plant_state(events: DataFrame, span: list[str]) -> DataFrame:
-    """Per plant (and per ``span`` column): latest state, bounds and time-averaged power."""
+def _plant_state(events: DataFrame, span: Column | None = None,
+                 pane: Column | None = None) -> DataFrame:
+    """Per plant (and per ``span``): latest state, bounds and time-averaged power.
+
+    Overlapping windows multiply rows. Both reductions therefore come first as far as they
+    can: readings to one per inverter and ``pane`` (the piece of time that lies in the same
+    windows throughout), power to one sum per instant. Only then are rows spread over windows.
+    """
+    def spread(df: DataFrame) -> DataFrame:
+        return df if span is None else df.withColumn("span", span)
+
     if events.isStreaming:
-        return _plant_state_in_one_pass(events, span)
-    by = ["plant_id", *span]
-    current = (latest_reading(events.select(*by, "inverter_id", *_READING, *RECENCY),
-                              ("plant_id", "inverter_id", *span))
+        return _plant_state_in_one_pass(spread(events), [] if span is None else ["span"])
+    by = ["plant_id"] if span is None else ["plant_id", "span"]
+    readings = events.select(*ASSET, *_READING, *RECENCY)
+    if pane is not None:
+        readings = latest_reading(readings.withColumn("pane", pane), (*ASSET, "pane")).drop("pane")
+    current = (latest_reading(spread(readings), ("inverter_id", *by))
                .groupBy(*by).agg(*_fleet_measures()))
-    timeline = events.groupBy(*by, "event_time").agg(F.sum("active_power_kw").alias("power"))
-    return current.join(timeline.groupBy(*by).agg(*_instant_measures("event_time", "power")), by)
+    timeline = spread(power_timeline(events))
+    return current.join(timeline.groupBy(*by).agg(
+        *_instant_measures("event_time", "plant_power_kw")), by)
 
 
 def _plant_state_in_one_pass(events: DataFrame, span: list[str]) -> DataFrame:
@@ -114,7 +126,7 @@ def plant_metrics(events: DataFrame, plant_reference: DataFrame,
     ``include_silent`` starts from the registry instead of from the events, so that a plant
     nobody heard from appears with zero output and everything offline.
     """
-    state = _plant_state(events, [])
+    state = _plant_state(events)
     joined = state.join(plant_reference, "plant_id", "full_outer" if include_silent else "left")
     if include_silent:
         joined = joined.fillna(0.0, ["current_power_kw", "avg_power_kw"]).fillna(
@@ -124,6 +136,13 @@ def plant_metrics(events: DataFrame, plant_reference: DataFrame,
             .select(*schema.PLANT_METRIC_COLUMNS))
 
 
+def _is_multiple(df: DataFrame, width: str, slide: str) -> bool:
+    w, s = df.sparkSession.sql(
+        f"SELECT unix_micros(timestamp_micros(0) + INTERVAL '{width}'), "
+        f"unix_micros(timestamp_micros(0) + INTERVAL '{slide}')").first()
+    return w % s == 0
+
+
 def windowed_plant_metrics(events: DataFrame, plant_reference: DataFrame,
                            s: FleetSettings = FleetSettings(), width: str | None = None,
                            slide: str | None = None) -> DataFrame:
@@ -132,9 +151,10 @@ def windowed_plant_metrics(events: DataFrame, plant_reference: DataFrame,
     The row's identity is the window, so it does not depend on how the stream was cut into
     microbatches. Works on tables and on streams (two chained aggregations, append mode).
     """
-    span = F.window("event_time", width or s.window_width, slide)
-    framed = events.withColumn("span", span)
-    state = _plant_state(framed, ["span"])
+    width = width or s.window_width
+    # A pane of one step serves only where windows consist of whole steps.
+    pane = F.window("event_time", slide) if slide and _is_multiple(events, width, slide) else None
+    state = _plant_state(events, F.window("event_time", width, slide), pane)
     judged = _judge_plants(state.join(plant_reference, "plant_id", "left"), s)
     return (judged
             .withColumns({"window_start": F.col("span.start"), "window_end": F.col("span.end")})

@@ -32,14 +32,16 @@ def schedule_problems(windows: DataFrame, day_seconds: float) -> DataFrame:
 
 
 def label_events(events: DataFrame, windows: DataFrame, reference_day_seconds: float,
-                 slot_seconds: int = 900) -> DataFrame:
+                 slot_seconds: int = 900, spread: int = 16) -> DataFrame:
     """Events with the scripted ``scenario`` covering them, NULL where none does.
 
     Windows are half-open, in seconds of a day of ``reference_day_seconds``, and are scaled to
     the real day. A missing plant or inverter in a window means all of them. A window is listed
     under each slot of the day it touches (at most 86400 / ``slot_seconds`` copies), so the
-    match is an equi-join on the slot with the exact bounds as a filter. Windows do not
-    overlap, hence at most one match per event.
+    match is an equi-join on the slot with the exact bounds as a filter. Spark broadcasts the
+    script while it is small; should it not be, a slot is divided by ``spread``, so that a busy
+    quarter of an hour does not meet in one task. Windows do not overlap, hence at most one
+    match per event.
     """
     scale = _SECONDS_PER_DAY / reference_day_seconds
     script = windows.select(
@@ -49,11 +51,13 @@ def label_events(events: DataFrame, windows: DataFrame, reference_day_seconds: f
     script = script.withColumn("slot", F.explode(F.sequence(
         F.floor(F.col("w_start") / slot_seconds),
         F.greatest(F.ceil(F.col("w_end") / slot_seconds) - 1, F.floor(F.col("w_start") / slot_seconds)))))
+    script = script.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     second = F.pmod(F.unix_micros("event_time"), F.lit(_SECONDS_PER_DAY * 1_000_000)) / 1e6
-    timed = events.withColumn("second", second).withColumn(
-        "slot", F.floor(F.col("second") / slot_seconds))
+    timed = events.withColumn("second", second).withColumns({
+        "slot": F.floor(F.col("second") / slot_seconds),
+        "share": F.pmod(F.xxhash64("event_id"), F.lit(spread)).cast("int")})
     e, w = timed.alias("e"), script.alias("w")
-    hit = ((F.col("e.slot") == F.col("w.slot"))
+    hit = ((F.col("e.slot") == F.col("w.slot")) & (F.col("e.share") == F.col("w.share"))
            & (F.col("e.second") >= F.col("w.w_start")) & (F.col("e.second") < F.col("w.w_end"))
            & (F.col("w.w_plant").isNull() | (F.col("w.w_plant") == F.col("e.plant_id")))
            & (F.col("w.w_inverter").isNull() | (F.col("w.w_inverter") == F.col("e.inverter_id"))))

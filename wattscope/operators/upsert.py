@@ -13,15 +13,6 @@ def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame
     return stored.join(incoming, keys, "left_anti").unionByName(incoming)
 
 
-def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
-
-
 def read_table(spark: SparkSession, path: str, columns: T.StructType | str) -> DataFrame:
     """A Parquet table of declared columns; empty while nothing has been written."""
     try:
@@ -35,19 +26,14 @@ def read_table(spark: SparkSession, path: str, columns: T.StructType | str) -> D
 def upsert_partitions(incoming: DataFrame, path: str, keys: list[str], partition: str) -> None:
     """Upsert into a Parquet table partitioned by ``partition``, which must be one of ``keys``.
 
-    Only the partitions that receive rows are read (pruned at run time by the join) and
-    replaced; writing the same rows again leaves the table as it is.
+    Only the partitions that receive rows are read and replaced; writing the same rows again leaves the table as it is.
     """
     if partition not in keys:
         raise ValueError(f"{partition} must belong to the key {keys}")
-    stored = read_if_exists(incoming.sparkSession, path)
-    merged = incoming
-    if stored is not None:
-        touched = incoming.select(partition).distinct()
-        kept = (stored.join(touched, partition, "left_semi")
-                .select(*(F.col(c).cast(incoming.schema[c].dataType).alias(c) for c in incoming.columns)))
-        merged = upsert(kept, incoming, keys)
-    replace_partitions(merged, path, [partition])
+    # A handful of partition values (days): as literals they prune before anything is listed.
+    touched = [r[0] for r in incoming.select(partition).distinct().collect()]
+    stored = read_table(incoming.sparkSession, path, incoming.schema).where(F.col(partition).isin(touched))
+    replace_partitions(upsert(stored, incoming, keys), path, [partition])
 
 
 def replace_partitions(rows: DataFrame, path: str, partitions: list[str]) -> None:

@@ -33,7 +33,7 @@ ARCHIVE = T.StructType([
 
 
 def write_archive(events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None,
-                  files_per_partition: int = 4) -> StreamingQuery:
+                  files_per_partition: int = 16) -> StreamingQuery:
     """Append accepted, normalized events; own checkpoint, so no other sink holds it up.
 
     Feed it events *before* deduplication: the stream's deduplication also drops late events,
