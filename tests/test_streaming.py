@@ -187,7 +187,7 @@ def test_silence_by_event_time(spark, work, land, fleet):
 
     def run():
         events = telemetry.trusted(telemetry.parse(records(spark, work)), S.watermark)
-        changes = silence.alert_changes(events, registry, 7200, S, silent_since=DAWN)
+        changes = silence.alert_changes(events, registry, "1 minute", 7200, S, silent_since=DAWN)
         sinks.write_table(changes, f"{work}/out", f"{work}/ckpt", NOW).awaitTermination()
 
     for h in range(0, 12):
@@ -206,7 +206,7 @@ def test_silence_by_event_time(spark, work, land, fleet):
 def test_faults_by_event_time(spark, work, land, fleet):
     registry = fleet(("PLANT_01", "INV_01", 1000.0))
     land(*(hourly(h, power=100.0 if 1 <= h <= 3 else 500.0) for h in range(6)))
-    changes = silence.alert_changes(telemetry.trusted(telemetry.parse(records(spark, work)), S.watermark), registry, 86400, S)
+    changes = silence.alert_changes(telemetry.trusted(telemetry.parse(records(spark, work)), S.watermark), registry, "1 minute", 86400, S)
     sinks.write_table(changes, f"{work}/out", f"{work}/ckpt", NOW).awaitTermination()
     got = sorted((r.last_observed_at.hour, r.change, r.observation_count, r.sum_loss_kw, r.ended_at and r.ended_at.hour)
                  for r in spark.read.parquet(f"{work}/out").collect())

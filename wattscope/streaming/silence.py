@@ -4,8 +4,8 @@ Unlike the microbatch form, an inverter counts as silent when event time has mov
 ``gap_after`` past its last reading, however the stream was cut into batches. While it stays
 silent it is observed as such every ``gap_after``; a reading ends the silence.
 
-Feed it one row per inverter and window (``windowed_latest``): a chatty inverter is reduced
-map-side before it meets its state.
+Readings are first reduced to one per inverter and window, map-side: a chatty inverter meets
+its state with at most one row per window.
 """
 
 from __future__ import annotations
@@ -136,15 +136,17 @@ class _Lifecycle(StatefulProcessor):
         return frame
 
 
-def alert_changes(latest: DataFrame, inverters: DataFrame, gap_after_seconds: int,
+def alert_changes(events: DataFrame, inverters: DataFrame, width: str, gap_after_seconds: int,
                   s: FleetSettings = FleetSettings(), silent_since=None) -> DataFrame:
     """Change log of alerts (CHANGES): OPENED, REFRESHED, RESOLVED.
 
-    ``latest`` is a watermarked stream of readings. With ``silent_since`` (an instant), every
-    inverter of the registry is awaited from then on, so one that never reports is found too.
+    ``events`` is a watermarked stream, observed once per ``width``. With ``silent_since`` (an
+    instant), every inverter of the registry is awaited from then on, so one that never reports
+    is found too.
     """
     registry = inverters.select(*ASSET, "rated_power_kw")
-    judged = diagnose(latest.join(registry, list(ASSET)), s).select(
+    observed = windowed_latest(events, width).join(registry, list(ASSET))
+    judged = diagnose(observed, s).select(
         *ASSET, "event_time", "alert_type", "severity", "message", "loss_kw")
     initial = None
     if silent_since is not None:
