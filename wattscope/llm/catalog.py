@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from wattscope.llm import packing
-from wattscope.llm.common import table
+from pyspark.sql import functions as F
+
+from wattscope.llm import packing, warc
+from wattscope.llm.common import new_folder, table
 
 
 def _word_vocabulary() -> str:
@@ -12,11 +14,25 @@ def _word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def archived_pages(archive):
+    """A row for each record of an archive of pages."""
+    number = lambda c: F.expr(f"try_cast(substring_index({c}, ':', -1) as bigint)")
+    return archive.where("kind = 'record'").select(
+        number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        number("refers_to").alias("refers_to"))
+
+
+def op2_warc(spark, d):
+    path = new_folder(spark, "warc")
+    warc.write_archive(table(spark, d, "pages"), path)
+    return archived_pages(warc.read_archive(spark, path, payloads=False))
+
+
 def op10_packing(spark, d):
     return packing.pack_documents(table(spark, d, "documents"), _word_vocabulary())
 
 
-QUERIES = (op10_packing,)
+QUERIES = (op2_warc, op10_packing)
 
 
 def queries():
