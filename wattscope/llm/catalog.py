@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wattscope.llm import packing, warc
+from wattscope.llm import packing, topk, warc
 from wattscope.llm.common import new_folder, table
 
 
@@ -28,11 +28,16 @@ def op2_warc(spark, d):
     return archived_pages(warc.read_archive(spark, path, payloads=False))
 
 
+def op5_topk(spark, d):
+    vectors = topk.integer_vectors(table(spark, d, "embeddings"), "vec_id", "embedding")
+    return topk.top_k(vectors, F.col("vec_id") % 100 == 0)
+
+
 def op10_packing(spark, d):
     return packing.pack_documents(table(spark, d, "documents"), _word_vocabulary())
 
 
-QUERIES = (op2_warc, op10_packing)
+QUERIES = (op2_warc, op5_topk, op10_packing)
 
 
 def queries():

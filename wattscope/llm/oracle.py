@@ -4,6 +4,29 @@ from __future__ import annotations
 
 SQL: dict[str, str] = {}
 
+_DIGIT = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (({bits} >> {shift}) & 31), 1)"
+_BITS = "('0x' || substr(sha1(payload), {at}, 5))::BIGINT"
+_BASE32 = " || ".join(_DIGIT.format(bits=_BITS.format(at=at), shift=shift)
+                      for at in range(1, 41, 5) for shift in (15, 10, 5, 0))
+
+SQL["op2_warc"] = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+     f AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS first_id FROM p)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM first_id OR first_id IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM f"""
+
+SQL["op5_topk"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::DOUBLE) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+           FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+     r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+                  vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
