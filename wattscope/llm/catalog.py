@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wattscope.llm import packing, topk, warc
-from wattscope.llm.common import new_folder, table
+from wattscope.llm import langid, packing, topk, warc
+from wattscope.llm.common import held_out, new_folder, table
 
 
 def _word_vocabulary() -> str:
@@ -22,6 +22,12 @@ def archived_pages(archive):
         number("refers_to").alias("refers_to"))
 
 
+def op1_langid(spark, d):
+    docs = table(spark, d, "documents")
+    model = langid.fit(docs, ~held_out(4, 2))
+    return langid.predict(docs.select("doc_id", held_out(4, 2).alias("held_out"), F.col("text").alias("_text")), model)
+
+
 def op2_warc(spark, d):
     path = new_folder(spark, "warc")
     warc.write_archive(table(spark, d, "pages"), path)
@@ -37,7 +43,7 @@ def op10_packing(spark, d):
     return packing.pack_documents(table(spark, d, "documents"), _word_vocabulary())
 
 
-QUERIES = (op2_warc, op5_topk, op10_packing)
+QUERIES = (op1_langid, op2_warc, op5_topk, op10_packing)
 
 
 def queries():
