@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wattscope.llm import langid, packing, topk, warc
+from wattscope.llm import langid, packing, quality, topk, warc
 from wattscope.llm.common import held_out, new_folder, table
 
 
@@ -34,6 +34,17 @@ def op2_warc(spark, d):
     return archived_pages(warc.read_archive(spark, path, payloads=False))
 
 
+def quality_model(spark, d):
+    """Learned from the labels of documents that are not held out."""
+    docs = table(spark, d, "documents").where(~held_out(3, 1))
+    return quality.fit(docs, table(spark, d, "labels"))
+
+
+def op3_quality(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", held_out(3, 1).alias("held_out"), "text")
+    return quality.judged(docs, quality_model(spark, d)).select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_topk(spark, d):
     vectors = topk.integer_vectors(table(spark, d, "embeddings"), "vec_id", "embedding")
     return topk.top_k(vectors, F.col("vec_id") % 100 == 0)
@@ -43,7 +54,7 @@ def op10_packing(spark, d):
     return packing.pack_documents(table(spark, d, "documents"), _word_vocabulary())
 
 
-QUERIES = (op1_langid, op2_warc, op5_topk, op10_packing)
+QUERIES = (op1_langid, op2_warc, op3_quality, op5_topk, op10_packing)
 
 
 def queries():
