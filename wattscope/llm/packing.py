@@ -22,6 +22,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -198,68 +199,69 @@ def pack(items: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 
 #: A single full stop or comma after a letter and before a blank is a token of its own in any case.
-TAIL = re.compile(r"(?<=[^\W\d_])([.,])(?= )")
+TAIL = re.compile(r"([.,])(?<=[^\W\d_][.,])(?= )")
 
 
 class WordCache:
     """Token ids of texts, by words: no token of this vocabulary reaches over a blank, so a text's ids are
-    its words' ids one after the other, and each distinct word is tokenized once in a worker.
+    its words' ids one after the other, and each distinct word is tokenized once in a worker. When
+    ``most_words`` are known, the later half is forgotten: frequent words come early.
 
     Capital sigma is left to the tokenizer with its whole text: its lower case depends on its neighbours
     in Python but not in the tokenizer.
     """
 
-    def __init__(self, tokenizer_json: str, most_words: int = 600_000):
+    def __init__(self, tokenizer_json: str, most_words: int = 900_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.most_words = most_words
-        self.clear()
-
-    def clear(self) -> None:
         self.place: dict[str, int] = {"": 0}
-        self.first, self.count, self.known = [0], [0], 0
+        #: Where the ids of each word begin in ``flat``, and where the last one ends.
+        self.bounds = np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 16, "<u4")
 
     def _learn(self, words: list[str]) -> None:
         for at in range(0, len(words), 2048):
             part = words[at:at + 2048]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids = got.ids
-                if self.known + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), "<u4")])
-                self.flat[self.known:self.known + len(ids)] = ids
-                self.place[word] = len(self.first)
-                self.first.append(self.known)
-                self.count.append(len(ids))
-                self.known += len(ids)
+            got = [x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            n = len(self.place)
+            ends = self.bounds[n] + np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))
+            while n + len(got) + 1 > len(self.bounds):
+                self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
+            while ends[-1] > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            self.flat[self.bounds[n]:ends[-1]] = np.fromiter(chain.from_iterable(got), "<u4")
+            self.bounds[n + 1:n + 1 + len(got)] = ends
+            self.place.update(zip(part, range(n, n + len(got)), strict=True))
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
         """Ids of each text, ``end`` after them."""
-        split = []
+        if len(self.place) > self.most_words:
+            self.place = dict(islice(self.place.items(), self.most_words // 2))
+        split: list[tuple[list[str], np.ndarray] | None] = []
         new: dict[str, None] = {}
         for text in texts:
             if "Σ" in text or "<|" in text:
                 split.append(None)
                 continue
             words = TAIL.sub(r" \1", text.lower().replace("\n", " ")).split(" ")
-            split.append(words)
-            new.update(dict.fromkeys(w for w in words if w not in self.place))
-        if new and len(self.place) + len(new) > self.most_words:
-            self.clear()
-            new = dict.fromkeys(w for words in split if words for w in words)
-        if new:
-            self._learn([w for w in new if w])
-        first, count = np.array(self.first, np.int64), np.array(self.count, np.int64)
+            at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+            new.update((words[i], None) for i in np.flatnonzero(at < 0).tolist())
+            split.append((words, at))
+        self._learn(list(new))
         out = []
-        for text, words in zip(texts, split, strict=True):
-            if words is None:
+        for text, found in zip(texts, split, strict=True):
+            if found is None:
                 ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
             else:
-                at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-                n = count[at]
+                words, at = found
+                for i in np.flatnonzero(at < 0).tolist():
+                    at[i] = self.place[words[i]]
+                first = self.bounds[at]
+                n = self.bounds[at + 1] - first
                 ends = np.cumsum(n)
-                ids = self.flat[np.repeat(first[at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+                ids = self.flat[np.repeat(first - ends + n, n) + np.arange(ends[-1])]
             out.append(np.append(ids, np.array([end], "<u4")))
         return out
 
