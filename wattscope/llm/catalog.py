@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wattscope.llm import langid, packing, quality, topk, warc
+from wattscope.llm import langid, packing, quality, topk, toxicity, warc
 from wattscope.llm.common import held_out, new_folder, table
 
 
@@ -50,11 +50,22 @@ def op5_topk(spark, d):
     return topk.top_k(vectors, F.col("vec_id") % 100 == 0)
 
 
+def toxicity_model(spark, d):
+    """Learned from the labels of documents that are not held out."""
+    docs = table(spark, d, "documents").where(~held_out(3, 1))
+    return toxicity.fit(docs, table(spark, d, "labels"))
+
+
+def op6_toxicity(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", held_out(3, 1).alias("held_out"), "text")
+    return toxicity.judged(docs, toxicity_model(spark, d)).select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_packing(spark, d):
     return packing.pack_documents(table(spark, d, "documents"), _word_vocabulary())
 
 
-QUERIES = (op1_langid, op2_warc, op3_quality, op5_topk, op10_packing)
+QUERIES = (op1_langid, op2_warc, op3_quality, op5_topk, op6_toxicity, op10_packing)
 
 
 def queries():
