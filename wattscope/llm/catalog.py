@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wattscope.llm import langid, packing, quality, topk, toxicity, warc
+from wattscope.llm import jaccard, langid, packing, quality, topk, toxicity, warc
 from wattscope.llm.common import held_out, new_folder, table
 
 
@@ -61,11 +61,15 @@ def op6_toxicity(spark, d):
     return toxicity.judged(docs, toxicity_model(spark, d)).select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_jaccard(spark, d):
+    return jaccard.near_copies(table(spark, d, "documents"))
+
+
 def op10_packing(spark, d):
     return packing.pack_documents(table(spark, d, "documents"), _word_vocabulary())
 
 
-QUERIES = (op1_langid, op2_warc, op3_quality, op5_topk, op6_toxicity, op10_packing)
+QUERIES = (op1_langid, op2_warc, op3_quality, op5_topk, op6_toxicity, op7_jaccard, op10_packing)
 
 
 def queries():
