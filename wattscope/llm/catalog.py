@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wattscope.llm import jaccard, langid, packing, quality, topk, toxicity, warc
+from wattscope.llm import decontam, jaccard, langid, packing, quality, topk, toxicity, warc
 from wattscope.llm.common import held_out, new_folder, table
 
 
@@ -65,11 +65,20 @@ def op7_jaccard(spark, d):
     return jaccard.near_copies(table(spark, d, "documents"))
 
 
+def op8_decontam(spark, d):
+    marked = decontam.mark(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"))
+    items = F.col("contamination.items")
+    return marked.select("doc_id", "contamination.n_words", F.size("contamination.positions").cast("long").alias("n_hit"),
+                         F.size(items).cast("long").alias("n_items"),
+                         F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
+                         decontam.is_contaminated().alias("contaminated"))
+
+
 def op10_packing(spark, d):
     return packing.pack_documents(table(spark, d, "documents"), _word_vocabulary())
 
 
-QUERIES = (op1_langid, op2_warc, op3_quality, op5_topk, op6_toxicity, op7_jaccard, op10_packing)
+QUERIES = (op1_langid, op2_warc, op3_quality, op5_topk, op6_toxicity, op7_jaccard, op8_decontam, op10_packing)
 
 
 def queries():

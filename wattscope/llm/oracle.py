@@ -27,6 +27,28 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DO
                   vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
 
+_WORDS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+SQL["op8_decontam"] = f"""
+WITH dw AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+     iw AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+     iwin AS (SELECT item_id, w, least(13, len(w)) AS n FROM iw WHERE len(w) > 0),
+     win AS (SELECT DISTINCT item_id, n, array_to_string(w[s:s + n - 1], ' ') AS g
+             FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM iwin)),
+     dg AS (SELECT doc_id, p, n, array_to_string(w[p:p + n - 1], ' ') AS g
+            FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p
+                  FROM dw CROSS JOIN (SELECT DISTINCT n FROM win))),
+     hit AS (SELECT doc_id, item_id, p, n FROM dg JOIN win USING (n, g)),
+     pos AS (SELECT doc_id, count(DISTINCT q) AS n_hit
+             FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hit) GROUP BY 1),
+     its AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items
+             FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hit) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
