@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wattscope.llm import decontam, jaccard, langid, packing, quality, topk, toxicity, warc
+from wattscope.llm import decontam, jaccard, langid, packing, pii, quality, topk, toxicity, warc
 from wattscope.llm.common import held_out, new_folder, table
 
 
@@ -45,6 +45,14 @@ def op3_quality(spark, d):
     return quality.judged(docs, quality_model(spark, d)).select("doc_id", "held_out", "score", "predicted")
 
 
+def op4_pii(spark, d):
+    found = pii.find(table(spark, d, "documents").select("doc_id", "text"))
+    of = lambda *kinds: F.filter("pii", lambda s: s["kind"].isin(*kinds))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in pii.PATTERNS]
+    return found.select("doc_id", *counts, F.sha2(listed(of(*pii.PATTERNS)).cast("binary"), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"))
+
+
 def op5_topk(spark, d):
     vectors = topk.integer_vectors(table(spark, d, "embeddings"), "vec_id", "embedding")
     return topk.top_k(vectors, F.col("vec_id") % 100 == 0)
@@ -78,7 +86,7 @@ def op10_packing(spark, d):
     return packing.pack_documents(table(spark, d, "documents"), _word_vocabulary())
 
 
-QUERIES = (op1_langid, op2_warc, op3_quality, op5_topk, op6_toxicity, op7_jaccard, op8_decontam, op10_packing)
+QUERIES = (op1_langid, op2_warc, op3_quality, op4_pii, op5_topk, op6_toxicity, op7_jaccard, op8_decontam, op10_packing)
 
 
 def queries():
