@@ -27,24 +27,30 @@ def held_out(modulus: int, remainder: int) -> Column:
     return F.coalesce(rest == remainder, F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """``docs`` with the non-null ``label`` as ``target``; columns of ``labels`` clash with nothing.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[DataFrame, dict[int, int]]:
+    """``doc_id, text, target`` of at most about ``most`` documents of either label (0, 1), and how many there are.
 
-    A document labelled twice with different values is left out: its label is not known.
+    Which documents are taken is decided on ids alone, by a hash, and texts are then read by a lookup of these
+    ids, so no text of another document moves. A document labelled twice with different values has no known
+    label. A rare label is taken whole.
     """
-    known = (labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-             .groupBy(F.col("doc_id").alias("_label_id"))
-             .agg(F.min(label).cast("int").alias("target"), F.max(label).cast("int").alias("_other"))
-             .where("target = _other").drop("_other"))
-    return docs.join(known, docs["doc_id"] == known["_label_id"]).drop("_label_id")
+    known = (labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id")
+             .agg(F.min(label).cast("int").alias("target"), F.max(label).cast("int").alias("other")).where("target = other")
+             .select("doc_id", "target").join(docs.select("doc_id").distinct(), "doc_id"))
+    counts = {r[0]: r[1] for r in known.groupBy("target").count().collect()}
+    taken = bounded_sample(known, "target", most, counts).select(F.col("doc_id").alias("_id"), "target")
+    own = docs.select("doc_id", "text")
+    # At most about 2 * most ids, whatever the tables hold.
+    return own.join(F.broadcast(taken), own["doc_id"] == taken["_id"]).select("doc_id", "text", "target"), counts
 
 
-def bounded_sample(df: DataFrame, label: str, most: int, size: Column | None = None) -> DataFrame:
+def bounded_sample(df: DataFrame, label: str, most: int, counts: dict | None = None) -> DataFrame:
     """About ``most`` rows of each value of ``label`` at most, chosen by a hash of doc_id.
 
     The share kept of each value follows from its count, so a rare value is taken whole.
     """
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+    if counts is None:
+        counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
     keep = F.lit(False)
     for value, n in counts.items():
         share = int(min(1.0, most / n) * 1_000_000)
@@ -53,4 +59,4 @@ def bounded_sample(df: DataFrame, label: str, most: int, size: Column | None = N
     return df.where(keep)
 
 
-__all__ = ["BATCH_ROWS", "bounded_sample", "held_out", "labelled", "materialize", "new_folder", "ready", "table"]
+__all__ = ["BATCH_ROWS", "bounded_sample", "held_out", "labelled_sample", "materialize", "new_folder", "ready", "table"]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattscope.llm import hashing
-from wattscope.llm.common import bounded_sample, labelled
+from wattscope.llm.common import labelled_sample
 
 PASSAGE_WORDS = 64
 CLASSES = 16
@@ -159,9 +159,7 @@ class GatedAttention:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_docs: int = 2500, fit_passages: int = 24) -> GatedAttention | float:
     """Learns from ``docs`` (doc_id, text) and ``labels`` (doc_id, label 0 or 1). A number is a constant score."""
-    known = labelled(docs.select("doc_id", "text"), labels, label).where("target in (0, 1)")
-    sample = bounded_sample(known, "target", fit_docs)
-    share = {r[0]: r[1] for r in known.groupBy("target").count().collect()}
+    sample, share = labelled_sample(docs, labels, label, fit_docs)
     if len(share) < 2:
         return float(next(iter(share), 0.5))
 

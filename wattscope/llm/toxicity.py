@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattscope.llm.common import bounded_sample, labelled
+from wattscope.llm.common import labelled_sample
 
 #: Groups by kind; a term is swapped for the next of its kind. A parameter of ``fit``.
 IDENTITY_TERMS = (
@@ -109,8 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_docs: int
         identity_terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> dict | float:
     """Learns from ``docs`` (doc_id, text) and ``labels`` (doc_id, label 0 or 1). A number is a constant score."""
     following = {a: b for kind in identity_terms for a, b in zip(kind, kind[1:] + kind[:1], strict=True)}
-    known = labelled(docs.select("doc_id", "text"), labels, label).where("target in (0, 1)")
-    share = {r[0]: r[1] for r in known.groupBy("target").count().collect()}
+    chosen_docs, share = labelled_sample(docs, labels, label, fit_docs)
     if len(share) < 2:
         return float(next(iter(share), 0.0))
 
@@ -125,8 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_docs: int
                  pa.array([[p[1] for p in ps] for ps in pairs], pa.list_(pa.list_(pa.string())))],
                 ["doc_id", "target", "found", "lost", "gained"])
 
-    sample = (bounded_sample(known, "target", fit_docs)
-              .groupBy(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), "target").agg(F.min_by("text", "doc_id").alias("text"), F.min("doc_id").alias("doc_id"))
+    sample = (chosen_docs.groupBy(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), "target").agg(F.min_by("text", "doc_id").alias("text"), F.min("doc_id").alias("doc_id"))
               .mapInArrow(encode, "doc_id long, target int, found array<string>, lost array<array<string>>, gained array<array<string>>"))
     taken = {r[0]: r[1] for r in sample.groupBy("target").count().collect()}
     p, q = taken.get(1, 0), taken.get(0, 0)
