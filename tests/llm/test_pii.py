@@ -111,7 +111,7 @@ def test_terms_that_give_an_entity_away(spark):
 
 
 def test_odd_rows(spark):
-    rows = [(1, None), (2, ""), (None, "a@b.cd"), (None, "a@b.cd"), (3, "1" * 60_000), (4, "a.b" * 30_000), (5, "x@y" + ".z" * 30_000),
+    rows = [(1, None), (2, ""), (None, "a@b.cd"), (None, "a@b.cd"), (3, "1" * 6_000), (4, "a.b" * 3_000), (5, "x@y" + ".z" * 30_000),
             (6, "1.2.3.4 " * 3000 + "end"), (6, "dup"), (7, "+1" + "(" * 30_000 + "234567890"), (8, "plain é text")]
     check(spark, rows)
     clean = {r["text"]: r["clean"] for r in run(spark, rows).collect()}

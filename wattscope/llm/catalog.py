@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wattscope.llm import decontam, jaccard, langid, packing, pii, quality, topk, toxicity, warc
+from wattscope.llm import decontam, jaccard, langid, packing, pii, quality, suffix_dedup, topk, toxicity, warc
 from wattscope.llm.common import held_out, new_folder, table
 
 
@@ -82,11 +82,17 @@ def op8_decontam(spark, d):
                          decontam.is_contaminated().alias("contaminated"))
 
 
+def op9_suffix(spark, d):
+    cut = suffix_dedup.remove_repeats(table(spark, d, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+                      F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_packing(spark, d):
     return packing.pack_documents(table(spark, d, "documents"), _word_vocabulary())
 
 
-QUERIES = (op1_langid, op2_warc, op3_quality, op4_pii, op5_topk, op6_toxicity, op7_jaccard, op8_decontam, op10_packing)
+QUERIES = (op1_langid, op2_warc, op3_quality, op4_pii, op5_topk, op6_toxicity, op7_jaccard, op8_decontam, op9_suffix, op10_packing)
 
 
 def queries():
