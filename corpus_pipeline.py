@@ -1,23 +1,57 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+quality        documents that the classifier rejects go; it learns from labels of documents not held out
+near_copies    of each class of near copies one document stays
+benchmark      documents contaminated with benchmark items go
+personal_data  personal data and terms that give it away are replaced in the text; n_chars follows
+packing        what is left is cut into sequences
+
+Each stage works on all its predecessor kept. Nulls, empty and repeated rows are handled as the operators say.
+"""
 
 from __future__ import annotations
 
-from wattscope.llm import packing
-from wattscope.llm.catalog import _word_vocabulary
-from wattscope.llm.common import new_folder, ready, table
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wattscope.llm import decontam, jaccard, packing, pii, quality
+from wattscope.llm.catalog import word_vocabulary
+from wattscope.llm.common import held_out, new_folder, ready, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = quality.fit(docs.where(~held_out(3, 1)), table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).where("_score >= 0.5").drop("_score")
+
+
+def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.one_of_each(docs)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    marked = decontam.mark(docs, table(spark, sf_dir, "benchmark"))
+    return marked.where(~decontam.is_contaminated()).drop("contamination")
+
+
+def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = pii.find(docs).withColumn("_clean", F.when(F.size("pii") > 0, pii.sanitised(F.col("text"), F.col("pii"))))
+    changed = {"text": F.coalesce("_clean", "text"),
+               "n_chars": F.when(F.col("_clean").isNotNull(), F.char_length("_clean").cast("long")).otherwise(F.col("n_chars"))}
+    return found.select(*(changed[c].alias(c) if c in changed else c for c in docs.columns))
 
 
-def pack_stage(spark, docs, sf_dir):
-    return packing.pack_documents(docs, _word_vocabulary())
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, word_vocabulary())
 
 
-STAGES = [("packing", pack_stage)]
+STAGES = [("quality", quality_stage), ("near_copies", near_copies_stage), ("benchmark", benchmark_stage),
+          ("personal_data", personal_data_stage), ("packing", packing_stage)]
 
-#: The first stage learns a classifier, which SQL can't express.
+#: SQL can't learn the classifier of the first stage, nor tokenize in the last.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stage is written and read again, so a lost executor costs one stage at most."""
     docs = table(ready(spark), sf_dir, "documents")
     for name, stage in STAGES[:-1]:

@@ -104,6 +104,10 @@ def test_one_of_each_stays(spark):
     rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (3, "z"), (3, "z"), (None, "q"), (None, "q"), (4, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((r[0] for r in jaccard.one_of_each(docs).collect()), key=str) == [1, 3, 4, None, None]
+    # One doc_id with different texts: two documents, of which one has a copy.
+    rows = [(9, "a b c d e f"), (9, "quite another text"), (10, "quite another text"), (8, "A b c d e f!")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as stays", "2 as text_hash")
+    assert sorted(tuple(r)[:2] for r in jaccard.one_of_each(docs).collect()) == [(8, "A b c d e f!"), (9, "quite another text")]
 
 
 def test_components_of_a_long_path(spark):

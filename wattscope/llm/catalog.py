@@ -8,7 +8,7 @@ from wattscope.llm import decontam, jaccard, langid, packing, pii, quality, suff
 from wattscope.llm.common import held_out, new_folder, table
 
 
-def _word_vocabulary() -> str:
+def word_vocabulary() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
@@ -89,7 +89,7 @@ def op9_suffix(spark, d):
 
 
 def op10_packing(spark, d):
-    return packing.pack_documents(table(spark, d, "documents"), _word_vocabulary())
+    return packing.pack_documents(table(spark, d, "documents"), word_vocabulary())
 
 
 QUERIES = (op1_langid, op2_warc, op3_quality, op4_pii, op5_topk, op6_toxicity, op7_jaccard, op8_decontam, op9_suffix, op10_packing)

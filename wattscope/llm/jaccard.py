@@ -83,7 +83,7 @@ class MinHash:
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, node, size, bands``; node is null for a text without words or a row without doc_id."""
+    """``doc_id, text_hash, node, size, bands``; node is null for a text without words or a row without doc_id."""
     def sign(batches):
         hasher = MinHash(bands, rows)
         for batch in batches:
@@ -91,10 +91,11 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             for key, text in zip(ids.to_pylist(), batch.column("text").to_pylist(), strict=True):
                 found = shingles(text, n) if key is not None else np.empty(0)
                 out.append((node_name(found), len(found), hasher.bands_of(found)) if len(found) else (None, 0, None))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64()),
-                                              pa.array([x[2] for x in out], pa.list_(pa.int64()))], ["doc_id", "node", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([ids, batch.column("text_hash"), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64()),
+                                              pa.array([x[2] for x in out], pa.list_(pa.int64()))], ["doc_id", "text_hash", "node", "size", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, node binary, size long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
+        sign, "doc_id long, text_hash long, node binary, size long, bands array<long>")
 
 
 def similar(sets: list[np.ndarray], threshold: float, split: int | None = None, columns: int = 4096) -> tuple[np.ndarray, np.ndarray]:
@@ -158,13 +159,19 @@ def _verified(rows: list[dict], n: int, threshold: float) -> Iterator[tuple]:
         yield chosen[x]["node"], 0, chosen[y]["node"]
 
 
-def near_copies(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
+def near_copies(docs: DataFrame, **how) -> DataFrame:
     """``doc_id, class_id, n_links`` for each row: the smallest doc_id of its class, and how many other rows
-    are linked to it (similarity of ``threshold`` at least, exact copies included)."""
+    are linked to it (similarity of the threshold at least, exact copies included). ``how``: see ``classify``."""
+    return classify(docs, **how).select("doc_id", "class_id", "n_links")
+
+
+def classify(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
+    """For each row ``doc_id``, a hash of its text, ``class_id``, ``n_links``, and whether it is the row that
+    ``stays`` of its class: the smallest doc_id, of rows with the same one the smallest hash."""
     bands, rows = banding(threshold, recall)
     signed = materialize(signatures(docs, n, bands, rows), "signatures")
     nodes = materialize(signed.where("node is not null").groupBy("node")
-                        .agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("times"), F.max("size").alias("size"),
+                        .agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.count(F.lit(1)).alias("times"), F.max("size").alias("size"),
                              F.min("bands").alias("bands")), "nodes")
     banded = nodes.select("node", F.explode("bands").alias("band"))
     met = banded.groupBy("band").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "a")
@@ -174,7 +181,7 @@ def near_copies(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: flo
         groups.join(nodes.select("node", "size"), "node").groupBy("component").agg(F.sum("size").alias("total")), "component")
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
     members = (groups.join(sized.select("component", blocks.alias("blocks")), "component")
-               .join(nodes.select("node", F.col("doc_id").alias("rep_id"), "times"), "node")
+               .join(nodes.select("node", F.col("least.doc_id").alias("rep_id"), "times"), "node")
                .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
     texts = (docs.select(F.col("doc_id").cast("long").alias("rep_id"), "text").join(members, "rep_id")
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -211,18 +218,20 @@ def near_copies(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: flo
                         .mapInArrow(verify, "node binary, links long, other binary"), "links")
     classes = connected_components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
-    named = nodes.select("node", "doc_id", "times").join(linked, "node", "left").join(classes, "node", "left")
+    named = nodes.select("node", "least", "times").join(linked, "node", "left").join(classes, "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
-    smallest = named.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    named = named.join(smallest, "component").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"))
-    alone = signed.where("node is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return signed.where("node is not null").join(named, "node").select("doc_id", "class_id", "n_links").unionByName(alone)
+    smallest = named.groupBy("component").agg(F.min("least").alias("first"))
+    named = named.join(smallest, "component").select("node", "first", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"))
+    stays = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    alone = signed.where("node is null").select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("stays"))
+    return signed.where("node is not null").join(named, "node").select(
+        "doc_id", "text_hash", F.col("first.doc_id").alias("class_id"), "n_links", stays.alias("stays")).unionByName(alone)
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with one row of each class, the one with its smallest doc_id; rows without doc_id all stay."""
-    copies = near_copies(docs, **how).where("doc_id <> class_id").select(F.col("doc_id").alias("_copy")).distinct()
-    kept = docs.join(copies, docs["doc_id"] == copies["_copy"], "left_anti")
-    # Repeated rows share a doc_id: one of them stays.
-    named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(kept.where("doc_id is null"))
+    """``docs`` with one row of each class; rows with the same doc_id and text are one; rows without doc_id all stay."""
+    gone = classify(docs, **how).where(~F.col("stays")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_gone")).distinct()
+    hashed = docs.withColumn("_hash", F.xxhash64("text"))
+    kept = hashed.join(gone, (hashed["doc_id"] == gone["_id"]) & (hashed["_hash"] == gone["_gone"]), "left_anti")
+    once = kept.where("doc_id is not null").dropDuplicates(["doc_id", "_hash"])
+    return once.unionByName(kept.where("doc_id is null")).drop("_hash")
