@@ -180,33 +180,55 @@ def test_empty_registry_is_refused(spark, work, sites, fleet):
         LiveTables(work, sites(("A", 1.0, 1)), fleet(("A", "B", 1.0)).where("false"))
 
 
-def test_silence_by_event_time(spark, work, land, fleet):
-    """INV_01 reports hourly; INV_02 falls silent after three hours and comes back; INV_03 never
-    reports. Silence counts from two hours after the last reading."""
-    registry = fleet(*(("PLANT_01", f"INV_0{n}", 1000.0) for n in (1, 2, 3)))
+def silence_story(spark, work, land, fleet, cut, hours=24, width=60, gap=7200):
+    """INV_01 reports hourly; INV_02 is silent from 07:00 to 19:00 and reports a fault at 22:00; INV_03 never
+    reports. ``cut`` batches; a last batch brings the closing record of another inverter."""
+    registry = fleet(*(("PLANT_01", f"INV_0{n}", 1000.0) for n in (1, 2, 3, 9)))
 
     def run():
         events = telemetry.trusted(telemetry.parse(records(spark, work)), S.watermark)
-        changes = silence.alert_changes(events, registry, "1 minute", 7200, S, silent_since=DAWN)
+        changes = silence.alert_changes(events, registry, width, gap, S, silent_since=DAWN, reading_every_seconds=3600)
         sinks.write_table(changes, f"{work}/out", f"{work}/ckpt", NOW).awaitTermination()
 
-    for h in range(0, 12):
-        land(hourly(h), *([hourly(h, "INV_02")] if h < 3 or h == 10 else []))
-        if h % 3 == 2:
+    for h in range(hours):
+        land(hourly(h), *([hourly(h, "INV_02", power=100.0 if h >= 20 else 500.0)] if h < 3 or h >= 14 else []), hourly(h, "INV_09"))
+        if (h + 1) % (hours // cut) == 0:
             run()
     run()
-    got = [(r.inverter_id, r.change, r.first_observed_at.hour, r.last_observed_at.hour, r.observation_count)
-           for r in spark.read.parquet(f"{work}/out").collect()]
-    assert ("INV_02", "OPENED", 9, 11, 2) in got          # last heard 07:00, silent at 09:00, alert at 11:00
-    assert [g for g in got if g[0] == "INV_02" and g[1] == "RESOLVED"]
-    assert ("INV_03", "OPENED", 7, 9, 2) in got            # awaited from dawn on
-    assert not [g for g in got if g[0] == "INV_01"]
+    return sorted((r.inverter_id, r.change, r.alert_type, r.first_observed_at, r.last_observed_at, r.observation_count, r.sum_loss_kw,
+                   r.ended_at or DAWN) for r in spark.read.parquet(f"{work}/out").collect())
+
+
+@pytest.mark.parametrize("cut", [1, 4, 12])
+def test_silence_does_not_depend_on_the_cut(spark, work, land, fleet, cut):
+    """Silence counts from two hours after the last reading; how the stream was cut changes nothing."""
+    at = lambda h: DAWN + timedelta(hours=h)
+    got = silence_story(spark, work, land, fleet, cut)
+    assert got == sorted([
+        ("INV_02", "OPENED", "TELEMETRY_GAP", at(4), at(6), 2, 0.0, DAWN),
+        ("INV_02", "RESOLVED", "TELEMETRY_GAP", at(4), at(12), 5, 0.0, at(14)),
+        ("INV_02", "OPENED", "UNDERPERFORMANCE", at(20), at(21), 2, 800.0, DAWN),
+        ("INV_02", "REFRESHED", "UNDERPERFORMANCE", at(20), at(22), 3, 1200.0, DAWN),
+        ("INV_03", "OPENED", "TELEMETRY_GAP", at(2), at(4), 2, 0.0, DAWN)])
+
+
+def test_gap_must_exceed_window_and_reading_distance(spark, work, land, fleet):
+    """An hourly healthy inverter, seen through six-hour windows, is never silent."""
+    land(*(hourly(h) for h in range(3)))
+    events = telemetry.trusted(telemetry.parse(records(spark, work)), S.watermark)
+    for gap in (7200, 6 * 3600, 7 * 3600):
+        with pytest.raises(ValueError):
+            silence.alert_changes(events, fleet(("PLANT_01", "INV_01", 1000.0)), 6 * 3600, gap, S, reading_every_seconds=3600)
+    land(*(hourly(h) for h in range(3, 40)))
+    changes = silence.alert_changes(events, fleet(("PLANT_01", "INV_01", 1000.0)), 6 * 3600, 7 * 3600 + 1, S, reading_every_seconds=3600)
+    sinks.write_table(changes, f"{work}/out", f"{work}/ckpt", NOW).awaitTermination()
+    assert spark.read.parquet(f"{work}/out").count() == 0
 
 
 def test_faults_by_event_time(spark, work, land, fleet):
     registry = fleet(("PLANT_01", "INV_01", 1000.0))
     land(*(hourly(h, power=100.0 if 1 <= h <= 3 else 500.0) for h in range(6)))
-    changes = silence.alert_changes(telemetry.trusted(telemetry.parse(records(spark, work)), S.watermark), registry, "1 minute", 86400, S)
+    changes = silence.alert_changes(telemetry.trusted(telemetry.parse(records(spark, work)), S.watermark), registry, 60, 86400, S, reading_every_seconds=3600)
     sinks.write_table(changes, f"{work}/out", f"{work}/ckpt", NOW).awaitTermination()
     got = sorted((r.last_observed_at.hour, r.change, r.observation_count, r.sum_loss_kw, r.ended_at and r.ended_at.hour)
                  for r in spark.read.parquet(f"{work}/out").collect())

@@ -645,6 +645,64 @@ _VIEWS["week_runs"] = _over("runs", ticks="week_ticks", faults="week_faults")
 _VIEWS["week_alerts"] = _over("alert_rows", runs="week_runs")
 _QUERIES["stream_alert_lifecycle"] = f"SELECT {_ALERT} FROM week_alerts"
 
+# Event-time silence: readings of six-hour windows that were released, and between them silent instants every
+# three days. A window is released, and silence certain, once the watermark has passed.
+_VIEWS["heard"] = """
+        SELECT t.plant_id, t.inverter_id, epoch_us(t.event_time) // 1000 AS heard_at, t.active_power_kw AS power, t.irradiance_wm2 AS irr,
+               t.status, t.availability, f.rated_power_kw * least(t.irradiance_wm2 / 1000, 1) AS expected
+        FROM (SELECT * FROM trusted
+              QUALIFY row_number() OVER (PARTITION BY plant_id, inverter_id, epoch_us(event_time) // 21600000000
+                                         ORDER BY event_time DESC, kafka_offset DESC) = 1) t
+        JOIN in_service f ON f.plant_id = t.plant_id AND f.inverter_id = t.inverter_id
+        WHERE (epoch_us(event_time) // 21600000000 + 1) * 21600000 <= (SELECT mark FROM stream_mark)"""
+_VIEWS["stream_mark"] = "SELECT epoch_us(max(event_time)) // 1000 - 120000 AS mark FROM trusted"
+_VIEWS["heard_faults"] = """
+        SELECT plant_id, inverter_id, heard_at, alert_type,
+               CASE WHEN alert_type = 'UNDERPERFORMANCE' THEN 'WARNING' WHEN alert_type IS NOT NULL THEN 'CRITICAL' END AS severity,
+               CASE WHEN alert_type = 'INVERTER_OFFLINE' THEN 'Inverter ' || inverter_id || ' at plant ' || plant_id || ' reported OFFLINE'
+                    WHEN alert_type IS NOT NULL THEN 'Inverter ' || inverter_id || ' at plant ' || plant_id || ' generating '
+                         || CAST(round(power / expected * 100, 1) AS VARCHAR) || '% of expected under current irradiance' END AS message,
+               greatest(expected - power, 0) AS loss_kw
+        FROM (SELECT *, CASE WHEN status = 'OFFLINE' OR availability = 0 THEN 'INVERTER_OFFLINE'
+                             WHEN irr >= 150 AND power / expected * 100 < 80 THEN 'UNDERPERFORMANCE' END AS alert_type FROM heard)
+        UNION ALL
+        SELECT plant_id, inverter_id, epoch_ms(TIMESTAMP '2024-01-01'), NULL, NULL, NULL, 0 FROM in_service"""
+_VIEWS["silence_story"] = """
+        SELECT plant_id, inverter_id, heard_at AS from_at, heard_at AS to_at, 1 AS n, alert_type, severity, message, loss_kw FROM heard_faults
+        UNION ALL
+        SELECT plant_id, inverter_id, heard_at + 259200000, heard_at + n * 259200000, n, 'TELEMETRY_GAP', 'CRITICAL',
+               'No telemetry received from inverter ' || inverter_id || ' at plant ' || plant_id, 0
+        FROM (SELECT *, (coalesce(lead(heard_at) OVER (PARTITION BY plant_id, inverter_id ORDER BY heard_at) - 1,
+                                  (SELECT mark FROM stream_mark) - 21600000) - heard_at) // 259200000 AS n FROM heard_faults)
+        WHERE n > 0"""
+_VIEWS["silence_runs"] = """
+        SELECT *, min(from_at) OVER run AS first_at, max(to_at) OVER run AS final_at,
+               sum(n) OVER upto AS seen, sum(loss_kw) OVER upto AS lost, sum(n) OVER run AS run_n, sum(loss_kw) OVER run AS run_loss,
+               max(follows) OVER run AS clear_at, row_number() OVER (PARTITION BY plant_id, inverter_id, island ORDER BY from_at DESC) AS back
+        FROM (SELECT *, sum(fresh) OVER (PARTITION BY plant_id, inverter_id ORDER BY from_at) AS island,
+                     lead(from_at) OVER (PARTITION BY plant_id, inverter_id ORDER BY from_at) AS follows
+              FROM (SELECT *, CASE WHEN alert_type IS NOT DISTINCT FROM lag(alert_type) OVER (PARTITION BY plant_id, inverter_id ORDER BY from_at)
+                                   THEN 0 ELSE 1 END AS fresh FROM silence_story))
+        WINDOW run AS (PARTITION BY plant_id, inverter_id, island),
+               upto AS (PARTITION BY plant_id, inverter_id, island ORDER BY from_at)"""
+# The observation at which a run has lasted an hour: a reading, or an instant inside a silence.
+_VIEWS["silence_steps"] = """
+        SELECT *, CASE WHEN to_at - first_at >= 3600000
+                       THEN greatest(0, CAST(ceil((first_at + 3600000 - from_at) / CAST(259200000 AS DOUBLE)) AS BIGINT)) END AS opens_after,
+               coalesce(lag(to_at) OVER (PARTITION BY plant_id, inverter_id, island ORDER BY from_at) - first_at >= 3600000, false) AS was_open
+        FROM silence_runs WHERE alert_type IS NOT NULL"""
+_SILENCE = """plant_id, inverter_id, {change} AS change, alert_type, severity, message, make_timestamp(CAST(first_at * 1000 AS BIGINT)) AS first_observed_at,
+               make_timestamp(CAST(({last}) * 1000 AS BIGINT)) AS last_observed_at, CAST({n} AS BIGINT) AS observation_count,
+               round({loss}, 6) AS sum_loss_kw, {ended} AS ended_at"""
+_QUERIES["stream_silence"] = f"""
+        SELECT {_SILENCE.format(change="CASE WHEN was_open THEN 'REFRESHED' ELSE 'OPENED' END", last="CASE WHEN was_open THEN to_at ELSE from_at + opens_after * 259200000 END",
+                                n="CASE WHEN was_open THEN seen ELSE seen - n + opens_after + 1 END", loss="lost", ended="CAST(NULL AS TIMESTAMP)")}
+        FROM silence_steps WHERE opens_after IS NOT NULL AND (NOT was_open OR alert_type <> 'TELEMETRY_GAP')
+        UNION ALL
+        SELECT {_SILENCE.format(change="'RESOLVED'", last="final_at", n="run_n", loss="run_loss", ended="make_timestamp(CAST(clear_at * 1000 AS BIGINT))")}
+        FROM (SELECT *, max(follows) OVER (PARTITION BY plant_id, inverter_id, island) AS after FROM silence_runs)
+        WHERE back = 1 AND alert_type IS NOT NULL AND follows IS NOT NULL AND final_at - first_at >= 3600000"""
+
 # The feed lacks a region's plants on the 13th, so that day is refused, as is any day with an
 # implausible plant; plants out of service are in no active portfolio.
 _VIEWS["job_rows"] = _over("recon_base", actuals="kept_actuals")

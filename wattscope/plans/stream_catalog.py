@@ -93,7 +93,7 @@ def stream_silence(spark, d):
     work = new_folder(spark, "silence")
     events = telemetry.trusted(telemetry.parse(_landed(spark, d, work)), S.watermark)
     inverters = registry.inverter_reference(bed.inverters(spark, d))
-    changes = silence.alert_changes(events, inverters, "6 hours", GAP_SECONDS, S,
+    changes = silence.alert_changes(events, inverters, 6 * 3600, GAP_SECONDS, S,
                                     silent_since=datetime(2024, 1, 1))
     sinks.write_table(changes, f"{work}/out", f"{work}/ckpt", NOW).awaitTermination()
     return spark.read.parquet(f"{work}/out")

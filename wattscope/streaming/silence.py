@@ -1,11 +1,14 @@
 """The alert lifecycle per inverter with event-time timers.
 
-Unlike the microbatch form, an inverter counts as silent when event time has moved
-``gap_after`` past its last reading, however the stream was cut into batches. While it stays
-silent it is observed as such every ``gap_after``; a reading ends the silence.
+An inverter counts as silent when event time has moved ``gap_after`` past its last reading. While it stays
+silent it is observed as such every ``gap_after``; a reading ends the silence. The changes are the same
+however the stream was cut into batches: silence between two readings is observed when the second one
+arrives, and silence without an end only up to the instant before which every window has been released,
+which is the watermark less the width of a window. Any number of due observations is one addition.
 
 Readings are first reduced to one per inverter and window, map-side: a chatty inverter meets
-its state with at most one row per window.
+its state with at most one row per window. A fault that starts and ends inside a window, before that
+window's latest reading, is therefore not seen.
 """
 
 from __future__ import annotations
@@ -38,8 +41,8 @@ def windowed_latest(events: DataFrame, width: str) -> DataFrame:
 
 
 class _Lifecycle(StatefulProcessor):
-    def __init__(self, gap_ms: int, sustain_ms: int) -> None:
-        self.gap_ms, self.sustain_ms = gap_ms, sustain_ms
+    def __init__(self, gap_ms: int, sustain_ms: int, width_ms: int) -> None:
+        self.gap_ms, self.sustain_ms, self.width_ms = gap_ms, sustain_ms, width_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -54,11 +57,14 @@ class _Lifecycle(StatefulProcessor):
         out: list[tuple] = []
         seen = pd.concat(list(rows), ignore_index=True).sort_values("event_time", kind="stable")
         for row in seen.itertuples(index=False):
-            at = int(row.event_time.timestamp() * 1000)
+            at = row.event_time.value // 1_000_000
             if state is None:
                 state = self._fresh(at)
-            elif at < state["heard_ms"] or at <= (state["last_ms"] or -1):
-                continue  # late: it must not rewind what is known
+            elif at < state["heard_ms"]:
+                # Windows are released in order, so this is a reading before the awaited start.
+                out.append(self._change(key, state, "SKIPPED", ended_ms=at))
+                continue
+            out += self._catch_up(key, state, at - 1)
             kind = row.alert_type if isinstance(row.alert_type, str) else None
             loss = float(row.loss_kw) if kind else 0.0
             out += self._observe(key, state, at, kind, row.severity, row.message, loss)
@@ -69,12 +75,11 @@ class _Lifecycle(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         state = self._recall()
-        at = expiredTimerInfo.getExpiryTimeInMs()
         out: list[tuple] = []
-        if state is not None and state["timer_ms"] == at:
-            message = f"No telemetry received from inverter {key[1]} at plant {key[0]}"
-            out = self._observe(key, state, at, GAP, "CRITICAL", message, 0.0)
-            self._remember(state, next_ms=at + self.gap_ms, delete=False)
+        if state is not None and state["timer_ms"] == expiredTimerInfo.getExpiryTimeInMs():
+            state["timer_ms"] = None
+            out = self._catch_up(key, state, timerValues.getCurrentWatermarkInMs() - self.width_ms)
+            self._remember(state)
         yield self._frame(out)
 
     # -- state ---------------------------------------------------------------
@@ -87,11 +92,17 @@ class _Lifecycle(StatefulProcessor):
         row = self.memory.get() if self.memory.exists() else None
         return None if row is None else dict(zip([c.split()[0] for c in _STATE.split(", ")], row))
 
-    def _remember(self, state: dict, next_ms: int | None = None, delete: bool = True) -> None:
-        """Store the state and make its one timer the pending one."""
-        due = next_ms or state["heard_ms"] + self.gap_ms
+    def _next_silence(self, state: dict) -> int:
+        """The next instant at which the inverter is silent if nothing is heard until then."""
+        silent = state["alert_type"] == GAP
+        return (state["last_ms"] if silent else state["heard_ms"]) + self.gap_ms
+
+    def _remember(self, state: dict) -> None:
+        """Store the state and make its one timer the pending one: a window's width after the next
+        silent instant, when every reading up to that instant has been released."""
+        due = self._next_silence(state) + self.width_ms
         if state["timer_ms"] != due:
-            if delete and state["timer_ms"] is not None:
+            if state["timer_ms"] is not None:
                 self.handle.deleteTimer(state["timer_ms"])
             self.handle.registerTimer(due)
             state["timer_ms"] = due
@@ -99,7 +110,26 @@ class _Lifecycle(StatefulProcessor):
 
     # -- lifecycle -------------------------------------------------------------
 
-    def _observe(self, key, state: dict, at: int, kind, severity, message, loss: float) -> list[tuple]:
+    def _catch_up(self, key, state: dict, until: int) -> list[tuple]:
+        """Observe the silence at every due instant up to ``until``, all at once."""
+        first = self._next_silence(state)
+        if first > until:
+            return []
+        steps = (until - first) // self.gap_ms + 1
+        message = f"No telemetry received from inverter {key[1]} at plant {key[0]}"
+        changes = self._observe(key, state, first, GAP, "CRITICAL", message, 0.0, refresh=False)
+        steps -= 1
+        if not state["opened"]:
+            missing = -(-(state["first_ms"] + self.sustain_ms - first) // self.gap_ms)
+            if missing <= steps:
+                state["observation_count"] += missing - 1
+                changes += self._observe(key, state, first + missing * self.gap_ms, GAP, "CRITICAL", message, 0.0)
+                steps, first = steps - missing, first + missing * self.gap_ms
+        state["observation_count"] += steps
+        state["last_ms"] = first + steps * self.gap_ms
+        return changes
+
+    def _observe(self, key, state: dict, at: int, kind, severity, message, loss: float, refresh: bool = True) -> list[tuple]:
         changes = []
         if state["alert_type"] is not None and state["alert_type"] != kind:
             if state["opened"]:
@@ -113,7 +143,7 @@ class _Lifecycle(StatefulProcessor):
                      observation_count=state["observation_count"] + 1,
                      sum_loss_kw=state["sum_loss_kw"] + loss)
         if state["opened"]:
-            changes.append(self._change(key, state, "REFRESHED"))
+            changes += [self._change(key, state, "REFRESHED")] if refresh else []
         elif at - state["first_ms"] >= self.sustain_ms:
             state["opened"] = True
             changes.append(self._change(key, state, "OPENED"))
@@ -136,21 +166,28 @@ class _Lifecycle(StatefulProcessor):
         return frame
 
 
-def alert_changes(events: DataFrame, inverters: DataFrame, width: str, gap_after_seconds: int,
-                  s: FleetSettings = FleetSettings(), silent_since=None) -> DataFrame:
-    """Change log of alerts (CHANGES): OPENED, REFRESHED, RESOLVED.
+def alert_changes(events: DataFrame, inverters: DataFrame, width_seconds: int, gap_after_seconds: int,
+                  s: FleetSettings = FleetSettings(), silent_since=None,
+                  reading_every_seconds: float | None = None) -> DataFrame:
+    """Change log of alerts (CHANGES): OPENED, REFRESHED (by a further reading; silence is counted when it
+    ends or opens an alert), RESOLVED, and SKIPPED for a reading older than what is known.
 
-    ``events`` is a watermarked stream, observed once per ``width``. With ``silent_since`` (an
+    ``events`` is a watermarked stream, observed once per ``width_seconds``. With ``silent_since`` (an
     instant), every inverter of the registry is awaited from then on, so one that never reports
-    is found too.
+    is found too. ``reading_every_seconds`` is the longest regular distance between readings (default: the
+    sample interval). The latest readings of two windows may lie a window and that distance apart, so a gap
+    must be longer, or healthy inverters would be called silent.
     """
+    every = s.sample_interval_seconds if reading_every_seconds is None else reading_every_seconds
+    if gap_after_seconds <= width_seconds + every:
+        raise ValueError(f"gap_after_seconds must exceed the window and the distance of readings, {width_seconds + every:g}")
     registry = inverters.select(*ASSET, "rated_power_kw")
-    observed = windowed_latest(events, width).join(registry, list(ASSET))
+    observed = windowed_latest(events, f"{width_seconds} seconds").join(registry, list(ASSET))
     judged = diagnose(observed, s).select(
         *ASSET, "event_time", "alert_type", "severity", "message", "loss_kw")
     initial = None
     if silent_since is not None:
         initial = registry.select(*ASSET, F.lit(silent_since).cast("timestamp").alias("since")).groupBy(*ASSET)
     return judged.groupBy(*ASSET).transformWithStateInPandas(
-        _Lifecycle(gap_after_seconds * 1000, s.sustain_seconds * 1000), CHANGES,
+        _Lifecycle(gap_after_seconds * 1000, s.sustain_seconds * 1000, width_seconds * 1000), CHANGES,
         outputMode="Append", timeMode="EventTime", initialState=initial)
