@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wattscope import schema
-from wattscope.operators import energy, incidents, metrics, telemetry
+from wattscope.operators import energy, incidents, metrics, quality, telemetry
 from wattscope.settings import FleetSettings
 from wattscope.sources.archive import read_days, write_archive
 from wattscope.sources.records import file_records
@@ -153,6 +153,17 @@ def test_alerts_equal_history_over_restarts(spark, work, land, sites, fleet):
     assert got == key(incidents.priced_alerts(runs, ref, S)) and len(got) == 5
 
 
+def test_a_fleet_that_recovers_has_no_open_alert(spark, work, events, sites, fleet):
+    """After the batch that clears the last fault, its slot has no rows: nothing may be taken from an older one."""
+    live = LiveTables(f"{work}/live", sites(("PLANT_01", 1000.0, 1)), fleet(("PLANT_01", "INV_01", 1000.0)), S)
+    ref = spark.createDataFrame([("PLANT_01", DAWN.date(), 0.1)], "plant_id string, simulation_date date, ppa_rate_per_kwh double")
+    for n, power in enumerate((100.0, 100.0, 500.0, 500.0)):
+        live(events(hourly(n, power=power)), n)
+        rows = microbatch.alerts_table(spark, live.root, ref, S).collect()
+        assert [r.status for r in rows] == [[], ["ACTIVE"], ["RESOLVED"], ["RESOLVED"]][n]
+        assert quality.alert_violations(microbatch.alerts_table(spark, live.root, ref, S), sites(("PLANT_01", 1000.0, 1))).isEmpty()
+
+
 def test_replayed_batch_changes_nothing(spark, work, events, sites, fleet):
     live = LiveTables(f"{work}/live", sites(("PLANT_01", 1000.0, 2)),
                       fleet(("PLANT_01", "INV_01", 1000.0), ("PLANT_01", "INV_02", 1000.0)), S)

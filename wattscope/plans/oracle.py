@@ -645,6 +645,37 @@ _VIEWS["week_runs"] = _over("runs", ticks="week_ticks", faults="week_faults")
 _VIEWS["week_alerts"] = _over("alert_rows", runs="week_runs")
 _QUERIES["stream_alert_lifecycle"] = f"SELECT {_ALERT} FROM week_alerts"
 
+# The live tables: a microbatch is a week, and speaks for the events it brought.
+_VIEWS["week_latest"] = """
+        SELECT * FROM week_events QUALIFY row_number() OVER (
+            PARTITION BY plant_id, inverter_id, simulation_date ORDER BY event_time DESC, kafka_offset DESC) = 1"""
+_VIEWS["week_live"] = """
+        SELECT cur.plant_id, b.window_start, b.window_end, current_power_kw, avg_power_kw,
+               CASE WHEN irr >= 150 THEN capacity_kw * least(irr / 1000, 1) END AS expected_power_kw, irr AS avg_irradiance_wm2,
+               online / nullif(CAST(coalesce(configured_inverters, reporting) AS DOUBLE), 0) * 100 AS availability_pct,
+               online AS online_inverters, greatest(coalesce(configured_inverters, reporting) - online, 0) AS offline_inverters, cur.simulation_date AS week
+        FROM (SELECT plant_id, simulation_date, sum(active_power_kw) AS current_power_kw, avg(irradiance_wm2) AS irr,
+                     count(*) FILTER (status <> 'OFFLINE' AND availability > 0) AS online, count(*) AS reporting FROM week_latest GROUP BY 1, 2) cur
+        JOIN (SELECT plant_id, simulation_date, min(event_time) AS window_start, max(event_time) AS window_end FROM week_events GROUP BY 1, 2) b
+          ON b.plant_id = cur.plant_id AND b.simulation_date = cur.simulation_date
+        JOIN (SELECT plant_id, simulation_date, avg(p) AS avg_power_kw
+              FROM (SELECT plant_id, simulation_date, event_time, sum(active_power_kw) AS p FROM week_events GROUP BY 1, 2, 3) GROUP BY 1, 2) a
+          ON a.plant_id = cur.plant_id AND a.simulation_date = cur.simulation_date
+        LEFT JOIN plant_ref r ON r.plant_id = cur.plant_id"""
+_VIEWS["week_plant_rows"] = """
+        SELECT *, CASE WHEN expected_power_kw > 0 THEN current_power_kw / expected_power_kw * 100 END AS performance_pct,
+               CASE WHEN expected_power_kw IS NOT NULL THEN greatest(expected_power_kw - current_power_kw, 0) END AS estimated_loss_kw
+        FROM week_live"""
+_QUERIES["stream_live_metrics"] = f"SELECT {_PLANT_METRICS} FROM week_plant_rows"
+_QUERIES["stream_live_portfolio"] = f"""
+        SELECT min(window_start) AS window_start, max(window_end) AS window_end, round(sum(current_power_kw), 6) AS current_power_kw,
+               CAST(sum(online_inverters) AS BIGINT) AS online_inverters, CAST(sum(offline_inverters) AS BIGINT) AS offline_inverters,
+               round(sum(estimated_loss_kw), 6) AS estimated_loss_kw
+        FROM week_plant_rows GROUP BY week"""
+_QUERIES["stream_live_health"] = """
+        SELECT 'telemetry-stream' AS component, 'DEGRADED' AS status, max(event_time) AS last_event_at,
+               'no telemetry in this microbatch' AS message FROM week_events"""
+
 # Event-time silence: readings of six-hour windows that were released, and between them silent instants every
 # three days. A window is released, and silence certain, once the watermark has passed.
 _VIEWS["heard"] = """

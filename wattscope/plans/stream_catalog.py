@@ -18,7 +18,7 @@ from wattscope.sources.archive import read_days, write_archive
 from wattscope.sources.records import file_records
 from wattscope.streaming import silence, sinks
 from wattscope.streaming.jobs import start_live
-from wattscope.streaming.microbatch import LiveTables, alerts_table
+from wattscope.streaming.microbatch import LiveTables, alerts_table, live_table, pipeline_health
 
 NOW = {"availableNow": True}
 S = FleetSettings()
@@ -73,9 +73,9 @@ def stream_archive_roundtrip(spark, d):
     return energy.plant_actuals(read_days(spark, path, FIRST, LAST), S)
 
 
-def stream_alert_lifecycle(spark, d):
+def _weekly_live(spark, d) -> LiveTables:
     """A week of records per microbatch, the query stopped and started again in between."""
-    work = new_folder(spark, "alerts")
+    work = new_folder(spark, "live")
     records = bed.raw_records(spark, d)
     week = F.floor(F.unix_timestamp("timestamp") / WEEK)
     low, high = records.agg(F.min(week), F.max(week)).first()
@@ -85,7 +85,27 @@ def stream_alert_lifecycle(spark, d):
     for n in range(low, high + 1):
         records.where(week == n).write.mode("append").parquet(f"{work}/records")
         start_live(file_records(spark, f"{work}/records"), live, f"{work}/ckpt", NOW).awaitTermination()
-    return alerts_table(spark, f"{work}/live", bed.daily_reference(spark, d), S)
+    return live
+
+
+def stream_alert_lifecycle(spark, d):
+    return alerts_table(spark, _weekly_live(spark, d).root, bed.daily_reference(spark, d), S)
+
+
+def stream_live_metrics(spark, d):
+    """The plant metrics the microbatches wrote, read back."""
+    rows = live_table(spark, _weekly_live(spark, d).root, "plant_metrics")
+    return rows.drop("metric_date", "batch_id")
+
+
+def stream_live_portfolio(spark, d):
+    rows = live_table(spark, _weekly_live(spark, d).root, "portfolio_metrics")
+    return rows.select("window_start", "window_end", "current_power_kw", "online_inverters", "offline_inverters", "estimated_loss_kw")
+
+
+def stream_live_health(spark, d):
+    """Health as the last microbatch, which brought nothing more, left it."""
+    return pipeline_health(spark, _weekly_live(spark, d).root).drop("last_success_at")
 
 
 def stream_silence(spark, d):
@@ -111,4 +131,4 @@ def daily_job(spark, d):
 
 
 STREAMS = (stream_valid, stream_windowed_metrics, stream_quarantine, stream_archive_roundtrip,
-           stream_alert_lifecycle, stream_silence, daily_job)
+           stream_alert_lifecycle, stream_live_metrics, stream_live_portfolio, stream_live_health, stream_silence, daily_job)

@@ -104,9 +104,15 @@ class LiveTables:
 
 
 def _newest_slot(spark: SparkSession, root: str, table: str, columns: str) -> DataFrame:
+    """The table as the last finished batch left it, which may be empty.
+
+    Health is what a batch writes last and it always has a row, so it tells which batch that is; a batch that
+    failed in between has overwritten the older slot only.
+    """
+    last = (read_table(spark, f"{root}/{_HEALTH}", f"{monitor.HEALTH_SCHEMA}, as_of_batch bigint, slot int")
+            .agg(F.max("as_of_batch")).scalar())
     stored = read_table(spark, f"{root}/{table}", f"{columns}, as_of_batch bigint, slot int")
-    newest = stored.agg(F.max("as_of_batch")).scalar()
-    return stored.where(F.col("as_of_batch") == newest).drop("as_of_batch", "slot")
+    return stored.where(F.col("as_of_batch") == last).drop("as_of_batch", "slot")
 
 
 def pipeline_health(spark: SparkSession, root: str) -> DataFrame:
