@@ -10,8 +10,8 @@ from wattscope import schema
 # Fixed values of the contract.
 ID_PATTERN = r"^[A-Z][A-Z0-9_]*$"
 ID_MAX_LENGTH = 64
-UUID_PATTERN = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
-INSTANT_PATTERN = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"
+UUID_PATTERN = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+INSTANT_PATTERN = "^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z$"
 TEMPERATURE_RANGE = (-50.0, 120.0)
 
 _ASSET = ["plant_id", "inverter_id"]
@@ -57,7 +57,8 @@ def contract_violations(parsed: DataFrame) -> DataFrame:
 def producer_reason(parsed: DataFrame, inverters: DataFrame | None = None) -> DataFrame:
     """Add ``violations`` and ``source_reason`` (NULL when the record may be published).
 
-    An asset missing from ``inverters`` outranks everything; a contract breach is named
+    Text that is no telemetry at all is a contract breach and nothing else; then an asset missing from
+    ``inverters`` outranks everything; a contract breach is named
     after the physical fault behind it where there is one; then come the checks that need
     the asset's rating or compare fields with each other.
     """
@@ -75,6 +76,7 @@ def producer_reason(parsed: DataFrame, inverters: DataFrame | None = None) -> Da
                               ("active_power_kw", "irradiance_wm2", "availability", "status"))
     inconsistent = F.when(status == "OFFLINE", (up != 0) | (power != 0)).otherwise(up != 1)
     ladder = [
+        ("SCHEMA_VIOLATION", ~F.col("payload_parsed")),
         ("UNKNOWN_ASSET", unknown_asset),
         ("NEGATIVE_ACTIVE_POWER", breach & (power < 0)),
         ("NEGATIVE_ENERGY", breach & (F.col("energy_today_kwh") < 0)),

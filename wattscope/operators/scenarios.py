@@ -8,11 +8,24 @@ from pyspark.sql import functions as F
 _SECONDS_PER_DAY = 86400
 
 
-def schedule_problems(windows: DataFrame, day_seconds: float) -> DataFrame:
+def _with_overlaps(windows: DataFrame, slot_seconds: int) -> DataFrame:
+    """Add ``overlaps``: whether the window starts inside one that comes before it (by start, then end).
+
+    A window is listed under each slot of the day it touches; what it starts inside of is listed under the
+    slot of its start, so slots are looked at by themselves and no task sees the whole script.
+    """
+    named = windows.withColumn("_id", F.monotonically_increasing_id())
+    begin = F.floor(F.col("start_second") / slot_seconds)
+    end = F.greatest(F.ceil(F.col("end_second") / slot_seconds) - 1, begin)
+    listed = named.select("_id", "start_second", "end_second", begin.alias("_own"), F.explode(F.sequence(begin, end)).alias("_slot"))
+    before = (Window.partitionBy("_slot").orderBy("start_second", "end_second", "_id").rowsBetween(Window.unboundedPreceding, -1))
+    judged = (listed.withColumn("_until", F.max("end_second").over(before)).where("_slot = _own")
+              .select("_id", F.coalesce(F.col("start_second") < F.col("_until"), F.lit(False)).alias("overlaps")))
+    return named.join(judged, "_id").drop("_id")
+
+
+def schedule_problems(windows: DataFrame, day_seconds: float, slot_seconds: int = 900) -> DataFrame:
     """``(scenario, start_second, problem)`` for windows that cannot be trusted."""
-    earlier_end = F.max("end_second").over(
-        Window.partitionBy("schedule").orderBy("start_second", "end_second")
-        .rowsBetween(Window.unboundedPreceding, -1))
     weak = F.col("scenario") == "INV_UNDERPERFORMANCE"
     factor = F.col("power_factor")
     flags = [
@@ -23,10 +36,9 @@ def schedule_problems(windows: DataFrame, day_seconds: float) -> DataFrame:
         ("FACTOR_MISSING", weak & factor.isNull()),
         ("FACTOR_OUT_OF_RANGE", weak & ((factor < 0) | (factor >= 1))),
         ("FACTOR_NOT_APPLICABLE", ~weak & factor.isNotNull()),
-        ("OVERLAPS", F.col("start_second") < F.col("earlier_end")),
+        ("OVERLAPS", F.col("overlaps")),
     ]
-    checked = (windows.withColumn("schedule", F.lit(0))
-               .withColumn("earlier_end", earlier_end))
+    checked = _with_overlaps(windows, slot_seconds)
     return checked.select("scenario", "start_second", F.explode(F.array_compact(F.array(
         *(F.when(hit, F.lit(name)) for name, hit in flags)))).alias("problem"))
 

@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wattscope.operators.pick import first_per_key
 
-def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Stored rows whose key does not arrive, and everything that does."""
+
+def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+    """Stored rows whose key does not arrive, and one row of each key that does.
+
+    Of incoming rows with the same key the first in ``order`` counts; without one, the row whose other
+    columns are largest, compared one after the other, so that the outcome does not hang on arrival.
+    """
+    rest = order or [F.desc(c) for c in incoming.columns if c not in keys]
+    incoming = first_per_key(incoming, keys, rest) if rest else incoming.dropDuplicates(keys)
     return stored.join(incoming, keys, "left_anti").unionByName(incoming)
 
 

@@ -299,8 +299,10 @@ def constraint_checks(spark, d):
     return quality.table_violations({
         "daily_plant_summary": (summary, ["simulation_date", "plant_id"], quality.summary_rules()),
         "daily_reference": (ref, ["simulation_date", "plant_id"], quality.reference_rules()),
-        "telemetry": (bed.telemetry(spark, d), ["plant_id", "simulation_date", "status"],
-                      {"power_within_rating": F.col("active_power_kw") <= 240}),
+        "plant_metrics": (_windowed(spark, d), ["plant_id", "window_start", "window_end"], {}),
+        "portfolio_metrics": (_portfolio_windows(spark, d), ["window_start", "window_end"], {}),
+        "pipeline_health": (pipeline_health(spark, d), ["component"], quality.health_rules()),
+        "inverters": (bed.inverters(spark, d), ["plant_id", "inverter_id"], {"rating": F.col("rated_power_kw") > 0}),
     }, in_service)
 
 
@@ -327,6 +329,13 @@ def upsert_merge(spark, d):
     return upsert.upsert(ref, reissued, ["simulation_date", "plant_id"])
 
 
+def upsert_repeated(spark, d):
+    """The feed delivered three times at three rates: the dearest counts."""
+    ref = bed.daily_reference(spark, d).select("simulation_date", "plant_id", "ppa_rate_per_kwh")
+    thrice = ref.withColumn("ppa_rate_per_kwh", F.explode(F.array(*(F.col("ppa_rate_per_kwh") + x for x in (0.25, 0.5, 0.125)))))
+    return upsert.upsert(ref, thrice.where("dayofmonth(simulation_date) > 15"), ["simulation_date", "plant_id"])
+
+
 # --- registry and serving ------------------------------------------------------
 
 def plant_reference(spark, d):
@@ -364,6 +373,22 @@ def plant_live(spark, d):
                               _hour_live(spark, d))
 
 
+def _one_plant(spark, d) -> str:
+    return bed.plants(spark, d).agg(F.min("plant_id")).first()[0]
+
+
+def plant_live_one(spark, d):
+    return serving.plant_live(bed.plants(spark, d), plant_metrics(spark, d), _as_of(), _one_plant(spark, d), _hour_live(spark, d))
+
+
+def plant_history_one(spark, d):
+    return serving.plant_history(_windowed(spark, d), datetime(2024, 1, 5), datetime(2024, 1, 20), _one_plant(spark, d))
+
+
+def plant_inverters_one(spark, d):
+    return serving.plant_inverters(bed.inverters(spark, d), _one_plant(spark, d))
+
+
 def plant_ranking(spark, d):
     return serving.plant_ranking(plants_list(spark, d)).select("plant_id", "performance_pct")
 
@@ -414,6 +439,7 @@ BATCH: tuple[Query, ...] = (
     reconcile_published, reconcile_problems, reconcile_warnings, dq_checks, constraint_checks,
     alert_constraints, forecast_feed, scenario_range_join, upsert_merge, plant_reference,
     portfolio_checks, rated_capacity, installed_capacity, portfolio_live, plants_list, plant_live,
+    plant_live_one, plant_history_one, plant_inverters_one, upsert_repeated,
     plant_ranking, plant_history, plant_inverters, daily_totals, daily_report_rows, daily_report,
     pipeline_health, display_units,
 )

@@ -351,6 +351,7 @@ _QUERIES: dict[str, str] = {
         FROM judged WHERE rejection_reason IS NOT NULL GROUP BY 1, 2""",
     "producer_contract": """
         SELECT a.kafka_offset, CASE
+                 WHEN k IN (80, 91, 92) THEN 'SCHEMA_VIOLATION'
                  WHEN i.inverter_id IS NULL THEN 'UNKNOWN_ASSET'
                  WHEN k = 86 THEN 'NEGATIVE_ACTIVE_POWER' WHEN k = 87 THEN 'NEGATIVE_ENERGY'
                  WHEN k = 88 THEN 'NEGATIVE_IRRADIANCE' WHEN k = 89 THEN 'IRRADIANCE_OUT_OF_RANGE'
@@ -473,14 +474,9 @@ _QUERIES: dict[str, str] = {
         SELECT t AS "table", 'FOREIGN_KEY' AS "check", plant_id AS key
         FROM (SELECT DISTINCT 'daily_plant_summary' AS t, plant_id FROM summary
               UNION ALL SELECT DISTINCT 'daily_reference', plant_id FROM ref
-              UNION ALL SELECT DISTINCT 'telemetry', plant_id FROM telem)
-        WHERE plant_id NOT IN (SELECT plant_id FROM sites WHERE active)
-        UNION ALL
-        SELECT 'telemetry', 'PRIMARY_KEY', plant_id || '|' || CAST(simulation_date AS VARCHAR) || '|' || status
-        FROM telem GROUP BY plant_id, simulation_date, status HAVING count(*) > 1
-        UNION ALL
-        SELECT 'telemetry', 'CHECK', 'power_within_rating:' || plant_id || '|' || CAST(simulation_date AS VARCHAR) || '|' || status
-        FROM telem WHERE active_power_kw > 240""",
+              UNION ALL SELECT DISTINCT 'plant_metrics', plant_id FROM span_rows
+              UNION ALL SELECT DISTINCT 'inverters', plant_id FROM fleet)
+        WHERE plant_id NOT IN (SELECT plant_id FROM sites WHERE active)""",
     "alert_constraints": """
         SELECT DISTINCT 'alerts' AS "table", 'FOREIGN_KEY' AS "check", plant_id AS key FROM alert_rows
         WHERE plant_id NOT IN (SELECT plant_id FROM sites WHERE active)""",
@@ -530,6 +526,20 @@ _QUERIES: dict[str, str] = {
         SELECT p.plant_id, plant_name, round(capacity_kw, 6) AS capacity_kw, window_end AS timestamp, {_MEASURES},
                {_fresh('window_end', 21600)}
         FROM sites p LEFT JOIN plant_rows m ON m.plant_id = p.plant_id""",
+    "plant_live_one": f"""
+        SELECT p.plant_id, plant_name, round(capacity_kw, 6) AS capacity_kw, window_end AS timestamp, {_MEASURES},
+               {_fresh('window_end', 21600)}
+        FROM sites p LEFT JOIN plant_rows m ON m.plant_id = p.plant_id WHERE p.plant_id = (SELECT min(plant_id) FROM sites)""",
+    "plant_history_one": f"""
+        SELECT plant_id, window_start, window_end, {_r('current_power_kw', 'avg_power_kw', 'expected_power_kw',
+               'performance_pct', 'availability_pct')}
+        FROM span_rows WHERE plant_id = (SELECT min(plant_id) FROM sites) AND window_end BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20'""",
+    "plant_inverters_one": """
+        SELECT plant_id, inverter_id, inverter_name, round(rated_power_kw, 6) AS rated_power_kw, active FROM fleet WHERE plant_id = (SELECT min(plant_id) FROM sites)""",
+    "upsert_repeated": """
+        SELECT CAST(CAST(simulation_date AS DATE) AS VARCHAR) AS simulation_date, plant_id,
+               round(ppa_rate_per_kwh + CASE WHEN day(simulation_date) > 15 THEN CAST(0.5 AS DOUBLE) ELSE 0 END, 6) AS ppa_rate_per_kwh
+        FROM ref""",
     "plant_ranking": f"""
         SELECT p.plant_id, {_r('performance_pct')} FROM sites p LEFT JOIN plant_rows m ON m.plant_id = p.plant_id""",
     "plant_history": f"""

@@ -23,10 +23,15 @@ from wattscope.streaming.microbatch import LiveTables, alerts_table, live_table,
 NOW = {"availableNow": True}
 S = FleetSettings()
 WEEK = 7 * 86400
-FIRST, LAST = date(2024, 1, 1), date(2024, 1, 30)
 GAP_SECONDS = 3 * 86400
 
 
+def _first_and_last(spark: SparkSession, sf_dir: str) -> tuple[date, date]:
+    """The days of the events, whichever they are."""
+    day = F.to_date("event_time")
+    return tuple(bed.telemetry(spark, sf_dir).agg(F.min(day), F.max(day)).first())
+
+
 def _landed(spark: SparkSession, sf_dir: str, work: str) -> DataFrame:
     bed.raw_records(spark, sf_dir).write.parquet(f"{work}/records")
     return file_records(spark, f"{work}/records")
@@ -70,7 +75,7 @@ def _archived(spark, d, work):
 def stream_archive_roundtrip(spark, d):
     """Archived by the stream, read back by day: the daily actuals of the records."""
     path = _archived(spark, d, new_folder(spark, "archive"))
-    return energy.plant_actuals(read_days(spark, path, FIRST, LAST), S)
+    return energy.plant_actuals(read_days(spark, path, *_first_and_last(spark, d)), S)
 
 
 def _weekly_live(spark, d) -> LiveTables:
@@ -126,7 +131,7 @@ def daily_job(spark, d):
     feed_csv.write_feed(bed.daily_reference(spark, d), f"{work}/feed")
     tables = daily.DailyTables(f"{work}/tables")
     plants = bed.plants(spark, d).withColumn("active", F.lit(True))
-    daily.run_days(spark, archive, f"{work}/feed", plants, tables, FIRST, LAST, None, S)
+    daily.run_days(spark, archive, f"{work}/feed", plants, tables, *_first_and_last(spark, d), None, S)
     return reconcile.totals(daily.read_summary(spark, tables))
 
 

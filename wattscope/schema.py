@@ -34,6 +34,7 @@ RAW_RECORD = T.StructType([
     T.StructField("timestamp", T.TimestampType()),
 ])
 
+# --- fixed values: columns of the archive, the metrics, the alerts, the feed, the summary and the portfolio file
 ARCHIVE_COLUMNS = (
     "event_id", "plant_id", "inverter_id", "active_power_kw", "energy_today_kwh",
     "irradiance_wm2", "module_temp_c", "inverter_temp_c", "status", "availability",

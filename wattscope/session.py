@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -55,8 +56,30 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+def _application_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/wattscope-{spark.sparkContext.applicationId}"
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/wattscope-{label}-{uuid.uuid4().hex}"
+    """A folder of this application; all of them go with ``release``, at the latest when Python ends."""
+    own = _application_folder(spark)
+    if own not in _released_at_exit:
+        _released_at_exit.add(own)
+        atexit.register(release, spark)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
+
+
+_released_at_exit: set[str] = set()
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every intermediate table of this application; frames that read them can't be used any more."""
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_application_folder(spark))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # at exit the session may be gone already
+        if spark.sparkContext._jsc is not None:
+            raise
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
