@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
 
@@ -61,25 +60,30 @@ def _application_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A folder of this application; all of them go with ``release``, at the latest when Python ends."""
+    """A folder of this application; all of them go with ``release``, at the latest when the driver ends."""
     own = _application_folder(spark)
-    if own not in _released_at_exit:
-        _released_at_exit.add(own)
-        atexit.register(release, spark)
+    if own not in _known:
+        _known.add(own)
+        path, files = _hadoop(spark, own)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
     return f"{own}/{label}-{uuid.uuid4().hex}"
 
 
-_released_at_exit: set[str] = set()
+_known: set[str] = set()
+
+
+def _hadoop(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def release(spark: SparkSession) -> None:
-    """Delete every intermediate table of this application; frames that read them can't be used any more."""
-    try:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_application_folder(spark))
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # at exit the session may be gone already
-        if spark.sparkContext._jsc is not None:
-            raise
+    """Delete every intermediate table of this application now; frames that read them can't be used any more."""
+    own = _application_folder(spark)
+    path, files = _hadoop(spark, own)
+    files.delete(path, True)
+    _known.discard(own)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
