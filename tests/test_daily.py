@@ -74,3 +74,19 @@ def test_day_without_feed(spark, setup):
     put(setup[0], D1, ("A", 1000), ("B", 1600))
     got, found = run(spark, setup, D1, D2)
     assert len(got) == 2 and found == {(22, "feed", None, "FEED_MISSING")}
+
+
+def test_rerun_withdraws_what_no_longer_holds(spark, setup):
+    """A day whose archive is gone loses its actuals; one that fails now is not served from an older run."""
+    root, plants, tables = setup
+    put(root, D1, ("A", 1000), ("B", 1600))
+    put(root, D2, ("A", 1000), ("B", 1600))
+    got, found = run(spark, setup, D1, D2)
+    assert len(got) == 4 and not found
+    Path(root, "archive", f"simulation_date={D2}").rename(Path(root, "moved"))
+    put(root, D1, ("A", 1000), ("B", 100))
+    got, found = run(spark, setup, D1, D2)
+    assert got == {} and found == {(21, "reconcile", "B", "IMPLAUSIBLE_PERFORMANCE"), (22, "archive", None, "ARCHIVE_EMPTY")}
+    Path(root, "moved").rename(Path(root, "archive", f"simulation_date={D2}"))
+    got, found = run(spark, setup, D2, D2)
+    assert set(got) == {(22, "A"), (22, "B")}

@@ -2,7 +2,8 @@
 
 Feed present and sound -> archive present -> feed loaded -> energy metered -> reconciled ->
 published -> checked. A day that fails a gate is not published and leaves an issue row; the
-other days of the range go on. Running a day again replaces that day only.
+other days of the range go on. Running days again replaces what is known of them and of no others: a
+day whose archive is gone loses its actuals, and one that fails now is withdrawn if it was published before.
 """
 
 from __future__ import annotations
@@ -80,10 +81,10 @@ def run_days(spark: SparkSession, archive: str, feed_path: str, plants: DataFram
 
     # Each stage is a table the next one reads: lost executors repeat one stage, not the run.
     actuals = energy.plant_actuals(read_days(spark, archive, first, last), s)
-    replace_partitions(actuals, tables.actuals, ["simulation_date"])
+    _replace_days(actuals, dates, tables.actuals)
     day = F.col("simulation_date")
     in_range = day.between(F.lit(first), F.lit(last))
-    actuals = read_table(spark, tables.actuals, ACTUALS_SCHEMA).where(in_range)
+    actuals = read_table(spark, tables.actuals, ACTUALS_SCHEMA).where(in_range & F.col("plant_id").isNotNull())
     empty = (dates.join(actuals.select("simulation_date").distinct(), "simulation_date", "left_anti")
              .withColumn("problem", F.lit("ARCHIVE_EMPTY")))
     gate = quality.union_all([
@@ -104,7 +105,7 @@ def run_days(spark: SparkSession, archive: str, feed_path: str, plants: DataFram
 
     counts = reconcile.alert_counts(alerts) if alerts is not None else None
     reconciled = reconcile.reconcile(reference, actuals.join(refused, "simulation_date", "left_anti"), counts)
-    replace_partitions(reconcile.publishable(reconciled), tables.summary, ["simulation_date"])
+    _replace_days(reconcile.publishable(reconciled), dates, tables.summary)
     problems = _issues(reconcile.remarks(reconciled, "problems"), "reconcile", "simulation_date", "remark")
 
     # What landed is checked, not what was meant to land.
@@ -119,6 +120,11 @@ def run_days(spark: SparkSession, archive: str, feed_path: str, plants: DataFram
         quality.gate(issues(spark, tables).where(in_range), f"daily run {first}..{last}")
 
 
+def _replace_days(rows: DataFrame, dates: DataFrame, path: str) -> None:
+    """Replace every requested day. A day without rows gets an empty mark (no plant), so that nothing older stays."""
+    replace_partitions(rows.unionByName(dates, allowMissingColumns=True), path, ["simulation_date"])
+
+
 def _record(found: DataFrame, dates: DataFrame, tables: DailyTables, step: str) -> None:
     """Replace the issues of every requested day; a day without any leaves an empty mark, so
     that what an earlier run found is gone."""
@@ -137,7 +143,7 @@ def issues(spark: SparkSession, tables: DailyTables) -> DataFrame:
 
 
 def read_summary(spark: SparkSession, tables: DailyTables) -> DataFrame:
-    return read_table(spark, tables.summary, SUMMARY_SCHEMA)
+    return read_table(spark, tables.summary, SUMMARY_SCHEMA).where("plant_id is not null")
 
 
 def health(spark: SparkSession, tables: DailyTables, first: date, last: date | None = None) -> DataFrame:

@@ -758,6 +758,16 @@ _QUERIES["daily_job"] = f"""
               FROM job_rows GROUP BY 1
               HAVING max(performance_pct) <= 300 AND day(simulation_date) <> 13)"""
 
+for _view, _read in (("ticks", {"telem": "kept"}), ("states", {"ticks": "kept_ticks", "telem": "kept"}), ("diagnosed", {"states": "kept_states"}),
+                     ("faults", {"diagnosed": "kept_diagnosed"}), ("runs", {"ticks": "kept_ticks", "faults": "kept_faults"}),
+                     ("alert_rows", {"runs": "kept_runs"}), ("alerts_per_day", {"alert_rows": "kept_alert_rows"})):
+    _VIEWS[f"kept_{_view}"] = _over(_view, **_read)
+_VIEWS["job_recon"] = _over("recon", recon_base="job_rows", alerts_per_day="kept_alerts_per_day")
+_QUERIES["daily_job_summary"] = f"""
+        SELECT {_SUMMARY} FROM job_recon r
+        WHERE day(simulation_date) <> 13
+          AND NOT EXISTS (SELECT 1 FROM job_rows j WHERE j.simulation_date = r.simulation_date AND j.performance_pct > 300)"""
+
 
 def _needed(text: str, found: set[str]) -> set[str]:
     for name in _VIEWS:

@@ -8,7 +8,7 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattscope.operators import energy, metrics, reconcile, registry, telemetry
+from wattscope.operators import energy, incidents, metrics, reconcile, registry, telemetry
 from wattscope.plans import daily
 from wattscope.plans import testbed as bed
 from wattscope.session import new_folder
@@ -124,16 +124,28 @@ def stream_silence(spark, d):
     return spark.read.parquet(f"{work}/out")
 
 
-def daily_job(spark, d):
+def _daily_run(spark, d, alerts=None) -> DataFrame:
     """Feed files and archive in, published summaries out, for the whole month in one run."""
     work = new_folder(spark, "daily")
     archive = _archived(spark, d, work)
     feed_csv.write_feed(bed.daily_reference(spark, d), f"{work}/feed")
     tables = daily.DailyTables(f"{work}/tables")
     plants = bed.plants(spark, d).withColumn("active", F.lit(True))
-    daily.run_days(spark, archive, f"{work}/feed", plants, tables, *_first_and_last(spark, d), None, S)
-    return reconcile.totals(daily.read_summary(spark, tables))
+    daily.run_days(spark, archive, f"{work}/feed", plants, tables, *_first_and_last(spark, d), alerts, S)
+    return daily.read_summary(spark, tables)
+
+
+def daily_job(spark, d):
+    return reconcile.totals(_daily_run(spark, d))
+
+
+def daily_job_summary(spark, d):
+    """The published rows, with the alerts of each plant and day counted."""
+    inverters = registry.inverter_reference(bed.inverters(spark, d))
+    runs = incidents.sustained_runs(telemetry.trusted(telemetry.parse(bed.raw_records(spark, d))), inverters, 86400, S)
+    return _daily_run(spark, d, incidents.priced_alerts(runs, bed.daily_reference(spark, d), S))
 
 
 STREAMS = (stream_valid, stream_windowed_metrics, stream_quarantine, stream_archive_roundtrip,
-           stream_alert_lifecycle, stream_live_metrics, stream_live_portfolio, stream_live_health, stream_silence, daily_job)
+           stream_alert_lifecycle, stream_live_metrics, stream_live_portfolio, stream_live_health, stream_silence,
+           daily_job, daily_job_summary)
