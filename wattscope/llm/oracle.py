@@ -49,6 +49,68 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)"""
 
+SQL["op7_jaccard"] = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), []) AS w FROM documents),
+     sh AS (SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS g
+            FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0 AND doc_id IS NOT NULL)),
+     size AS (SELECT r, count(*) AS n FROM sh GROUP BY 1),
+     met AS (SELECT a.r AS a, b.r AS b, count(*) AS n FROM sh a JOIN sh b ON a.g = b.g AND a.r <> b.r GROUP BY 1, 2),
+     link AS (SELECT a, b FROM met JOIN size x ON x.r = a JOIN size y ON y.r = b
+              WHERE met.n >= 0.8::DOUBLE * (x.n + y.n - met.n) - 1e-9),
+     reach AS (SELECT r, r AS other FROM w UNION SELECT reach.r, link.b FROM reach JOIN link ON link.a = reach.other),
+     class AS (SELECT reach.r, min(o.doc_id) AS class_id FROM reach JOIN w o ON o.r = reach.other GROUP BY 1),
+     n AS (SELECT a AS r, count(*) AS n_links FROM link GROUP BY 1)
+SELECT doc_id, class_id, coalesce(n_links, 0)::BIGINT AS n_links FROM w JOIN class USING (r) LEFT JOIN n USING (r)"""
+
+_LUHN = """list_sum(list_transform(range(0, strlen(digits)), lambda i:
+    CASE WHEN i % 2 = 0 THEN substr(digits, strlen(digits) - i, 1)::INTEGER
+         WHEN 2 * substr(digits, strlen(digits) - i, 1)::INTEGER > 9 THEN 2 * substr(digits, strlen(digits) - i, 1)::INTEGER - 9
+         ELSE 2 * substr(digits, strlen(digits) - i, 1)::INTEGER END)) % 10 = 0"""
+
+# Base spans by kind, then the terms beside them, their disclosure, and where they occur outside base spans.
+SQL["op4_pii"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+     kinds AS (SELECT * FROM (VALUES
+        (1, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'), (2, 'ip', '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'),
+        (3, 'card', '[0-9]([ -]?[0-9])+'), (4, 'phone', '\+[0-9][ ().0-9-]+[0-9]')) k(ord, kind, pattern)),
+     parted AS (SELECT r, ord, kind, string_split(regexp_replace(t, pattern, chr(57344) || '\0' || chr(57344), 'g'), chr(57344)) AS ps FROM d, kinds),
+     matched AS (SELECT r, ord, kind, coalesce(list_sum(list_transform(ps[1:i - 1], lambda p: length(p))), 0)::BIGINT AS s, ps[i] AS v,
+                        right(ps[i - 1], 120) AS lhs, left(ps[i + 1], 120) AS rhs
+                 FROM (SELECT *, unnest(range(2, len(ps), 2)) AS i FROM parted)),
+     digited AS (SELECT *, s + length(v) AS e, regexp_replace(v, '[^0-9]', '', 'g') AS digits FROM matched),
+     base AS (SELECT * FROM digited WHERE CASE kind
+        WHEN 'email' THEN true
+        WHEN 'ip' THEN regexp_full_match(v, '0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{{1,2}})(\.0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{{1,2}})){{3}}')
+        WHEN 'card' THEN strlen(digits) BETWEEN 16 AND 19 AND {_LUHN}
+        ELSE strlen(digits) BETWEEN 8 AND 15 END),
+     cut AS (SELECT kind || ':' || CASE WHEN kind IN ('card', 'phone') THEN digits ELSE lower(v) END AS entity, lhs, rhs,
+                    list_filter(regexp_split_to_array(lower(CASE WHEN length(lhs) = 120 THEN regexp_replace(lhs, '^\p{{L}}+', '') ELSE lhs END), '\P{{L}}+'), lambda w: length(w) >= 3) AS a,
+                    list_filter(regexp_split_to_array(lower(CASE WHEN length(rhs) = 120 THEN regexp_replace(rhs, '\p{{L}}+$', '') ELSE rhs END), '\P{{L}}+'), lambda w: length(w) >= 3) AS b
+             FROM base),
+     mention AS (SELECT entity, lhs, rhs, list_distinct(list_concat(a[greatest(len(a) - 7, 1):], b[1:8])) AS terms FROM cut),
+     near AS (SELECT entity, lhs, rhs, unnest(terms) AS term FROM mention),
+     ent AS (SELECT entity, sum(len(terms)) AS w FROM mention GROUP BY 1),
+     pair AS (SELECT entity, term, count(*) AS n, count(DISTINCT (lhs, rhs)) AS contexts FROM near GROUP BY 1, 2),
+     word AS (SELECT r, unnest(list_filter(regexp_split_to_array(lower(t), '\P{{L}}+'), lambda w: length(w) >= 3)) AS term FROM d),
+     voc AS (SELECT term, count(*) AS n_t FROM word GROUP BY 1),
+     total AS (SELECT sum(n_t)::DOUBLE AS n FROM voc),
+     risky AS (SELECT DISTINCT term FROM pair JOIN voc USING (term) JOIN ent USING (entity), total
+               WHERE contexts >= 3 AND CASE WHEN w < total.n THEN 1 + log2(least(pair.n / n_t::DOUBLE, 1)) / -log2(w / total.n) ELSE 0 END >= 0.9::DOUBLE),
+     own AS (SELECT r, string_agg(DISTINCT term, '|') AS terms FROM word JOIN risky USING (term) GROUP BY 1),
+     -- A letter before or behind must not belong to the match, so letters runs are compared as a whole.
+     runs AS (SELECT d.r, string_split(regexp_replace(t, '\p{{L}}+', chr(57344) || '\0' || chr(57344), 'g'), chr(57344)) AS ps, string_split(terms, '|') AS terms FROM d JOIN own USING (r)),
+     term AS (SELECT r, 5 AS ord, 'term' AS kind, coalesce(list_sum(list_transform(ps[1:i - 1], lambda p: length(p))), 0)::BIGINT AS s, ps[i] AS v
+              FROM (SELECT *, unnest(range(2, len(ps), 2)) AS i FROM runs) WHERE list_contains(terms, lower(ps[i]))),
+     spans AS (SELECT r, ord, kind, s, e FROM base UNION ALL
+               SELECT r, ord, kind, s, s + length(v) FROM term
+               WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = term.r AND b.s < term.s + length(term.v) AND term.s < b.e)),
+     listed AS (SELECT r, count(*) FILTER (ord = 1) AS n_email, count(*) FILTER (ord = 2) AS n_ip, count(*) FILTER (ord = 3) AS n_card, count(*) FILTER (ord = 4) AS n_phone,
+                       string_agg(kind || ':' || s || ':' || e, ',' ORDER BY ord, s) FILTER (ord < 5) AS base,
+                       string_agg(kind || ':' || s || ':' || e, ',' ORDER BY ord, s) AS spans FROM spans GROUP BY 1)
+SELECT doc_id, coalesce(n_email, 0)::BIGINT AS n_email, coalesce(n_ip, 0)::BIGINT AS n_ip, coalesce(n_card, 0)::BIGINT AS n_card,
+       coalesce(n_phone, 0)::BIGINT AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN listed USING (r)"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
