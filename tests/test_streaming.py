@@ -244,3 +244,22 @@ def test_faults_by_event_time(spark, work, land, fleet):
     got = sorted((r.last_observed_at.hour, r.change, r.observation_count, r.sum_loss_kw, r.ended_at and r.ended_at.hour)
                  for r in spark.read.parquet(f"{work}/out").collect())
     assert got == [(7, "OPENED", 2, 800, None), (8, "REFRESHED", 3, 1200, None), (8, "RESOLVED", 3, 1200, 9)]
+
+
+def test_kafka_source_and_sink_options(spark, events):
+    """What the connector would be handed; there is no broker here."""
+    from unittest.mock import MagicMock
+
+    from wattscope.sources.records import kafka_records
+    session, given = MagicMock(), {}
+    reader = session.readStream.format.return_value
+    reader.option.side_effect = lambda k, v: given.update({k: v}) or reader
+    kafka_records(session, "broker:9092", "telemetry", "latest", 500)
+    session.readStream.format.assert_called_once_with("kafka")
+    assert given == {"kafka.bootstrap.servers": "broker:9092", "subscribe": "telemetry", "startingOffsets": "latest",
+                     "failOnDataLoss": "false", "maxOffsetsPerTrigger": 500}
+    reader.load.return_value.select.assert_called_once_with("key", "value", "topic", "partition", "offset", "timestamp")
+    with pytest.raises(ValueError):
+        sinks.write_quarantine(None, "ckpt")
+    with pytest.raises(ValueError):
+        sinks.write_quarantine(None, "ckpt", path="p", kafka={"topic": "t"})

@@ -20,8 +20,10 @@ from wattscope.operators import (
 )
 from wattscope.plans import testbed as bed
 from wattscope.plans.stream_catalog import STREAMS
-from wattscope.session import prepare
+from wattscope.session import new_folder, prepare
 from wattscope.settings import FleetSettings
+from wattscope.sources.portfolio_json import read_portfolio
+from wattscope.sources.report_csv import export_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -409,6 +411,27 @@ def daily_report_rows(spark, d):
     return serving.daily_rows(_summary(spark, d), bed.plants(spark, d))
 
 
+def report_export(spark, d):
+    """The daily report written as CSV for people, and read back."""
+    rows = daily_report_rows(spark, d)
+    folder = new_folder(spark, "report")
+    export_report(rows, folder)
+    return spark.read.schema(rows.schema).option("header", True).csv(folder)
+
+
+def portfolio_flatten(spark, d):
+    """The registry written as nested portfolio files, read and flattened again."""
+    units = bed.inverters(spark, d).groupBy("plant_id").agg(F.collect_list(F.struct(
+        F.col("inverter_id").alias("id"), F.col("inverter_name").alias("name"), "rated_power_kw")).alias("inverters"))
+    nested = bed.plants(spark, d).join(units, "plant_id").select(
+        F.col("plant_id").alias("id"), F.col("plant_name").alias("name"), "capacity_kw", "timezone", "ppa_rate_per_kwh", "inverters")
+    folder = new_folder(spark, "portfolio")
+    nested.write.json(folder)
+    plants, inverters = read_portfolio(spark, folder)
+    return inverters.join(plants.select("plant_id", "plant_name"), "plant_id").select(
+        "plant_id", "plant_name", "inverter_id", "inverter_name", "rated_power_kw", "active")
+
+
 def daily_report(spark, d):
     return serving.daily_report(_summary(spark, d), bed.plants(spark, d))
 
@@ -440,6 +463,7 @@ BATCH: tuple[Query, ...] = (
     alert_constraints, forecast_feed, scenario_range_join, upsert_merge, plant_reference,
     portfolio_checks, rated_capacity, installed_capacity, portfolio_live, plants_list, plant_live,
     plant_live_one, plant_history_one, plant_inverters_one, upsert_repeated,
+    report_export, portfolio_flatten,
     plant_ranking, plant_history, plant_inverters, daily_totals, daily_report_rows, daily_report,
     pipeline_health, display_units,
 )

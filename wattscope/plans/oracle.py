@@ -634,6 +634,10 @@ _QUERIES["stream_valid"] = f"""
 _QUERIES["stream_windowed_metrics"] = f"""
         SELECT {_PLANT_METRICS} FROM spans_out
         WHERE window_end <= (SELECT max(event_time) FROM trusted) - INTERVAL 2 MINUTE"""
+_QUERIES["report_export"] = _QUERIES["daily_report_rows"]
+_QUERIES["portfolio_flatten"] = """
+        SELECT f.plant_id, plant_name, inverter_id, inverter_name, round(rated_power_kw, 6) AS rated_power_kw, true AS active
+        FROM fleet f JOIN sites p ON p.plant_id = f.plant_id"""
 _QUERIES["stream_quarantine"] = _QUERIES["quarantine_counts"]
 
 _VIEWS["kept"] = "SELECT * REPLACE (CAST(event_time AS DATE) AS simulation_date) FROM (SELECT *, NULL AS simulation_date FROM trusted)"
