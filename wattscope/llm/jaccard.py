@@ -175,7 +175,11 @@ def classify(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float
                              F.min("bands").alias("bands")), "nodes")
     banded = nodes.select("node", F.explode("bands").alias("band"))
     met = banded.groupBy("band").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "a")
-    groups = connected_components(banded.join(met, "band").select("a", F.col("node").alias("b")).where("a <> b").distinct())
+    # A node is linked to the smallest node it meets, and that one to the smallest of each of the node's bands:
+    # the same groups with about one link a node, where many near copies share many bands. At most ``bands`` a node.
+    own = banded.join(met, "band").groupBy("node").agg(F.min("a").alias("a"), F.collect_set("a").alias("others"))
+    links = own.select("a", F.col("node").alias("b")).union(own.select("a", F.explode("others").alias("b"))).where("a <> b").distinct()
+    groups = connected_components(links)
 
     sized = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")).join(
         groups.join(nodes.select("node", "size"), "node").groupBy("component").agg(F.sum("size").alias("total")), "component")
