@@ -23,6 +23,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain, islice, repeat
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -216,15 +217,28 @@ class WordCache:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.most_words = most_words
+        # The usual naming of bytes: printable ones by themselves, the others by characters from 256 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in plain]
+        self.byte_names = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(hidden)}
         self.place: dict[str, int] = {"": 0}
         #: Where the ids of each word begin in ``flat``, and where the last one ends.
         self.bounds = np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 16, "<u4")
 
+    def _letters(self, word: str) -> list[int]:
+        """Ids of a word of lower-case letters alone: it is one token to the splitter, so only its bytes, each
+        written as the character that stands for it in the vocabulary, are left to merge."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.byte_names)
+        return [t.id for t in self.tokenizer.model.tokenize(word)]
+
     def _learn(self, words: list[str]) -> None:
         for at in range(0, len(words), 2048):
             part = words[at:at + 2048]
-            got = [x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            got = [self._letters(w) if w.isalpha() and is_normalized("NFC", w) else None for w in part]
+            other = iter(self.tokenizer.encode_batch_fast([w for w, ids in zip(part, got, strict=True) if ids is None], add_special_tokens=False))
+            got = [next(other).ids if ids is None else ids for ids in got]
             n = len(self.place)
             ends = self.bounds[n] + np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))
             while n + len(got) + 1 > len(self.bounds):
