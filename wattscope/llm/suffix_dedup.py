@@ -203,7 +203,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 96, most_clas
 
     long_enough = named.where(F.octet_length("text") >= length)
     every = materialize(long_enough.select("k1", "k2", "text").mapInArrow(find, "k1 long, k2 long, at int, lo int, hi int, g long, c long"), "anchors")
-    again = every.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
+    # A written table, so that both sides of the join are plain shuffles and a hot k-gram's anchors can be split.
+    again = materialize(every.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g"), "again")
     occurring = materialize(every.join(again, "g"), "occurring")
     classes = materialize(occurring.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "at", "lo", "hi")).alias("one")), "classes")
     several = classes.groupBy("g").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
