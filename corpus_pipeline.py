@@ -34,7 +34,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = pii.find(docs).withColumn("_clean", F.when(F.size("pii") > 0, pii.sanitised(F.col("text"), F.col("pii"))))
+    found = pii.find(docs, confidence=0.9).withColumn("_clean", F.when(F.size("pii") > 0, pii.sanitised(F.col("text"), F.col("pii"))))
     changed = {"text": F.coalesce("_clean", "text"),
                "n_chars": F.when(F.col("_clean").isNotNull(), F.char_length("_clean").cast("long")).otherwise(F.col("n_chars"))}
     return found.select(*(changed[c].alias(c) if c in changed else c for c in docs.columns))

@@ -76,3 +76,12 @@ def test_planted_rows_and_odd_rows(spark, tmp_path):
     empty = docs.where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, d).count() == 0
+
+
+def test_a_name_beside_one_mention_goes(spark):
+    filler = [(k, " ".join(f"{a}{b}{c}" for a in ("bantaro", "corlin", "delmir") for b in "aeiou" for c in "aeiou") + " ") for k in range(100)]
+    rows = [(k, t * 20) for k, t in filler] + [(100, "bantaroaa corlinue zephyrine jo@mail.example.org delmiroo bantaroea")]
+    docs = spark.createDataFrame([(k, t, len(t)) for k, t in rows], "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: r for r in corpus_pipeline.personal_data_stage(spark, docs, "").collect()}
+    assert got[100]["text"] == "bantaroaa corlinue [TERM] [EMAIL] delmiroo bantaroea" and got[100]["n_chars"] == len(got[100]["text"])
+    assert all(got[k]["text"] == t for k, t in rows[:100])

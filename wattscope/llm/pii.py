@@ -9,7 +9,9 @@ in the corpus, w(e) of them near mentions of entity e, n(t) occurrences of term
 is the share of the entity's information content that the term gives away, 1 if the term occurs nowhere
 else. A term whose disclosure for any entity reaches ``threshold``, in at least ``support`` different contexts,
 is sanitised wherever it occurs: generalised to its beginning (``sch*``) if the words that share this do not
-disclose the entity themselves, else removed.
+disclose the entity themselves, else removed. With ``confidence`` a term is also sanitised, however few its
+contexts, if its disclosure reaches ``threshold`` with the lower confidence bound (Wilson, one-sided) of
+n(e,t) / n(t) in place of that share: the more words a corpus has, the fewer mentions that takes.
 
 A match is marked in the text and the text split at the marks, which gives positions in code points without a
 UDF. Patterns are possessive and start at the beginning of a run only, so they take linear time and no stack;
@@ -23,6 +25,8 @@ gives no rows.
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,7 +125,12 @@ def _entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"], value)
 
 
-def disclosing_terms(docs: DataFrame, threshold: float = 0.9, support: int = 3) -> DataFrame:
+def _lower_bound(share: Column, n: Column, confidence: float) -> Column:
+    z = NormalDist().inv_cdf(confidence)
+    return (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def disclosing_terms(docs: DataFrame, threshold: float = 0.9, support: int = 3, confidence: float | None = None) -> DataFrame:
     """``term, disclosure, replacement`` of the terms that disclose a protected entity of the corpus."""
     text = F.coalesce(F.col("text"), F.lit(""))
     spans = docs.select(F.explode(base_spans(text)).alias("s"))
@@ -133,13 +142,18 @@ def disclosing_terms(docs: DataFrame, threshold: float = 0.9, support: int = 3)
     vocabulary = materialize(docs.select(F.explode(_terms(text)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")), "vocabulary")
     total = vocabulary.agg(F.sum("n_t")).first()[0] or 1
 
-    def disclosure(n_et: Column, n_t: Column) -> Column:
+    def disclosure(n_et: Column, n_t: Column, confidence: float | None = None) -> Column:
         ic = -F.log2(F.col("w") / total)
         # An entity that is beside every word of the corpus has no information to give away.
-        return F.when(ic > 0, 1 + F.log2(F.least(n_et / n_t, F.lit(1.0))) / ic).otherwise(0.0)
-
-    risky = (pairs.where(F.col("contexts") >= support).join(vocabulary, "term").join(entities, "entity")
-             .withColumn("disclosure", disclosure(F.col("n"), F.col("n_t"))).where(F.col("disclosure") >= threshold)
+        share = F.least(n_et / n_t, F.lit(1.0))
+        share = share if confidence is None else _lower_bound(share, n_t.cast("double"), confidence)
+        return F.when(ic > 0, 1 + F.log2(share) / ic).otherwise(0.0)
+
+    enough = F.col("contexts") >= support
+    if confidence is not None:
+        enough = enough | (disclosure(F.col("n"), F.col("n_t"), confidence) >= threshold)
+    risky = ((pairs if confidence is not None else pairs.where(enough)).join(vocabulary, "term").join(entities, "entity")
+             .withColumn("disclosure", disclosure(F.col("n"), F.col("n_t"))).where(enough & (F.col("disclosure") >= threshold))
              .withColumn("start", F.left("term", F.lit(3))).select("entity", "term", "w", "disclosure", "start"))
     wide = vocabulary.groupBy(F.left("term", F.lit(3)).alias("start")).agg(F.sum("n_t").alias("n_start"))
     wide_near = pairs.groupBy("entity", F.left("term", F.lit(3)).alias("start")).agg(F.sum("n").alias("n_near"))
