@@ -62,3 +62,13 @@ def test_nothing_to_learn(spark, rows):
     model = langid.fit(docs, F.lit(True))
     got = langid.predict(docs.select("doc_id", F.col("text").alias("_text")), model).collect()
     assert [(r["lang_pred"], r["score"]) for r in got] == [("und", 0.0)] * len(rows)
+
+
+def test_every_language_beyond_one_mask(spark):
+    word = lambda k: "".join(chr(0x4E00 + 40 * k + j) for j in range(30))
+    rows = [(n * 1000 + k, word(k), f"l{k:03}") for k in range(130) for n in range(2 if k < 70 else 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.lit(True))
+    assert len(model["langs"]) == len(model["false_positive"]) == 130
+    got = langid.predict(docs.select("doc_id", "lang", F.col("text").alias("_text")), model).collect()
+    assert all(r["lang_pred"] == r["lang"] and r["score"] == 1 for r in got)

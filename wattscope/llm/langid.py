@@ -3,14 +3,14 @@
 Learning: character n-grams (2 to 4 letters, over word ends) that occur in enough documents of a language
 go into that language's Bloom filter. All filters share their hash functions, so they are kept bit-sliced:
 row h of the table is a mask with one bit for each language, and the AND of an n-gram's rows is the mask of
-all languages that contain it.
+all languages that contain it. A mask has a number for each 62 languages, so no language is left out.
 
 Prediction: the popcount of each language's bit over a text's n-grams, corrected for false positives. With
 false positive rate f (fill of the language's slice to the power of the hash functions), a share s of hits
 stands for (s - f) / (1 - f) n-grams contained. The language with the largest corrected share wins; ties go
 to the language with more training documents, then to the smaller name.
 
-The table has a fixed number of rows whatever the corpus holds, and is fitted on a sample of at most about
+The table has a fixed number of rows whatever the corpus holds (16 MB for each 62 languages), and is fitted on a sample of at most about
 ``fit_rows`` documents of each language; every n-gram of every text is looked up.
 
 Defined cases: a text that is null or without a letter, or any text where nothing could be learned, is
@@ -33,7 +33,7 @@ from wattscope.llm.common import bounded_sample
 ORDERS = (2, 3, 4)
 ROWS = 1 << 21
 HASHES = 3
-MOST_LANGUAGES = 62
+MASK_BITS = 62
 UNKNOWN = "und"
 
 
@@ -113,38 +113,45 @@ def fit(docs: DataFrame, train: Column, fit_rows: int = 8000, least_share: float
     """The table and what is known of each language, learned from ``text, lang`` of rows where ``train``.
 
     An n-gram is in a language's filter if at least ``least_docs`` documents and a ``least_share`` of its
-    sampled documents have it. At most 62 languages, those with the most documents, can be told apart.
+    sampled documents have it.
     """
     known = docs.select("doc_id", "text", "lang").where(train & F.col("text").isNotNull() & F.col("lang").isNotNull())
     sample = bounded_sample(known, "lang", fit_rows)
     n_docs = {r[0]: r[1] for r in sample.groupBy("lang").count().collect()}
-    langs = sorted(n_docs, key=lambda x: (-n_docs[x], x))[:MOST_LANGUAGES]
-    table = np.zeros(ROWS, np.int64)
+    langs = sorted(n_docs, key=lambda x: (-n_docs[x], x))
+    table = np.zeros((ROWS, max(1, -(-len(langs) // MASK_BITS))), np.int64)
     if langs:
-        bit, least = F.lit(0).cast("long"), F.lit(0)
+        bit = part = least = F
         for i, x in enumerate(langs):
-            bit = F.when(F.col("lang") == F.lit(x), F.lit(1 << i).cast("long")).otherwise(bit)
-            least = F.when(F.col("lang") == F.lit(x), F.lit(max(least_docs if n_docs[x] >= 50 else 1, least_share * n_docs[x]))).otherwise(least)
+            same = F.col("lang") == F.lit(x)
+            bit, part = bit.when(same, F.lit(1 << i % MASK_BITS).cast("long")), part.when(same, F.lit(i // MASK_BITS))
+            least = least.when(same, F.lit(float(max(least_docs if n_docs[x] >= 50 else 1, least_share * n_docs[x]))))
 
         def rows_of(batches):
             for batch in batches:
                 at = _places(batch.column("gram").to_numpy().view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(at)), pa.array(np.tile(batch.column("bit").to_numpy(), HASHES))], ["at", "mask"])
+                part, bit = (np.tile(batch.column(c).to_numpy(), HASHES) for c in ("part", "bit"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(at)), pa.array(part), pa.array(bit)], ["at", "part", "mask"])
 
         counts = (sample.select("lang", "text").mapInArrow(_document_counts, "lang string, gram long, n long")
                   .groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
-        slices = (counts.groupBy("gram").agg(F.bit_or(bit).alias("bit")).mapInArrow(rows_of, "at long, mask long")
-                  .groupBy("at").agg(F.bit_or("mask").alias("mask")))
-        got = slices.toArrow()  # at most one row for each row of the table
-        table[got.column("at").to_numpy()] = got.column("mask").to_numpy()
-    fill = [float((table >> i & 1).mean()) for i in range(len(langs))]
-    small = table.astype(np.uint8) if len(langs) <= 8 else table
+        slices = (counts.groupBy("gram", part.alias("part")).agg(F.bit_or(bit).alias("bit")).mapInArrow(rows_of, "at long, part int, mask long")
+                  .groupBy("at", "part").agg(F.bit_or("mask").alias("mask")))
+        got = slices.toArrow()  # at most one row for each number of the table
+        table[got.column("at").to_numpy(), got.column("part").to_numpy()] = got.column("mask").to_numpy()
+    fill = [float(_has(table, i).mean()) for i in range(len(langs))]
+    small = table[:, 0].astype(np.uint8) if len(langs) <= 8 else table
     return {"langs": langs, "false_positive": [x ** HASHES for x in fill], "table": small}
 
 
+def _has(masks: np.ndarray, i: int) -> np.ndarray:
+    """The bit of language ``i`` in each mask."""
+    return masks[:, i // MASK_BITS] >> i % MASK_BITS & 1
+
+
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (the winner's corrected share)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # 16 MB at most: the table has a fixed size
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # 16 MB for each 62 languages: the table has a fixed number of rows
 
     def decide(batches):
         langs, table = sent.value["langs"], sent.value["table"]
@@ -162,7 +169,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
                 for at in rest:
                     mask = mask & table[at]
                 hits = (np.bincount(mask, minlength=1 << len(langs)) @ _bits(len(langs)) if len(langs) <= 8
-                        else np.array([np.count_nonzero(mask >> i & 1) for i in range(len(langs))]))
+                        else np.array([np.count_nonzero(_has(mask, i)) for i in range(len(langs))]))
                 share = np.clip((hits / len(grams) - wrong) / (1 - wrong), 0, 1)
                 best = int(np.argmax(share))
                 names.append(langs[best])
