@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import random
+import re
 from base64 import b32encode
 
 import pytest
@@ -96,3 +97,27 @@ def test_wrong_length_and_digest():
     assert [r["kind"] for r in rows] == ["record", "gap", "record"] and rows[1]["reason"] == "block digest"
     rows = list(warc.salvage(a + b.replace(b"application/http", b"x", 1).replace(b"Content-Length: ", b"Content-Length: 9") + c))
     assert [r["kind"] for r in rows] == ["record", "gap", "record"]
+
+
+def test_members_of_several_records():
+    rng = random.Random(8)
+    raw = [warc.record_bytes(k, "u", rng.randbytes(40_000), None, "d") for k in range(5)]
+    bad = raw[1].replace(b"urn:x-page:1>", b"urn:x-page:1>\r\nX: y", 1)[:-5] + b"?\r\n\r\n"
+    ids = lambda rows: [r["record_id"][-1] for r in rows if r["kind"] == "record"]
+    whole = gzip.compress(raw[0] + bad + raw[2], mtime=0)
+    rows = list(warc.salvage(b"junk\n" + whole + gzip.compress(raw[3], mtime=0)))
+    assert [r["kind"] for r in rows] == ["gap", "record", "gap", "record", "record"] and ids(rows) == ["0", "2", "3"]
+    assert (rows[2]["offset"], rows[2]["length"], rows[2]["reason"]) == (5, len(whole), "block digest")
+    assert (rows[2]["inner_offset"], rows[2]["inner_length"]) == (len(raw[0]), len(bad))
+
+    member = gzip.compress(b"".join(raw[:3]), mtime=0)
+    wrong = member[:-8] + bytes(4) + member[-4:]
+    rows = list(warc.salvage(wrong + gzip.compress(raw[3], mtime=0)))
+    assert ids(rows) == ["0", "1", "2", "3"] and [r.get("reason") for r in rows] == ["damaged member"] * 4 + [None]
+    rows = list(warc.salvage(gzip.compress(raw[4], mtime=0) + member[:-20_000]))
+    assert ids(rows) == ["4", "0", "1"] and rows[-1]["kind"] == "gap" and rows[-1]["reason"] == "truncated member"
+    # Without a digest nothing says that a record of a damaged member is right.
+    plain = [re.sub(rb"WARC-(Payload|Block)-Digest: [^\r]*\r\n", b"", x) for x in raw[:2]]
+    member = gzip.compress(b"".join(plain), mtime=0)
+    assert ids(warc.salvage(member)) == ["0", "1"] and ids(warc.salvage(member[:-8] + bytes(8))) == []
+    assert ids(warc.salvage(member[:-20_000])) == ["0"]

@@ -10,6 +10,11 @@ closing line breaks, block and payload digests). Where one fails, the reader sea
 member or version line at which a valid record begins, goes on from there, and reports the bytes between as
 a quarantined gap. Every byte of a file is in a record, a member of nothing, or a gap.
 
+A member may hold several records. If some of them fail, the others count, and the parts of the content between
+are gaps with ``inner_offset`` and ``inner_length`` in the content. Of a truncated or damaged member the content
+that can still be inflated, up to where the reader goes on, is read the same way; ``reason`` stands at its
+records too, and where the member is damaged a record counts only if a digest confirms it.
+
 Defined cases: a null html is an empty payload; a null url has the page's own name as target; a page without
 page_id refers to the page with the smallest one of equal payload, and is a response if there is none; rows
 repeating the smallest page_id are all responses; an empty table gives an archive without records.
@@ -35,7 +40,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NOTHING = gzip.compress(b"", mtime=0)
 CHUNK = 1 << 16
 READ = ("file string, offset long, length long, kind string, reason string, record_id string, record_type string, "
-        "target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary")
+        "target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary, inner_offset long, inner_length long")
 
 
 def sha1_base32(data: bytes) -> str:
@@ -87,6 +92,9 @@ def write_archive(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z
      .mode("overwrite").text(path))
 
 
+TRUNCATED, DAMAGED = "truncated member", "damaged member"
+
+
 class Broken(Exception):
     """Why bytes are not a valid record."""
 
@@ -97,20 +105,37 @@ def _unzip(data: bytes, at: int) -> tuple[bytes, int]:
     try:
         while not inflate.eof:
             if end >= len(data):
-                raise Broken("truncated member")
+                raise Broken(TRUNCATED)
             part = data[end:end + CHUNK]
             out.append(inflate.decompress(part))
             end += len(part)
     except zlib.error as e:
-        raise Broken("damaged member") from e
+        raise Broken(DAMAGED) from e
     return b"".join(out), end - len(inflate.unused_data)
 
 
+def _inflated(data: bytes, at: int, end: int) -> bytes:
+    """What can be inflated of the broken gzip member in ``data[at:end]``."""
+    inflate, out = zlib.decompressobj(31), []
+    for k in range(at, end, CHUNK):
+        part, before = data[k:min(end, k + CHUNK)], inflate.copy()
+        try:
+            out.append(inflate.decompress(part))
+        except zlib.error:
+            try:
+                for i in range(len(part)):
+                    out.append(before.decompress(part[i:i + 1]))
+            except zlib.error:
+                pass
+            break
+    return b"".join(out)
+
+
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 
 
-def _record(data: bytes, at: int) -> tuple[dict, int]:
-    """The record whose version line is at ``at``, checked in full, and where it ends."""
+def _record(data: bytes, at: int, digest: bool = False) -> tuple[dict, int]:
+    """The record whose version line is at ``at``, checked in full, and where it ends; with ``digest`` it must have one."""
     if not (m := VERSION.match(data, at)):
         raise Broken("no version line")
     head_end = data.find(b"\r\n\r\n", at)
@@ -135,6 +160,7 @@ def _record(data: bytes, at: int) -> tuple[dict, int]:
     said = fields.get("warc-block-digest", "")
     if said.startswith("sha1:") and said[5:] != sha1_base32(block):
         raise Broken("block digest")
+    confirmed = said.startswith("sha1:")
     kind = fields.get("warc-type", "")
     payload, size = block, len(block)
     if fields.get("content-type", "").startswith("application/http"):
@@ -143,27 +169,75 @@ def _record(data: bytes, at: int) -> tuple[dict, int]:
             raise Broken("bad http header")
         stated = re.search(rb"\r\ncontent-length:\s*(\d+)", http.lower())
         size = int(stated[1]) if kind == "revisit" and stated else len(payload)
-    digest = fields.get("warc-payload-digest", "")
-    if kind != "revisit" and digest.startswith("sha1:") and digest[5:] != sha1_base32(payload):
+    named = fields.get("warc-payload-digest", "")
+    if kind != "revisit" and named.startswith("sha1:") and named[5:] != sha1_base32(payload):
         raise Broken("payload digest")
+    if digest and not confirmed and (kind == "revisit" or not named.startswith("sha1:")):
+        raise Broken("no digest")
     strip = lambda x: None if x is None else x.removeprefix("<").removesuffix(">")
     return {"record_id": strip(fields.get("warc-record-id")), "record_type": kind,
             "target_uri": fields.get("warc-target-uri"), "refers_to": strip(fields.get("warc-refers-to")),
-            "payload_digest": digest.removeprefix("sha1:") or sha1_base32(payload), "payload_bytes": size,
+            "payload_digest": named.removeprefix("sha1:") or sha1_base32(payload), "payload_bytes": size,
             "payload": None if kind == "revisit" else payload}, end + 4
 
 
+def _content(content: bytes, digest: bool = False) -> list[dict]:
+    """Rows for a member's content: records, and gaps by their place in it."""
+    rows, at = [], 0
+    while at < len(content):
+        try:
+            record, end = _record(content, at, digest)
+            rows.append({"kind": "record"} | record)
+        except Broken as e:
+            end = len(content)
+            for found in VERSION.finditer(content, at + 1):
+                try:
+                    if content[found.start() - 1:found.start()] == b"\n":
+                        _record(content, found.start(), digest)
+                        end = found.start()
+                        break
+                except Broken:
+                    continue
+            rows.append({"kind": "gap", "reason": str(e), "inner_offset": at, "inner_length": end - at})
+        at = end
+    return rows
+
+
+def _holds(rows: list[dict]) -> bool:
+    return any(r["kind"] == "record" for r in rows)
+
+
 def _unit(data: bytes, at: int) -> tuple[list[dict], int]:
-    """The records of the member, or the plain record, at ``at``; a member of nothing has none."""
+    """Rows of the member, or the plain record, at ``at``, and where it ends; a member of nothing has none."""
     if data[at:at + 2] == b"\x1f\x8b":
         content, end = _unzip(data, at)
-        records, inner = [], 0
-        while inner < len(content):
-            record, inner = _record(content, inner)
-            records.append(record)
-        return records, end
+        rows = _content(content)
+        if rows and not _holds(rows):
+            raise Broken(rows[0]["reason"])
+        return rows, end
     record, end = _record(data, at)
-    return [record], end
+    return [{"kind": "record"} | record], end
+
+
+def _remains(data: bytes, at: int, end: int, reason: str) -> list[dict]:
+    """Rows of what a truncated or damaged member in ``data[at:end]`` still holds, its loss last; none without a record."""
+    if reason not in (TRUNCATED, DAMAGED):
+        return []
+    content = _inflated(data, at, end)
+    rows = _content(content, digest=reason == DAMAGED)
+    if not _holds(rows):
+        return []
+    rows = [r if r["kind"] == "gap" else r | {"reason": reason} for r in rows]
+    return [*rows, {"kind": "gap", "reason": reason, "inner_offset": len(content)}]
+
+
+def _begins(data: bytes, at: int) -> bool:
+    """Whether a unit with something to read is at ``at``."""
+    try:
+        _unit(data, at)
+        return True
+    except Broken as e:
+        return bool(_remains(data, at, len(data), str(e)))
 
 
 START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
@@ -174,23 +248,21 @@ def salvage(data: bytes) -> Iterator[dict]:
     at = 0
     while at < len(data):
         try:
-            records, end = _unit(data, at)
+            rows, end = _unit(data, at)
         except Broken as e:
             gap, reason = at, str(e)
             at = len(data)
             for found in START.finditer(data, gap + 1):
-                try:
-                    if found[0][0] != 0x1f and data[found.start() - 1:found.start()] != b"\n":
-                        continue  # a version line begins a line
-                    _unit(data, found.start())
-                except Broken:
-                    continue
-                at = found.start()
-                break
-            yield {"offset": gap, "length": at - gap, "kind": "gap", "reason": reason}
+                if found[0][0] != 0x1f and data[found.start() - 1:found.start()] != b"\n":
+                    continue  # a version line begins a line
+                if _begins(data, found.start()):
+                    at = found.start()
+                    break
+            for row in _remains(data, gap, at, reason) or [{"kind": "gap", "reason": reason}]:
+                yield {"offset": gap, "length": at - gap} | row
             continue
-        for record in records:
-            yield {"offset": at, "length": end - at, "kind": "record"} | record
+        for row in rows:
+            yield {"offset": at, "length": end - at} | row
         at = end
 
 
