@@ -85,3 +85,12 @@ def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     plan = decontam.mark(docs, docs.selectExpr("doc_id item_id", "text"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_rows_without_doc_id_are_no_one_group(spark):
+    item = lambda k: " ".join(f"w{k}x{i}" for i in range(14))
+    docs = [(None, f"{item(k)} tail {k}") for k in range(20)] * 2 + [(None, None), (7, item(3))]
+    items = [(k, item(k)) for k in range(20)]
+    assert run(spark, docs, items) == brute(docs, items)
+    marked = decontam.mark(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert re.search(r"Aggregate \[_k1#\d+L, _k2#\d+L\], .*collect_list", marked._jdf.queryExecution().optimizedPlan().toString())

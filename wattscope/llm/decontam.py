@@ -13,7 +13,7 @@ a hash that two k-grams share costs a comparison only. Items shorter than a wind
 a k-gram of their own length at every position.
 
 Defined cases: a null text, of document or item, has no words; an item without words or without item_id takes
-no part; repeated documents are each judged; a null doc_id is judged; empty tables give no rows, or no hits.
+no part; repeated documents are each judged and share their hits; a null doc_id is judged; empty tables give no rows, or no hits.
 """
 
 from __future__ import annotations
@@ -87,12 +87,13 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = 13, gram: int = 5)
         own = own.when(F.size("words") == n, _grams_of_words(F.col("words"), n))
     keys = materialize(items.select("item_id", F.explode(own).alias("f")).select("item_id", *_hash_and_place(F.col("f"))), "item-keys")
 
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_key")
-    of_docs = docs.select(key, F.explode(fingerprints(words(F.col("text")), window, gram, short)).alias("f"))
-    met = (of_docs.select("_key", *_hash_and_place(F.col("f")))
+    # By the text too, or all rows without doc_id would be one group.
+    keys_of = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_k1"), F.xxhash64("text").alias("_k2")]
+    of_docs = docs.select(*keys_of, F.explode(fingerprints(words(F.col("text")), window, gram, short)).alias("f"))
+    met = (of_docs.select("_k1", "_k2", *_hash_and_place(F.col("f")))
            .join(keys.select("item_id", "h", F.col("at").alias("from")), "h")
-           .select("_key", "item_id", (F.col("at") - F.col("from")).alias("shift")).distinct())
-    hits = met.join(items, "item_id").groupBy("_key").agg(F.collect_list(F.struct("item_id", "shift", "words")).alias("_hits"))
+           .select("_k1", "_k2", "item_id", (F.col("at") - F.col("from")).alias("shift")).distinct())
+    hits = met.join(items, "item_id").groupBy("_k1", "_k2").agg(F.collect_list(F.struct("item_id", "shift", "words")).alias("_hits"))
 
     def judge(w: Column) -> Column:
         n = lambda hit: F.least(F.lit(window), F.size(hit["words"]))
@@ -106,7 +107,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = 13, gram: int = 5)
             F.array_sort(F.array_distinct(F.transform(f, lambda x: x["item"]))).alias("items")))
 
     kept = docs.drop("contamination")
-    return (kept.withColumn("_key", key).join(hits, "_key", "left")
+    return (kept.select("*", *keys_of).join(hits, ["_k1", "_k2"], "left")
             .select(*(kept[c] for c in kept.columns), let(words(kept["text"]), judge).alias("contamination")))
 
 
