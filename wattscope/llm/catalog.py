@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wattscope.llm import decontam, jaccard, langid, packing, pii, quality, suffix_dedup, topk, toxicity, warc
+from wattscope.llm import decontam, jaccard, langid, packing, pii, quality, spelling, suffix_dedup, topk, toxicity, warc
 from wattscope.llm.common import held_out, new_folder, table
 
 
@@ -92,7 +92,11 @@ def op10_packing(spark, d):
     return packing.pack_documents(table(spark, d, "documents"), word_vocabulary())
 
 
-QUERIES = (op1_langid, op2_warc, op3_quality, op4_pii, op5_topk, op6_toxicity, op7_jaccard, op8_decontam, op9_suffix, op10_packing)
+def op11_spelling(spark, d):
+    return spelling.variants(table(spark, d, "documents"))
+
+
+QUERIES = (op1_langid, op2_warc, op3_quality, op4_pii, op5_topk, op6_toxicity, op7_jaccard, op8_decontam, op9_suffix, op10_packing, op11_spelling)
 
 
 def queries():

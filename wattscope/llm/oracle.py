@@ -111,6 +111,31 @@ SELECT doc_id, coalesce(n_email, 0)::BIGINT AS n_email, coalesce(n_ip, 0)::BIGIN
        coalesce(n_phone, 0)::BIGINT AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN listed USING (r)"""
 
+# The checksum of 0..255, then of each name byte by byte; neighbours by what is left without one letter.
+SQL["op11_spelling"] = r"""
+WITH RECURSIVE tab AS MATERIALIZED (SELECT list_transform(range(0, 256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+                         lambda c, u: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END)) AS t),
+     run AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(
+                 translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+             WHERE length(run) >= 6 GROUP BY 1, 2),
+     hexed AS (SELECT run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM run),
+     summed AS (SELECT run, n, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT,
+                    list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+                    lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]))) AS h FROM hexed, tab),
+     cut AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INTEGER) || substr(run, (h % length(run))::INTEGER + 2) ELSE run END AS word, n
+             FROM summed),
+     voc AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+     less AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM voc)),
+     near AS (SELECT a.word, b.word AS near, b.n FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+              UNION SELECT a.word, b.word, b.n FROM less a JOIN voc b ON a.rest = b.word
+              UNION SELECT b.word, a.word, a.n FROM less a JOIN voc b ON a.rest = b.word),
+     best AS (SELECT word, count(*) AS n_near, min({'m': -n, 'near': near}) AS b FROM near GROUP BY 1),
+     form AS MATERIALIZED (SELECT word, voc.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -b.m >= 5 * voc.n THEN b.near END AS form,
+                     (CASE WHEN -b.m >= 5 * voc.n THEN -b.m END)::BIGINT AS form_n FROM voc LEFT JOIN best USING (word)),
+     walk AS (SELECT word, word AS root FROM form UNION ALL SELECT walk.word, form.form FROM walk JOIN form ON form.word = walk.root WHERE form.form IS NOT NULL),
+     ends AS (SELECT walk.word, walk.root FROM walk JOIN form ON form.word = walk.root WHERE form.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM form JOIN ends USING (word)"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
