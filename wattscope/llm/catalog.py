@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wattscope.llm import decontam, jaccard, langid, packing, pii, quality, spelling, suffix_dedup, topk, toxicity, warc
+from wattscope.llm import decontam, hilbert_ann, jaccard, langid, lexical, packing, pii, quality, spelling, suffix_dedup, topk, toxicity, warc
 from wattscope.llm.common import held_out, new_folder, table
 
 
@@ -96,7 +96,16 @@ def op11_spelling(spark, d):
     return spelling.variants(table(spark, d, "documents"))
 
 
-QUERIES = (op1_langid, op2_warc, op3_quality, op4_pii, op5_topk, op6_toxicity, op7_jaccard, op8_decontam, op9_suffix, op10_packing, op11_spelling)
+def op12_ann(spark, d):
+    return hilbert_ann.search(table(spark, d, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op13_lexical(spark, d):
+    return lexical.search(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+QUERIES = (op1_langid, op2_warc, op3_quality, op4_pii, op5_topk, op6_toxicity, op7_jaccard, op8_decontam, op9_suffix, op10_packing, op11_spelling,
+           op12_ann, op13_lexical)
 
 
 def queries():

@@ -136,6 +136,22 @@ WITH RECURSIVE tab AS MATERIALIZED (SELECT list_transform(range(0, 256), lambda
      ends AS (SELECT walk.word, walk.root FROM walk JOIN form ON form.word = walk.root WHERE form.form IS NULL)
 SELECT word, form, root, n, n_near, form_n FROM form JOIN ends USING (word)"""
 
+_TERMS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+SQL["op13_lexical"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+     n AS MATERIALIZED (SELECT r, doc_id, len(w)::BIGINT AS n FROM d WHERE len(w) > 0),
+     total AS MATERIALIZED (SELECT count(*)::BIGINT AS nd, sum(n)::BIGINT AS l FROM n),
+     tf AS MATERIALIZED (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY 1, 2),
+     it AS (SELECT item_id, min(text) AS text FROM benchmark WHERE item_id IS NOT NULL GROUP BY 1),
+     ask AS MATERIALIZED (SELECT item_id, term, count(*)::BIGINT AS c FROM (SELECT item_id, unnest({_TERMS}) AS term FROM it) GROUP BY 1, 2),
+     w AS (SELECT term, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total WHERE term IN (SELECT term FROM ask) GROUP BY term, nd),
+     s AS (SELECT item_id, r, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * nd) // l))))::BIGINT AS score
+           FROM ask JOIN w USING (term) JOIN tf USING (term) JOIN n USING (r), total GROUP BY 1, 2, 3),
+     ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

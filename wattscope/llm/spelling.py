@@ -60,8 +60,9 @@ def _blocks(words: DataFrame, part: int) -> DataFrame:
     named = (words.select("word", "n", F.explode(F.array(length, length - 1)).alias("size"))
              .select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("back"))
              .withColumn("block", F.xxhash64("size", "back", F.when(F.col("back"), F.expr("right(word, size div 2)")).otherwise(F.substring("word", F.lit(1), half)))))
-    large = (named.groupBy(F.col("block").alias("of")).agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > part)
-             .select("of", F.ceil(F.col("held") / part).cast("int").alias("parts")))
+    # Written, so that its size is known before the join is planned: most often it is empty.
+    large = materialize(named.groupBy(F.col("block").alias("of")).agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > part)
+             .select("of", F.ceil(F.col("held") / part).cast("int").alias("parts")), "large")
     dealt = (named.join(large, named["block"] == large["of"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
              .withColumn("own", F.pmod(F.xxhash64("word", F.lit("part")), "parts").cast("int")))
     met = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
