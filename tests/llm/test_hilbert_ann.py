@@ -9,7 +9,7 @@ from wattscope.llm import catalog, hilbert_ann
 
 
 def brute(rows, k):
-    ok = {(i, tuple(float(x) for x in v)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)}
+    ok = {(i, tuple(float(np.float32(x)) for x in v)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)}
     out = {}
     for q in sorted({i for i, _ in ok if i % 100 == 0}):
         best = {}
