@@ -164,6 +164,57 @@ def test_a_fleet_that_recovers_has_no_open_alert(spark, work, events, sites, fle
         assert quality.alert_violations(microbatch.alerts_table(spark, live.root, ref, S), sites(("PLANT_01", 1000.0, 1))).isEmpty()
 
 
+@pytest.mark.parametrize("step", ["_write_metrics", "_advance_faults", "_commit", "health"])
+def test_a_batch_cut_short_is_in_no_table(spark, work, events, sites, fleet, monkeypatch, step):
+    """Fault, fault, then a healthy batch that is lost after each of its writes: nothing of it is seen, and its rerun is."""
+    plants = sites(("PLANT_01", 1000.0, 1))
+    live = LiveTables(f"{work}/live", plants, fleet(("PLANT_01", "INV_01", 1000.0)), S)
+    ref = spark.createDataFrame([("PLANT_01", DAWN.date(), 0.1)], "plant_id string, simulation_date date, ppa_rate_per_kwh double")
+
+    def state():
+        return [sorted(map(str, df.collect())) for df in (
+            microbatch.alerts_table(spark, live.root, ref, S), microbatch.fault_history(spark, live.root),
+            *(microbatch.live_table(spark, live.root, t) for t in ("plant_metrics", "portfolio_metrics")),
+            microbatch.pipeline_health(spark, live.root).drop("status", "message"))]
+
+    def lost(self, *a, **k):
+        done = getattr(LiveTables, f"real{step}", None)
+        if done and step != "_commit":
+            done(self, *a, **k)
+        raise RuntimeError("cut short")
+
+    for n, power in enumerate((100.0, 100.0)):
+        live(events(hourly(n, power=power)), n)
+    before = state()
+    with monkeypatch.context() as m:
+        if step == "health":
+            m.setattr(microbatch.monitor, "batch_health", lost)
+        else:
+            m.setattr(LiveTables, f"real{step}", getattr(LiveTables, step), raising=False)
+            m.setattr(LiveTables, step, lost)
+        for _ in range(2):
+            with pytest.raises(RuntimeError, match="cut short"):
+                live(events(hourly(2)), 2)
+            assert state() == before
+    health = microbatch.pipeline_health(spark, live.root).first()
+    assert health.status == "FAILED" and "batch 2 failed: RuntimeError: cut short" in health.message
+    assert quality.alert_violations(microbatch.alerts_table(spark, live.root, ref, S), plants).isEmpty()
+    live(events(hourly(2)), 2)
+    assert microbatch.pipeline_health(spark, live.root).first().status == "HEALTHY"
+    assert [r.status for r in microbatch.alerts_table(spark, live.root, ref, S).collect()] == ["RESOLVED"]
+    assert microbatch.live_table(spark, live.root, "plant_metrics").count() == 3
+
+
+def test_nothing_is_seen_before_the_first_commit(spark, work, events, sites, fleet, monkeypatch):
+    live = LiveTables(f"{work}/live", sites(("PLANT_01", 1000.0, 1)), fleet(("PLANT_01", "INV_01", 1000.0)), S)
+    assert microbatch.live_table(spark, live.root, "plant_metrics").isEmpty() and microbatch.pipeline_health(spark, live.root).isEmpty()
+    monkeypatch.setattr(LiveTables, "_commit", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        live(events(hourly(0, power=100.0)), 0)
+    assert microbatch.live_table(spark, live.root, "plant_metrics").isEmpty() and microbatch.fault_history(spark, live.root).isEmpty()
+    assert microbatch.pipeline_health(spark, live.root).first().status == "FAILED"
+
+
 def test_replayed_batch_changes_nothing(spark, work, events, sites, fleet):
     live = LiveTables(f"{work}/live", sites(("PLANT_01", 1000.0, 2)),
                       fleet(("PLANT_01", "INV_01", 1000.0), ("PLANT_01", "INV_02", 1000.0)), S)

@@ -659,6 +659,17 @@ _VIEWS["week_runs"] = _over("runs", ticks="week_ticks", faults="week_faults")
 _VIEWS["week_alerts"] = _over("alert_rows", runs="week_runs")
 _QUERIES["stream_alert_lifecycle"] = f"SELECT {_ALERT} FROM week_alerts"
 
+# The last week was never committed.
+_VIEWS["known_events"] = "SELECT * FROM week_events WHERE simulation_date < (SELECT max(simulation_date) FROM week_events)"
+for _view, _read in (("ticks", {"week_events": "known_events"}), ("states", {"week_ticks": "known_ticks", "week_events": "known_events"}),
+                     ("diagnosed", {"week_states": "known_states"}), ("faults", {"week_diagnosed": "known_diagnosed"}),
+                     ("runs", {"week_ticks": "known_ticks", "week_faults": "known_faults"}), ("alerts", {"week_runs": "known_runs"})):
+    _VIEWS[f"known_{_view}"] = _over(f"week_{_view}", **_read)
+_QUERIES["stream_live_crash"] = f"""
+        SELECT {_ALERT}, (SELECT count(*) FROM week_plant_rows WHERE week < (SELECT max(simulation_date) FROM week_events)) AS plant_rows,
+               (SELECT count(DISTINCT simulation_date) FROM known_events) AS portfolio_rows, 'FAILED' AS health
+        FROM known_alerts"""
+
 # The live tables: a microbatch is a week, and speaks for the events it brought.
 _VIEWS["week_latest"] = """
         SELECT * FROM week_events QUALIFY row_number() OVER (

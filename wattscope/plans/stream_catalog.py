@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,8 +79,15 @@ def stream_archive_roundtrip(spark, d):
     return energy.plant_actuals(read_days(spark, path, *_first_and_last(spark, d)), S)
 
 
-def _weekly_live(spark, d) -> LiveTables:
-    """A week of records per microbatch, the query stopped and started again in between."""
+class _CutShort(LiveTables):
+    """Loses its machine when all tables of a batch are written but the batch is not committed."""
+
+    def _commit(self, spark, batch_id):
+        raise RuntimeError("cut short")
+
+
+def _weekly_live(spark, d, cut_short: bool = False) -> LiveTables:
+    """A week of records per microbatch, the query stopped and started again in between; the last may be cut short."""
     work = new_folder(spark, "live")
     records = bed.raw_records(spark, d)
     week = F.floor(F.unix_timestamp("timestamp") / WEEK)
@@ -89,7 +97,13 @@ def _weekly_live(spark, d) -> LiveTables:
                       registry.inverter_reference(inverters), S)
     for n in range(low, high + 1):
         records.where(week == n).write.mode("append").parquet(f"{work}/records")
-        start_live(file_records(spark, f"{work}/records"), live, f"{work}/ckpt", NOW).awaitTermination()
+        if cut_short and n == high:
+            live = _CutShort(live.root, live.plant_reference, live.inverter_reference, S)
+        try:
+            start_live(file_records(spark, f"{work}/records"), live, f"{work}/ckpt", NOW).awaitTermination()
+        except StreamingQueryException:
+            if not isinstance(live, _CutShort):
+                raise
     return live
 
 
@@ -97,6 +111,16 @@ def stream_alert_lifecycle(spark, d):
     return alerts_table(spark, _weekly_live(spark, d).root, bed.daily_reference(spark, d), S)
 
 
+def stream_live_crash(spark, d):
+    """Alerts after the last week's batch was cut short: as the week before left them, as are metrics and health."""
+    live = _weekly_live(spark, d, cut_short=True)
+    alerts = alerts_table(spark, live.root, bed.daily_reference(spark, d), S)
+    seen = live_table(spark, live.root, "plant_metrics").agg(F.count(F.lit(1))).scalar()
+    folded = live_table(spark, live.root, "portfolio_metrics").agg(F.count(F.lit(1))).scalar()
+    health = pipeline_health(spark, live.root)
+    return alerts.select("*", seen.alias("plant_rows"), folded.alias("portfolio_rows"), health.select("status").scalar().alias("health"))
+
+
 def stream_live_metrics(spark, d):
     """The plant metrics the microbatches wrote, read back."""
     rows = live_table(spark, _weekly_live(spark, d).root, "plant_metrics")
@@ -147,5 +171,5 @@ def daily_job_summary(spark, d):
 
 
 STREAMS = (stream_valid, stream_windowed_metrics, stream_quarantine, stream_archive_roundtrip,
-           stream_alert_lifecycle, stream_live_metrics, stream_live_portfolio, stream_live_health, stream_silence,
+           stream_alert_lifecycle, stream_live_metrics, stream_live_portfolio, stream_live_health, stream_live_crash, stream_silence,
            daily_job, daily_job_summary)

@@ -4,25 +4,40 @@ Every write of batch N goes to a place that belongs to N alone, so a batch that
 after a failure overwrites its own output:
 
 * metric rows and resolved alerts: a partition ``batch_id=N``;
-* tracked faults and health: one of two alternating slots. Batch N reads the slot of N-1 and
-  writes the other one, so what it read is still there if it has to start over.
+* tracked faults, health and the commit record: one of two alternating slots. Batch N reads the slot
+  of N-1 and writes the other one, so what it read is still there if it has to start over.
+
+The commit record is what a batch writes last. Every reader takes batches up to the newest one, so all
+tables of a batch become visible at once, and a batch that runs or has failed is in none of them. A batch
+that raises leaves a note, which health shows as FAILED until that batch is committed.
 
 No figure passes through the driver.
 """
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, field
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wattscope import schema
 from wattscope.operators import alerts, incidents, lifecycle, metrics, monitor
 from wattscope.operators.upsert import read_table, replace_partitions
 from wattscope.settings import FleetSettings
 
-_TRACKED, _HEALTH = "tracked_faults", "pipeline_health"
+_TRACKED, _HEALTH, _COMMIT, _FAILURE = "tracked_faults", "pipeline_health", "commits", "failure"
+_COMMIT_SCHEMA = "committed_at timestamp"
+
+
+def _metric_schema(columns: tuple[str, ...]) -> str:
+    kinds = {"plant_id": "string", "window_start": "timestamp", "window_end": "timestamp", "online_inverters": "bigint", "offline_inverters": "bigint"}
+    return ", ".join(f"{c} {kinds.get(c, 'double')}" for c in columns) + ", metric_date date, batch_id bigint"
+
+
+LIVE_SCHEMAS = {"plant_metrics": _metric_schema(schema.PLANT_METRIC_COLUMNS), "portfolio_metrics": _metric_schema(schema.PORTFOLIO_METRIC_COLUMNS)}
 
 
 def _slot(root: str, table: str, batch_id: int) -> str:
@@ -60,6 +75,13 @@ class LiveTables:
             raise ValueError("the inverter registry is empty: gaps in telemetry cannot be detected")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        try:
+            self._advance(batch, batch_id)
+        except Exception as e:
+            self._note_failure(batch.sparkSession, batch_id, e)
+            raise
+
+    def _advance(self, batch: DataFrame, batch_id: int) -> None:
         spark, s = batch.sparkSession, self.settings
         read = partial(_read_slot, spark, self.root)
         tracked = read(_TRACKED, batch_id - 1, lifecycle.TRACKED_SCHEMA)
@@ -75,9 +97,21 @@ class LiveTables:
                 read(_HEALTH, batch_id - 1, monitor.HEALTH_SCHEMA),
                 monitor.batch_health(events, F.current_timestamp()))
             _write_slot(health, self.root, _HEALTH, batch_id)
+            self._commit(spark, batch_id)
         finally:
             events.unpersist()
 
+    def _commit(self, spark: SparkSession, batch_id: int) -> None:
+        _write_slot(spark.range(1).select(F.current_timestamp().alias("committed_at")), self.root, _COMMIT, batch_id)
+
+    def _note_failure(self, spark: SparkSession, batch_id: int, error: Exception) -> None:
+        """Never hides the error it reports: the note is of use only if it can still be written."""
+        said = f"batch {batch_id} failed: {type(error).__name__}: {error}".splitlines()[0][:500]
+        try:
+            _write_slot(monitor.status_row(spark, monitor.STREAM, "FAILED", said, F.current_timestamp()), self.root, _FAILURE, batch_id)
+        except Exception:
+            logging.getLogger(__name__).exception("the failure of batch %d could not be noted", batch_id)
+
     def _write_metrics(self, events: DataFrame, batch_id: int) -> None:
         plants = metrics.plant_metrics(events, self.plant_reference, self.settings).persist()
         try:
@@ -103,30 +137,33 @@ class LiveTables:
             stepped.unpersist()
 
 
-def _newest_slot(spark: SparkSession, root: str, table: str, columns: str) -> DataFrame:
-    """The table as the last finished batch left it, which may be empty.
+def last_committed(spark: SparkSession, root: str) -> Column:
+    """The newest batch all of whose tables are written; NULL while there is none."""
+    return read_table(spark, f"{root}/{_COMMIT}", f"{_COMMIT_SCHEMA}, as_of_batch bigint, slot int").agg(F.max("as_of_batch")).scalar()
 
-    Health is what a batch writes last and it always has a row, so it tells which batch that is; a batch that
-    failed in between has overwritten the older slot only.
-    """
-    last = (read_table(spark, f"{root}/{_HEALTH}", f"{monitor.HEALTH_SCHEMA}, as_of_batch bigint, slot int")
-            .agg(F.max("as_of_batch")).scalar())
+
+def _committed_slot(spark: SparkSession, root: str, table: str, columns: str) -> DataFrame:
+    """The table as the last committed batch left it, which may be empty."""
     stored = read_table(spark, f"{root}/{table}", f"{columns}, as_of_batch bigint, slot int")
-    return stored.where(F.col("as_of_batch") == last).drop("as_of_batch", "slot")
+    return stored.where(F.col("as_of_batch") == last_committed(spark, root)).drop("as_of_batch", "slot")
 
 
 def pipeline_health(spark: SparkSession, root: str) -> DataFrame:
-    return _newest_slot(spark, root, _HEALTH, monitor.HEALTH_SCHEMA)
+    """Health after the last committed batch; FAILED if a later one has raised, without moving what it knew."""
+    known = _committed_slot(spark, root, _HEALTH, monitor.HEALTH_SCHEMA)
+    noted = read_table(spark, f"{root}/{_FAILURE}", f"{monitor.HEALTH_SCHEMA}, as_of_batch bigint, slot int")
+    later = noted.where(F.col("as_of_batch") > F.coalesce(last_committed(spark, root), F.lit(-1)))
+    return monitor.merge_health(known, later.drop("as_of_batch", "slot"))
 
 
 def fault_history(spark: SparkSession, root: str) -> DataFrame:
     """Faults tracked now (``ended_at`` NULL) and those that ended as alerts."""
-    open_now = (_newest_slot(spark, root, _TRACKED, lifecycle.TRACKED_SCHEMA)
+    open_now = (_committed_slot(spark, root, _TRACKED, lifecycle.TRACKED_SCHEMA)
                 .withColumn("ended_at", F.lit(None).cast("timestamp"))
                 .select(*incidents.INCIDENT_COLUMNS))
     resolved = read_table(spark, f"{root}/resolved_faults",
                           f"{lifecycle.TRACKED_SCHEMA}, ended_at timestamp, batch_id bigint")
-    return open_now.unionByName(resolved.select(*incidents.INCIDENT_COLUMNS))
+    return open_now.unionByName(resolved.where(F.col("batch_id") <= last_committed(spark, root)).select(*incidents.INCIDENT_COLUMNS))
 
 
 def alerts_table(spark: SparkSession, root: str, daily_reference: DataFrame,
@@ -136,6 +173,6 @@ def alerts_table(spark: SparkSession, root: str, daily_reference: DataFrame,
 
 
 def live_table(spark: SparkSession, root: str, name: str, since: Column | None = None) -> DataFrame:
-    """``plant_metrics`` or ``portfolio_metrics`` from day ``since`` on (pruned by directory)."""
-    rows = spark.read.parquet(f"{root}/{name}")
+    """``plant_metrics`` or ``portfolio_metrics`` of committed batches, from day ``since`` on (pruned by directory)."""
+    rows = read_table(spark, f"{root}/{name}", LIVE_SCHEMAS[name]).where(F.col("batch_id") <= last_committed(spark, root))
     return rows if since is None else rows.where(F.col("metric_date") >= since)
