@@ -646,6 +646,8 @@ _VIEWS["kept_per_inverter"] = _over("per_inverter", increments="kept_increments"
 _VIEWS["kept_actuals"] = _over("actuals", per_inverter="kept_per_inverter")
 _QUERIES["stream_archive_roundtrip"] = _QUERIES["plant_actuals"].replace("FROM actuals", "FROM kept_actuals")
 
+_QUERIES["archive_compacted"] = _QUERIES["stream_archive_roundtrip"]
+
 _VIEWS["week_events"] = """
         SELECT * REPLACE (epoch_us(event_time) // 604800000000 AS simulation_date)
         FROM (SELECT *, NULL AS simulation_date FROM trusted)"""

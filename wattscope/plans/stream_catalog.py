@@ -3,7 +3,7 @@ with ``availableNow``, and the tables the stream leaves behind are the result.""
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +15,7 @@ from wattscope.plans import testbed as bed
 from wattscope.session import new_folder
 from wattscope.settings import FleetSettings
 from wattscope.sources import feed_csv
-from wattscope.sources.archive import read_days, write_archive
+from wattscope.sources.archive import expire_day, fold_day, read_days, write_archive
 from wattscope.sources.records import file_records
 from wattscope.streaming import silence, sinks
 from wattscope.streaming.jobs import start_live
@@ -79,6 +79,18 @@ def stream_archive_roundtrip(spark, d):
     return energy.plant_actuals(read_days(spark, path, *_first_and_last(spark, d)), S)
 
 
+def archive_compacted(spark, d):
+    """As ``stream_archive_roundtrip``, from an archive whose days are folded but for what came late."""
+    work = new_folder(spark, "compacted")
+    path = _archived(spark, d, work)
+    first, last = _first_and_last(spark, d)
+    for n in range(0, (last - first).days + 1):
+        fold_day(spark, path, first + timedelta(n))
+        if n % 3 == 0:
+            expire_day(spark, path, first + timedelta(n))
+    return energy.plant_actuals(read_days(spark, path, first, last), S)
+
+
 class _CutShort(LiveTables):
     """Loses its machine when all tables of a batch are written but the batch is not committed."""
 
@@ -170,6 +182,6 @@ def daily_job_summary(spark, d):
     return _daily_run(spark, d, incidents.priced_alerts(runs, bed.daily_reference(spark, d), S))
 
 
-STREAMS = (stream_valid, stream_windowed_metrics, stream_quarantine, stream_archive_roundtrip,
+STREAMS = (stream_valid, stream_windowed_metrics, stream_quarantine, stream_archive_roundtrip, archive_compacted,
            stream_alert_lifecycle, stream_live_metrics, stream_live_portfolio, stream_live_health, stream_live_crash, stream_silence,
            daily_job, daily_job_summary)

@@ -64,7 +64,7 @@ def new_folder(spark: SparkSession, label: str) -> str:
     own = _application_folder(spark)
     if own not in _known:
         _known.add(own)
-        path, files = _hadoop(spark, own)
+        path, files = hadoop_files(spark, own)
         files.mkdirs(path)
         files.deleteOnExit(path)
     return f"{own}/{label}-{uuid.uuid4().hex}"
@@ -73,7 +73,8 @@ def new_folder(spark: SparkSession, label: str) -> str:
 _known: set[str] = set()
 
 
-def _hadoop(spark: SparkSession, folder: str):
+def hadoop_files(spark: SparkSession, folder: str):
+    """A path and the file system it lies in."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -81,7 +82,7 @@ def _hadoop(spark: SparkSession, folder: str):
 def release(spark: SparkSession) -> None:
     """Delete every intermediate table of this application now; frames that read them can't be used any more."""
     own = _application_folder(spark)
-    path, files = _hadoop(spark, own)
+    path, files = hadoop_files(spark, own)
     files.delete(path, True)
     _known.discard(own)
 

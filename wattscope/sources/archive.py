@@ -11,25 +11,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from wattscope import schema
 from wattscope.operators.telemetry import archive_rows, deduplicate
+from wattscope.sources.folding import TARGET_BYTES, DayTable
 
-ARCHIVE = T.StructType([
-    T.StructField("event_id", T.StringType()),
-    T.StructField("plant_id", T.StringType()),
-    T.StructField("inverter_id", T.StringType()),
-    T.StructField("active_power_kw", T.DoubleType()),
-    T.StructField("energy_today_kwh", T.DoubleType()),
-    T.StructField("irradiance_wm2", T.DoubleType()),
-    T.StructField("module_temp_c", T.DoubleType()),
-    T.StructField("inverter_temp_c", T.DoubleType()),
-    T.StructField("status", T.StringType()),
-    T.StructField("availability", T.DoubleType()),
-    T.StructField("event_time", T.TimestampType()),
-    T.StructField("simulator_scenario", T.StringType()),
-    T.StructField("kafka_topic", T.StringType()),
-    T.StructField("kafka_partition", T.IntegerType()),
-    T.StructField("kafka_offset", T.LongType()),
-    T.StructField("simulation_date", T.DateType()),
-])
+_OWN_TYPES = {"event_time": T.TimestampType(), "kafka_partition": T.IntegerType(), "kafka_offset": T.LongType(), "simulation_date": T.DateType()}
+_READ_TYPES = {f.name: f.dataType for f in schema.TELEMETRY} | _OWN_TYPES
+ARCHIVE = T.StructType([T.StructField(c, _READ_TYPES.get(c, T.StringType())) for c in schema.ARCHIVE_COLUMNS])
 
 
 def write_archive(events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None,
@@ -52,13 +38,27 @@ def write_archive(events: DataFrame, path: str, checkpoint: str, trigger: dict |
     return writer.start()
 
 
+def _table(path: str) -> DayTable:
+    day, *inner = schema.ARCHIVE_PARTITIONS
+    return DayTable(path, day, ARCHIVE, tuple(inner), ("plant_id", "inverter_id", "event_time"), deduplicate)
+
+
 def read_days(spark: SparkSession, path: str, first: date, last: date | None = None) -> DataFrame:
     """The archive's events of a day or an inclusive range of days, each event once.
 
-    The condition is on the partition column alone, so other days are not even listed as
-    input. Column order is the contract's.
+    Only the folders of these days are listed. Days that are folded hold each event once already; copies are
+    looked for where files lie beside them. A file of a batch that was cut short is read too: its events come
+    again with the batch, as copies.
     """
-    day = F.col("simulation_date")
-    rows = (spark.read.schema(ARCHIVE).parquet(path)
-            .where((day >= F.lit(first)) & (day <= F.lit(last or first))))
-    return deduplicate(rows).select(*schema.ARCHIVE_COLUMNS)
+    return _table(path).read(spark, first, last).select(*schema.ARCHIVE_COLUMNS)
+
+
+def fold_day(spark: SparkSession, path: str, day: date, target_bytes: int = TARGET_BYTES) -> int:
+    """Fold a day that is over into few files; late events are read beside them and folded next time."""
+    return _table(path).fold(spark, day, target_bytes)
+
+
+def expire_day(spark: SparkSession, path: str, day: date) -> int:
+    """Remove what the folded day replaces. From then on only ``read_days`` can read the archive: the stream's own
+    list of files still names what is gone."""
+    return _table(path).expire(spark, day)

@@ -18,15 +18,18 @@ from __future__ import annotations
 
 import logging
 from dataclasses import dataclass, field
+from datetime import date
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wattscope import schema
 from wattscope.operators import alerts, incidents, lifecycle, metrics, monitor
 from wattscope.operators.upsert import read_table, replace_partitions
 from wattscope.settings import FleetSettings
+from wattscope.sources.folding import TARGET_BYTES, DayTable
 
 _TRACKED, _HEALTH, _COMMIT, _FAILURE = "tracked_faults", "pipeline_health", "commits", "failure"
 _COMMIT_SCHEMA = "committed_at timestamp"
@@ -174,5 +177,26 @@ def alerts_table(spark: SparkSession, root: str, daily_reference: DataFrame,
 
 def live_table(spark: SparkSession, root: str, name: str, since: Column | None = None) -> DataFrame:
     """``plant_metrics`` or ``portfolio_metrics`` of committed batches, from day ``since`` on (pruned by directory)."""
-    rows = read_table(spark, f"{root}/{name}", LIVE_SCHEMAS[name]).where(F.col("batch_id") <= last_committed(spark, root))
+    rows = _days_of(root, name).read_all(spark).where(F.col("batch_id") <= last_committed(spark, root))
     return rows if since is None else rows.where(F.col("metric_date") >= since)
+
+
+def _days_of(root: str, name: str) -> DayTable:
+    return DayTable(f"{root}/{name}", "metric_date", T._parse_datatype_string(LIVE_SCHEMAS[name]), ("batch_id",), ("window_end",))
+
+
+def live_days(spark: SparkSession, root: str, name: str, first: date, last: date | None = None) -> DataFrame:
+    """``live_table`` of a range of days, from folded days and the batches beside them; no other day is listed."""
+    return _days_of(root, name).read(spark, first, last).where(F.col("batch_id") <= last_committed(spark, root))
+
+
+def fold_live_day(spark: SparkSession, root: str, name: str, day: date, target_bytes: int = TARGET_BYTES) -> int:
+    """Fold the committed batches of a day, a folder each until then, into few files. Run it where no batch runs
+    or for days that are over; a batch that may still be run again is left out."""
+    last = spark.range(1).select(last_committed(spark, root)).first()[0]
+    return _days_of(root, name).fold(spark, day, target_bytes, lambda n: last is not None and int(n.split("/")[0].split("=")[1]) <= last)
+
+
+def expire_live_day(spark: SparkSession, root: str, name: str, day: date) -> int:
+    """Remove the batches' folders that the folded day replaces; ``live_days`` goes on reading them all."""
+    return _days_of(root, name).expire(spark, day)
