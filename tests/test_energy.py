@@ -70,6 +70,28 @@ def test_running_meter(events):
     assert [r.meter_kwh for r in got] == [50, 75, 5]
 
 
+@pytest.mark.parametrize("make", [energy.energy_increments, lambda e: energy.running_meter(e, 0.5), energy.plant_actuals])
+def test_readings_are_read_and_moved_once(spark, tmp_path, events, make):
+    """Each but the first use of the readings' exchange is a reused one, and no other exchange holds whole readings."""
+    path = str(tmp_path / "readings")
+    events(*(dict(inv=f"I{n % 3}", sec=n * 600, energy=float(n)) for n in range(40))).write.parquet(path)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = make(spark.read.parquet(path))
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert rows.count() > 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("FileScan") == 1
+    assert sum("Exchange hashpartitioning" in line and "slice" in line and "ReusedExchange" not in line and "opening" not in line
+               for line in plan.splitlines()) <= 2
+
+
+def test_readings_without_a_time_have_no_meter(events):
+    rows = events(dict(power=100.0), dict(power=50.0)).withColumn("event_time", F.when(F.col("kafka_offset") == 0, F.col("event_time")))
+    assert [r.meter_kwh for r in energy.running_meter(rows, 0.5).collect()] == [50]
+
+
 def test_presence(events):
     rows = events(dict(), dict(plant="B"), dict(sec=86400)).withColumn("simulation_date", F.to_date("event_time"))
     got = energy.archive_presence(rows).orderBy("simulation_date").collect()

@@ -92,6 +92,25 @@ def test_windows_equal_the_batch(spark, work, land, sites):
     assert key(spark.read.parquet(f"{work}/out")) == key(closed) and not closed.isEmpty()
 
 
+def test_sliding_windows_multiply_panes_not_events(spark, work, land, sites):
+    """Events are gathered by pane before windows, and late ones of a pane still count in it."""
+    rows = [dict(plant=f"P{n % 2}", inv=f"I{n % 3}", power=float(n), sec=n * 7) for n in range(100)]
+    ref = sites(("P0", 1000.0, 3), ("P1", 1000.0, 4))
+    for part in (rows[:30], [rows[-1]], rows[30:-1]):
+        land(*part)
+    events = telemetry.trusted(telemetry.parse(records(spark, work)), "1 hour")
+    moved = metrics.windowed_plant_metrics(events, ref, S, "60 seconds", "15 seconds")
+    plan = moved._jdf.queryExecution().analyzed().toString()
+    assert plan.index("Expand") < plan.index("Generate explode")
+    sinks.write_table(moved, f"{work}/out", f"{work}/ckpt", NOW).awaitTermination()
+    land(dict(plant="P0", at=DAWN + timedelta(days=1)))
+    sinks.write_table(metrics.windowed_plant_metrics(telemetry.trusted(telemetry.parse(records(spark, work)), "1 hour"), ref, S, "60 seconds", "15 seconds"),
+                      f"{work}/out", f"{work}/ckpt", NOW).awaitTermination()
+    batch = metrics.windowed_plant_metrics(telemetry.trusted(telemetry.parse(spark.read.parquet(f"{work}/records"))), ref, S, "60 seconds", "15 seconds")
+    key = lambda df: sorted(map(tuple, df.where(F.col("window_end") < F.lit(DAWN + timedelta(hours=1))).collect()))
+    assert key(spark.read.parquet(f"{work}/out")) == key(batch) and batch.count() > 100
+
+
 def test_archive_keeps_what_the_speed_layer_drops(spark, work, land):
     def run():
         accepted = telemetry.normalize(telemetry.accepted(telemetry.judge(telemetry.parse(records(spark, work)))))

@@ -7,6 +7,9 @@ lower than the one before it (the counter restarted) add themselves in full.
 one task. The day is therefore cut into slices of event time. Inside a slice the sequence is
 local; across slices only each slice's first and last reading matter, one row per slice.
 Results are the same for every slice width.
+
+Readings are scanned and moved once, to their slice. What crosses slices is taken from the same
+exchange: both branches of a plan need the same columns of it, so Spark runs it once.
 """
 
 from __future__ import annotations
@@ -15,7 +18,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattscope.functions import model
-from wattscope.operators.pick import first_per_key
 from wattscope.settings import FleetSettings
 
 METER = ("simulation_date", "plant_id", "inverter_id")
@@ -36,16 +38,14 @@ def _rise(reading: Column, previous: Column) -> Column:
 def energy_increments(events: DataFrame, s: FleetSettings = FleetSettings()) -> DataFrame:
     """Every reading with ``energy_increment_kwh``, what it adds to its inverter's day."""
     cut = _sliced(events, s.slice_seconds)
-    last = first_per_key(cut.select(*_SLICE, *_ORDER, "energy_today_kwh"), _SLICE,
-                         [F.desc(c) for c in _ORDER])
-    closing = last.select(*_SLICE, F.lag("energy_today_kwh").over(
-        Window.partitionBy(*METER).orderBy("slice")).alias("carried_kwh"))
     local = Window.partitionBy(*_SLICE).orderBy(*_ORDER)
-    read = (cut.withColumns({"before_kwh": F.lag("energy_today_kwh").over(local),
-                             "place": F.row_number().over(local)})
-            .join(closing, list(_SLICE)))
-    previous = F.when(F.col("place") == 1, F.col("carried_kwh")).otherwise(F.col("before_kwh"))
-    return (read.withColumn("energy_increment_kwh", _rise(F.col("energy_today_kwh"), previous))
+    read = cut.withColumns({"before_kwh": F.lag("energy_today_kwh").over(local), "place": F.row_number().over(local),
+                            "is_last": F.lead(F.lit(True)).over(local).isNull()})
+    # The first reading of a slice follows the last one of the slice before it; a slice has one row of each.
+    ends = read.where("place = 1 or is_last").withColumn("before_kwh", F.lag("energy_today_kwh").over(
+        Window.partitionBy(*METER).orderBy(*_ORDER))).where("place = 1")
+    return (read.where("place > 1").unionByName(ends)
+            .withColumn("energy_increment_kwh", _rise(F.col("energy_today_kwh"), F.col("before_kwh")))
             .select(*events.columns, *({"simulation_date"} - set(events.columns)),
                     "energy_increment_kwh"))
 
@@ -107,16 +107,24 @@ def running_meter(events: DataFrame, hours_per_reading: float,
     """Every reading with ``meter_kwh``: its inverter's power integrated since midnight."""
     cut = _sliced(events, s.slice_seconds).withColumn(
         "step_kwh", F.col("active_power_kw") * hours_per_reading)
+    for c in _SLICE:
+        cut = cut.where(F.col(c).isNotNull())
+    # A row travels whole: else the totals would ask for fewer columns, which is another exchange. Readings
+    # without a key have no meter; said here, the join needs no filter of its own on one side of it.
+    moved = cut.select(*_SLICE, F.array(F.struct(*cut.columns)).alias("whole")).repartition(*_SLICE)
+    step = lambda c: F.aggregate(c, F.lit(None).cast("double"), lambda _, r: r["step_kwh"])
     earlier = Window.partitionBy(*METER).orderBy("slice").rowsBetween(
         Window.unboundedPreceding, -1)
-    opening = (cut.groupBy(*_SLICE).agg(F.sum("step_kwh").alias("total_kwh"))
+    opening = (moved.groupBy(*_SLICE).agg(F.sum(step("whole")).alias("total_kwh"))
                .withColumn("opening_kwh", F.coalesce(F.sum("total_kwh").over(earlier), F.lit(0.0)))
                .drop("total_kwh"))
-    local = (Window.partitionBy(*_SLICE).orderBy(*_ORDER)
+    local = (Window.partitionBy(*_SLICE).orderBy(*(F.col("whole")[0][c] for c in _ORDER))
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (cut.withColumn("local_kwh", F.sum("step_kwh").over(local))
+    rest = [c for c in (*events.columns, *({"simulation_date"} - set(events.columns))) if c not in _SLICE]
+    return (moved.withColumn("local_kwh", F.sum(step("whole")).over(local))
             .join(opening, list(_SLICE))
-            .withColumn("meter_kwh", F.col("opening_kwh") + F.col("local_kwh"))
+            .select(*METER, *(F.col("whole")[0][c].alias(c) for c in rest),
+                    (F.col("opening_kwh") + F.col("local_kwh")).alias("meter_kwh"))
             .select(*events.columns, *({"simulation_date"} - set(events.columns)), "meter_kwh"))
 
 

@@ -2,8 +2,10 @@
 
 Current power is the sum of each inverter's latest reading; average power is the mean over
 instants of the plant's total. On a table these are two reductions of the input that meet as
-one row per plant. A stream cannot join two of its own aggregations, so there every event
-enters one group per inverter and one per instant, and one further aggregation folds both.
+one row per plant. A stream cannot join two of its own aggregations; it keeps both as pane state: for
+every pane of event time a row per inverter with its latest reading and a row per instant with the power
+at it. Two states of a key merge into one (the later reading, the sum of powers), so tumbling and
+sliding windows are folds of the same state.
 """
 
 from __future__ import annotations
@@ -55,19 +57,64 @@ def _instant_measures(instant: str, power: str) -> list[Column]:
             F.avg(power).alias("avg_power_kw")]
 
 
-def _plant_state(events: DataFrame, span: Column | None = None,
+def pane_state(events: DataFrame, *pane: str) -> DataFrame:
+    """``plant_id``, the columns ``pane``, ``inverter_id | instant``, ``last``, ``recency``, ``power``.
+
+    A row is about an inverter (its latest reading) or about an instant (the power at it). Rows are as
+    many as inverters and instants of a pane, however many events there were, and tasks reduce theirs first.
+    """
+    reading, recency = F.struct(*_READING), F.struct(*RECENCY)
+    per_inverter = F.struct(
+        F.col("inverter_id"), F.lit(None).cast("timestamp").alias("instant"),
+        F.lit(None).cast("double").alias("power"), reading.alias("reading"),
+        recency.alias("recency"))
+    # Power is all that counts at an instant.
+    per_instant = F.struct(
+        F.lit(None).cast("string").alias("inverter_id"), F.col("event_time").alias("instant"),
+        F.col("active_power_kw").alias("power"),
+        F.when(F.lit(False), reading).alias("reading"), F.when(F.lit(False), recency).alias("recency"))
+    return (events
+            .select("plant_id", *pane, F.explode(F.array(per_inverter, per_instant)).alias("f"))
+            .groupBy("plant_id", *pane, F.col("f.inverter_id").alias("inverter_id"),
+                     F.col("f.instant").alias("instant"))
+            .agg(F.max_by("f.reading", "f.recency").alias("last"), F.max("f.recency").alias("recency"),
+                 F.sum("f.power").alias("power")))
+
+
+def merge_panes(panes: DataFrame, *by: str) -> DataFrame:
+    """Pane states that fall together under ``by`` as one state."""
+    return panes.groupBy("plant_id", *by, "inverter_id", "instant").agg(
+        F.max_by("last", "recency").alias("last"), F.max("recency").alias("recency"), F.sum("power").alias("power"))
+
+
+def _folded(state: DataFrame, *by: str) -> DataFrame:
+    """Per plant (and ``by``): latest state, bounds and time-averaged power."""
+    return state.groupBy("plant_id", *by).agg(*_fleet_measures("last."), *_instant_measures("instant", "power"))
+
+
+def _streamed_state(events: DataFrame, width: str, slide: str | None) -> DataFrame:
+    """Per plant and ``span``. Overlapping windows multiply panes of one step, not events, where windows
+    consist of whole steps; else every window is a pane of its own."""
+    if slide and _is_multiple(events, width, slide):
+        panes = pane_state(events.withColumn("pane", F.window("event_time", slide)), "pane")
+        state = merge_panes(panes.withColumn("span", F.window("pane", width, slide)), "span")
+    else:
+        state = pane_state(events.withColumn("span", F.window("event_time", width, slide)), "span")
+    return _folded(state, "span")
+
+
+def _table_state(events: DataFrame, span: Column | None = None,
                  pane: Column | None = None) -> DataFrame:
     """Per plant (and per ``span``): latest state, bounds and time-averaged power.
 
-    Overlapping windows multiply rows. Both reductions therefore come first as far as they
+    For tables: the two reductions read the input each for themselves, and reduce it in the task without
+    sorting it twice over, as one pass for both would have to. Overlapping windows multiply rows. Both reductions therefore come first as far as they
     can: readings to one per inverter and ``pane`` (the piece of time that lies in the same
     windows throughout), power to one sum per instant. Only then are rows spread over windows.
     """
     def spread(df: DataFrame) -> DataFrame:
         return df if span is None else df.withColumn("span", span)
 
-    if events.isStreaming:
-        return _plant_state_in_one_pass(spread(events), [] if span is None else ["span"])
     by = ["plant_id"] if span is None else ["plant_id", "span"]
     readings = events.select(*ASSET, *_READING, *RECENCY)
     if pane is not None:
@@ -79,26 +126,6 @@ def _plant_state(events: DataFrame, span: Column | None = None,
         *_instant_measures("event_time", "plant_power_kw")), by)
 
 
-def _plant_state_in_one_pass(events: DataFrame, span: list[str]) -> DataFrame:
-    reading, recency = F.struct(*_READING), F.struct(*RECENCY)
-    per_inverter = F.struct(
-        F.col("inverter_id"), F.lit(None).cast("timestamp").alias("instant"),
-        F.lit(None).cast("double").alias("power"), reading.alias("reading"),
-        recency.alias("recency"))
-    # Power is all that counts at an instant.
-    per_instant = F.struct(
-        F.lit(None).cast("string").alias("inverter_id"), F.col("event_time").alias("instant"),
-        F.col("active_power_kw").alias("power"),
-        F.when(F.lit(False), reading).alias("reading"), F.when(F.lit(False), recency).alias("recency"))
-    groups = (events
-              .select("plant_id", *span, F.explode(F.array(per_inverter, per_instant)).alias("f"))
-              .groupBy("plant_id", *span, F.col("f.inverter_id").alias("inverter_id"),
-                       F.col("f.instant").alias("instant"))
-              .agg(F.max_by("f.reading", "f.recency").alias("last"), F.sum("f.power").alias("power")))
-    return groups.groupBy("plant_id", *span).agg(
-        *_fleet_measures("last."), *_instant_measures("instant", "power"))
-
-
 def _judge_plants(state: DataFrame, s: FleetSettings) -> DataFrame:
     """Expectation, performance, loss and availability of plant rows joined to the registry.
 
@@ -126,7 +153,7 @@ def plant_metrics(events: DataFrame, plant_reference: DataFrame,
     ``include_silent`` starts from the registry instead of from the events, so that a plant
     nobody heard from appears with zero output and everything offline.
     """
-    state = _plant_state(events)
+    state = _folded(pane_state(events)) if events.isStreaming else _table_state(events)
     joined = state.join(plant_reference, "plant_id", "full_outer" if include_silent else "left")
     if include_silent:
         joined = joined.fillna(0.0, ["current_power_kw", "avg_power_kw"]).fillna(
@@ -149,12 +176,15 @@ def windowed_plant_metrics(events: DataFrame, plant_reference: DataFrame,
     """One row per plant and event-time window (tumbling unless ``slide`` is given).
 
     The row's identity is the window, so it does not depend on how the stream was cut into
-    microbatches. Works on tables and on streams (two chained aggregations, append mode).
+    microbatches. Works on tables and on streams (chained aggregations, append mode).
     """
     width = width or s.window_width
-    # A pane of one step serves only where windows consist of whole steps.
-    pane = F.window("event_time", slide) if slide and _is_multiple(events, width, slide) else None
-    state = _plant_state(events, F.window("event_time", width, slide), pane)
+    if events.isStreaming:
+        state = _streamed_state(events, width, slide)
+    else:
+        # A pane of one step serves only where windows consist of whole steps.
+        pane = F.window("event_time", slide) if slide and _is_multiple(events, width, slide) else None
+        state = _table_state(events, F.window("event_time", width, slide), pane)
     judged = _judge_plants(state.join(plant_reference, "plant_id", "left"), s)
     return (judged
             .withColumns({"window_start": F.col("span.start"), "window_end": F.col("span.end")})

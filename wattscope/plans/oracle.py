@@ -634,6 +634,14 @@ _QUERIES["stream_valid"] = f"""
 _QUERIES["stream_windowed_metrics"] = f"""
         SELECT {_PLANT_METRICS} FROM spans_out
         WHERE window_end <= (SELECT max(event_time) FROM trusted) - INTERVAL 2 MINUTE"""
+_VIEWS["slides_in"] = _over("span_events_3", telem="trusted")
+_VIEWS["slides_out"] = _over("slide_rows", span_events_3="slides_in")
+_QUERIES["stream_sliding_metrics"] = f"""
+        SELECT {_PLANT_METRICS} FROM slides_out
+        WHERE window_end <= (SELECT max(event_time) FROM trusted) - INTERVAL 2 MINUTE"""
+_QUERIES["stream_quarantine_rate"] = f"""
+        SELECT * FROM ({_QUERIES["quarantine_rate"]})
+        WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(kafka_timestamp) FROM judged WHERE rejection_reason IS NOT NULL) - INTERVAL 2 MINUTE"""
 _QUERIES["report_export"] = _QUERIES["daily_report_rows"]
 _QUERIES["portfolio_flatten"] = """
         SELECT f.plant_id, plant_name, inverter_id, inverter_name, round(rated_power_kw, 6) AS rated_power_kw, true AS active

@@ -9,7 +9,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattscope.operators import energy, incidents, metrics, reconcile, registry, telemetry
+from wattscope.operators import energy, incidents, metrics, monitor, reconcile, registry, telemetry
 from wattscope.plans import daily
 from wattscope.plans import testbed as bed
 from wattscope.session import new_folder
@@ -57,6 +57,24 @@ def stream_windowed_metrics(spark, d):
     return spark.read.parquet(f"{work}/out")
 
 
+def stream_sliding_metrics(spark, d):
+    """Overlapping windows of a stream: half a day wide, a new one every three hours."""
+    work = new_folder(spark, "sliding")
+    plants = registry.plant_reference(bed.plants(spark, d), bed.inverters(spark, d))
+    events = telemetry.trusted(telemetry.parse(_landed(spark, d, work)), S.watermark)
+    rows = metrics.windowed_plant_metrics(events, plants, S, "6 hours", "3 hours")
+    sinks.write_table(rows, f"{work}/out", f"{work}/ckpt", NOW).awaitTermination()
+    return spark.read.parquet(f"{work}/out")
+
+
+def stream_quarantine_rate(spark, d):
+    """Rejected records per reason and hour of arrival, as far as the watermark closed the hours."""
+    work = new_folder(spark, "rate")
+    rejected = telemetry.rejected(telemetry.judge(telemetry.parse(_landed(spark, d, work)))).withWatermark("kafka_timestamp", S.watermark)
+    sinks.write_table(monitor.quarantine_rate(rejected, "kafka_timestamp", "1 hour"), f"{work}/out", f"{work}/ckpt", NOW).awaitTermination()
+    return spark.read.parquet(f"{work}/out")
+
+
 def stream_quarantine(spark, d):
     work = new_folder(spark, "quarantine")
     judged = telemetry.judge(telemetry.parse(_landed(spark, d, work)))
@@ -182,6 +200,7 @@ def daily_job_summary(spark, d):
     return _daily_run(spark, d, incidents.priced_alerts(runs, bed.daily_reference(spark, d), S))
 
 
-STREAMS = (stream_valid, stream_windowed_metrics, stream_quarantine, stream_archive_roundtrip, archive_compacted,
+STREAMS = (stream_valid, stream_windowed_metrics, stream_sliding_metrics, stream_quarantine, stream_quarantine_rate,
+           stream_archive_roundtrip, archive_compacted,
            stream_alert_lifecycle, stream_live_metrics, stream_live_portfolio, stream_live_health, stream_live_crash, stream_silence,
            daily_job, daily_job_summary)
