@@ -4,6 +4,7 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from statistics import NormalDist
 
 import pytest
 
@@ -28,7 +29,7 @@ def base(text):
     return out
 
 
-def risky_terms(texts, threshold=0.9, support=3):
+def risky_terms(texts, threshold=0.9, support=3, confidence=0.9):
     """{term: replacement}"""
     split = lambda t: [w for w in re.split(r"[\W\d_]+", t.lower()) if len(w) >= 3]
     vocabulary, w, n, contexts = Counter(), Counter(), Counter(), defaultdict(set)
@@ -50,13 +51,18 @@ def risky_terms(texts, threshold=0.9, support=3):
                 contexts[(kind, value), x].add(key)
     total = sum(vocabulary.values()) or 1
 
-    def disclosure(e, near, every):
-        ic = -math.log2(w[e] / total)
-        return 1 + math.log2(min(near / every, 1)) / ic if ic > 0 else 0
+    z = confidence and NormalDist().inv_cdf(confidence)
+
+    def disclosure(e, near, every, surely=False):
+        ic, p = -math.log2(w[e] / total), min(near / every, 1)
+        if surely:
+            p = (p + z * z / (2 * every) - z * math.sqrt(p * (1 - p) / every + z * z / (4 * every * every))) / (1 + z * z / every)
+        return 1 + math.log2(p) / ic if ic > 0 else 0
 
     out = {}
     for (e, x), k in n.items():
-        if len(contexts[e, x]) >= support and disclosure(e, k, vocabulary[x]) >= threshold:
+        enough = len(contexts[e, x]) >= support or confidence and disclosure(e, k, vocabulary[x], True) >= threshold
+        if enough and disclosure(e, k, vocabulary[x]) >= threshold:
             near = sum(v for (f, y), v in n.items() if f == e and y[:3] == x[:3])
             every = sum(v for y, v in vocabulary.items() if y[:3] == x[:3])
             remove = len(x) <= 3 or disclosure(e, near, every) >= threshold
@@ -93,7 +99,7 @@ PARTS = ["a@b.c", "@", ".", "a", "1", "255", "256", "0001", "1.2.3.4", "+1", " "
 def test_base_spans(spark):
     rng = random.Random(6)
     rows = [(k, "".join(rng.choice(PARTS) for _ in range(rng.randrange(1, 25)))) for k in range(800)]
-    check(spark, rows, support=10**6)
+    check(spark, rows, support=10**6, confidence=None)
 
 
 def test_terms_that_give_an_entity_away(spark):

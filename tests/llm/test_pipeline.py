@@ -59,8 +59,11 @@ def test_planted_rows_and_odd_rows(spark, tmp_path):
     rows = [(k, text(k)) for k in range(40)]
     rows += [(100, text(1)), (101, text(1) + " end"), (102, item), (103, text(50) + " jo@mail.example.org"), (104, None), (105, ""), (None, text(60)),
              (2, text(2)), (106, "long " * 30_000)]
-    spark.createDataFrame([(k, t, None, "s", 1, 5) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long, pii int") \
-        .drop("pii").write.parquet(f"{d}/documents.parquet")
+    # Other columns that have the names the stages use inside, or those of what they add.
+    others = ["_score", "score", "predicted", "contamination", "_hits", "_k1", "_k2", "_key", "_terms", "pii", "_clean", "clean", "_hash", "_own", "doc", "_id", "_gone",
+              "term", "words", "node", "band", "component", "text_hash", "target", "h", "item_id", "Contamination_", "start", "row"]
+    spark.createDataFrame([(k, t, None, "s", 1) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long") \
+        .selectExpr("*", *(f"concat('{c}', doc_id) as `{c}`" for c in others)).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     docs = spark.read.parquet(f"{d}/documents.parquet")
@@ -68,7 +71,9 @@ def test_planted_rows_and_odd_rows(spark, tmp_path):
         path = new_folder(spark, "stage-test")
         stage(spark, docs, d).write.parquet(path)
         docs = spark.read.parquet(path)
+        assert docs.columns == [*COLUMNS, *others]
     left = docs.collect()
+    assert all(r[c] == (None if r["doc_id"] is None else f"{c}{r['doc_id']}") for r in left for c in others)
     assert sorted((r["doc_id"] for r in left), key=str) == sorted([*range(40), 103, 104, 105, None, 106], key=str)
     private = next(r for r in left if r["doc_id"] == 103)
     assert private["text"].endswith(" [EMAIL]") and private["n_chars"] == len(private["text"])

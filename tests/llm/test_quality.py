@@ -1,5 +1,7 @@
 """Held-out accuracy, gradients, features, and odd rows."""
 
+import math
+
 import numpy as np
 import pytest
 
@@ -88,3 +90,34 @@ def test_nothing_to_learn(spark, labels, score):
     model = quality.fit(docs, spark.createDataFrame(labels, LABELS))
     assert [r["score"] for r in quality.judged(docs, model).collect()] == [score] * 2
     assert quality.judged(docs.where("false"), model).count() == 0
+
+
+def test_scores_of_a_fitted_model_by_a_plain_forward_pass(spark):
+    """Passage by passage, number by number, from the parameters that fitting has left."""
+    d = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    p = {k: np.asarray(v).tolist() for k, v in model.p.items()}
+    dot = lambda x, m: [sum(a * row[j] for a, row in zip(x, m, strict=True)) for j in range(len(m[0]))]
+    some = docs.orderBy("doc_id").limit(12)
+    got = {r["doc_id"]: r["score"] for r in quality.judged(some, model).collect()}
+    for r in some.collect():
+        weights, encoded = [], []
+        for x in quality.passages(r["text"]):
+            x = [max(-5.0, min(5.0, (a - m) / s)) for a, m, s in zip(x.tolist(), model.mean.tolist(), model.scale.tolist(), strict=True)]
+            h = [math.tanh(a + b) for a, b in zip(dot(x, p["W"]), p["d"], strict=True)]
+            gate = [1 / (1 + math.exp(-a)) for a in dot(h, p["U"])]
+            weights.append(math.exp(sum(math.tanh(a) * g * w for a, g, w in zip(dot(h, p["V"]), gate, p["w"], strict=True))))
+            encoded.append(h)
+        z = [sum(w * h[j] for w, h in zip(weights, encoded, strict=True)) / sum(weights) for j in range(len(encoded[0]))]
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + math.exp(-sum(a * c for a, c in zip(z, p["c"], strict=True)) - p["b"])), abs=1e-6)
+
+
+def test_whole_bags_or_none(spark, monkeypatch):
+    """A text over the budget of words is not learned from; what is, is with all its passages."""
+    seen = []
+    monkeypatch.setattr(quality.GatedAttention, "fit", lambda self, x, first, y, weight: seen.append(np.diff([*first, len(x)]).tolist()))
+    docs = spark.createDataFrame([(k, "word " * (64 * (k + 1))) for k in range(6)] + [(9, "word " * 64_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(10)], LABELS)
+    quality.fit(docs, labels, fit_words=10_000)
+    assert sorted(seen[0]) == [1, 2, 3, 4, 5, 6]

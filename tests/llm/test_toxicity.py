@@ -1,5 +1,8 @@
 """Held-out accuracy, the effect of counterfactual pairs, and odd rows."""
 
+import math
+import random
+
 import numpy as np
 import pytest
 
@@ -48,7 +51,7 @@ def test_swapping_takes_the_weight_off_identity_terms(spark):
 def test_pairs_name_what_changes():
     following = {"women": "men", "men": "women"}
     assert toxicity.swapped_pairs("Men work. Nothing here! Women and men rest", following) == [
-        (["men"], ["wome-", "women", "women-"]), ([], [])]
+        (["men"], ["women"]), (["men"], []), (["women"], [])]
 
 
 def test_odd_rows(spark):
@@ -70,3 +73,28 @@ def test_nothing_to_learn(spark, labels, score):
     model = toxicity.fit(docs, spark.createDataFrame(labels, LABELS))
     assert [r["score"] for r in toxicity.judged(docs, model).collect()] == [score] * 2
     assert toxicity.judged(docs.where("false"), model).count() == 0
+
+
+def test_the_penalty_is_at_work_where_no_text_names_a_group(spark):
+    """On the given documents, none of which holds an identity term."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    assert model["pairs"] >= 100
+    weights = model["weights"]
+    terms = {w for kind in toxicity.IDENTITY_TERMS for w in kind}
+    assert max(weights[f] for f in terms) < 0.05
+    scorer = toxicity.Scorer(model)
+    plain = docs.select("text").limit(50).collect()
+    assert all(abs(scorer(f"{a} {r['text']}") - scorer(f"{b} {r['text']}")) < 0.02 for r in plain for a, b in (("women", "men"), ("juden", "christen"), ("femmes", "hommes")))
+
+
+def test_scores_are_sums_of_the_weights_of_words_and_beginnings(spark):
+    model = {"weights": {"abcdefg": 1.0, "abcd-": 0.5, "abcde-": 0.25, "xyz": 2.0}, "intercept": -1.0, "whole": frozenset(["abcdwhole"])}
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choice(["abcdefg", "Abcdefgh", "abcd", "abc", "xyz", "wxyz", "abcdwhole", "é1"]) for _ in range(rng.randrange(6)))) for k in range(60)] + [(99, None)]
+    got = {r["doc_id"]: r["score"] for r in toxicity.judged(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for k, t in rows:
+        words = {w.lower() for w in (t or "").split()}
+        z = -1.0 + ("abcdefg" in words) + 0.5 * any(w.startswith("abcd") for w in words - {"abcdwhole"}) + 0.25 * any(w.startswith("abcde") for w in words) + 2.0 * ("xyz" in words)
+        assert got[k] == pytest.approx(1 / (1 + math.exp(-z)))

@@ -85,7 +85,9 @@ def op8_decontam(spark, d):
 def op9_suffix(spark, d):
     cut = suffix_dedup.remove_repeats(table(spark, d, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
-                      F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+                      F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+                      # What is left, as text: a cut inside a character leaves a replacement character.
+                      F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 def op10_packing(spark, d):

@@ -21,6 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or that name with as many underscores behind it as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def held_out(modulus: int, remainder: int) -> Column:
     """Whether a document is held out, by the checksum of its id; a null id is never held out."""
     rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
@@ -59,4 +67,4 @@ def bounded_sample(df: DataFrame, label: str, most: int, counts: dict | None = N
     return df.where(keep)
 
 
-__all__ = ["BATCH_ROWS", "bounded_sample", "held_out", "labelled_sample", "materialize", "new_folder", "ready", "table"]
+__all__ = ["BATCH_ROWS", "bounded_sample", "held_out", "labelled_sample", "materialize", "new_folder", "ready", "table", "unused"]

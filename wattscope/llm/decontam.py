@@ -75,8 +75,8 @@ def _occurrences(doc_words: Column, hit: Column, window: int) -> Column:
     return F.transform(let(equal, starts), lambda s: s + shift)
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, window: int = 13, gram: int = 5) -> DataFrame:
-    """``docs`` with a column ``contamination``: ``n_words``, ``positions`` of the words hit (from 0, in no
+def mark(docs: DataFrame, benchmark: DataFrame, window: int = 13, gram: int = 5, name: str = "contamination") -> DataFrame:
+    """``docs`` with a column ``name`` behind all others (one of that name gives way): ``n_words``, ``positions`` of the words hit (from 0, in no
     order) and ``items``, the item_ids with occurring windows as sorted strings."""
     items = materialize(benchmark.where("item_id is not null").select("item_id", words(F.col("text")).alias("words"))
                         .where(F.size("words") > 0), "items")
@@ -106,16 +106,16 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = 13, gram: int = 5)
                 x["starts"], lambda s: F.sequence(s, s + x["n"] - 1)))))).alias("positions"),
             F.array_sort(F.array_distinct(F.transform(f, lambda x: x["item"]))).alias("items")))
 
-    kept = docs.drop("contamination")
-    return (kept.select("*", *keys_of).join(hits, ["_k1", "_k2"], "left")
-            .select(*(kept[c] for c in kept.columns), let(words(kept["text"]), judge).alias("contamination")))
+    # As one column, so that no name of a document's column meets one of these.
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns if c.lower() != name.lower())).alias("doc"), *keys_of)
+    return whole.join(hits, ["_k1", "_k2"], "left").select("doc.*", let(words(F.col("doc.text")), judge).alias(name))
 
 
 def _grams_of_words(text_words: Column, n: int) -> Column:
     return let(F.transform(text_words, lambda w: F.xxhash64(w)), lambda h: _grams(h, n))
 
 
-def is_contaminated(percent: int = 5) -> Column:
+def is_contaminated(percent: int = 5, name: str = "contamination") -> Column:
     """Whether hit words make up ``percent`` of a marked document's words at least."""
-    hit, n = F.size("contamination.positions"), F.col("contamination.n_words")
+    hit, n = F.size(F.col(name)["positions"]), F.col(name)["n_words"]
     return (hit > 0) & (100 * hit >= percent * n)

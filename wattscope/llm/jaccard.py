@@ -235,7 +235,8 @@ def classify(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with one row of each class; rows with the same doc_id and text are one; rows without doc_id all stay."""
     gone = classify(docs, **how).where(~F.col("stays")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_gone")).distinct()
-    hashed = docs.withColumn("_hash", F.xxhash64("text"))
-    kept = hashed.join(gone, (hashed["doc_id"] == gone["_id"]) & (hashed["_hash"] == gone["_gone"]), "left_anti")
-    once = kept.where("doc_id is not null").dropDuplicates(["doc_id", "_hash"])
-    return once.unionByName(kept.where("doc_id is null")).drop("_hash")
+    # As one column, so that no name of a document's column meets one of these.
+    hashed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("_own"), F.xxhash64("text").alias("_hash"))
+    kept = hashed.join(gone, (hashed["_own"] == gone["_id"]) & (hashed["_hash"] == gone["_gone"]), "left_anti")
+    once = kept.where("_own is not null").dropDuplicates(["_own", "_hash"])
+    return once.unionByName(kept.where("_own is null")).select("doc.*")

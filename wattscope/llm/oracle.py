@@ -94,8 +94,12 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FRO
      word AS (SELECT r, unnest(list_filter(regexp_split_to_array(lower(t), '\P{{L}}+'), lambda w: length(w) >= 3)) AS term FROM d),
      voc AS (SELECT term, count(*) AS n_t FROM word GROUP BY 1),
      total AS (SELECT sum(n_t)::DOUBLE AS n FROM voc),
-     risky AS (SELECT DISTINCT term FROM pair JOIN voc USING (term) JOIN ent USING (entity), total
-               WHERE contexts >= 3 AND CASE WHEN w < total.n THEN 1 + log2(least(pair.n / n_t::DOUBLE, 1)) / -log2(w / total.n) ELSE 0 END >= 0.9::DOUBLE),
+     -- Wilson's lower bound of the share, one-sided at 90 %.
+     shared AS (SELECT term, contexts, w, total.n AS total, least(pair.n / n_t::DOUBLE, 1) AS p, n_t::DOUBLE AS m, 1.2815515655446008::DOUBLE AS z
+                FROM pair JOIN voc USING (term) JOIN ent USING (entity), total WHERE w < total.n),
+     judged AS (SELECT term, contexts, 1 + log2(p) / -log2(w / total) AS disclosure,
+                       1 + log2((p + z * z / (2 * m) - z * sqrt(p * (1 - p) / m + z * z / (4 * m * m))) / (1 + z * z / m)) / -log2(w / total) AS surely FROM shared),
+     risky AS (SELECT DISTINCT term FROM judged WHERE disclosure >= 0.9::DOUBLE AND (contexts >= 3 OR surely >= 0.9::DOUBLE)),
      own AS (SELECT r, string_agg(DISTINCT term, '|') AS terms FROM word JOIN risky USING (term) GROUP BY 1),
      -- A letter before or behind must not belong to the match, so letters runs are compared as a whole.
      runs AS (SELECT d.r, string_split(regexp_replace(t, '\p{{L}}+', chr(57344) || '\0' || chr(57344), 'g'), chr(57344)) AS ps, string_split(terms, '|') AS terms FROM d JOIN own USING (r)),

@@ -18,6 +18,7 @@ rows are packed as often as they come; an empty table gives no rows; other colum
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -280,17 +281,19 @@ class WordCache:
         return out
 
 
-_CACHES: dict[int, WordCache] = {}
+#: By the digest of the vocabulary: a worker may serve several.
+_CACHES: dict[bytes, WordCache] = {}
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(), end_id: int = 2) -> DataFrame:
     """Tokenizes ``doc_id, text`` and packs in the same task; ``end_id`` follows every document."""
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
-        vocabulary = spark.sparkContext.broadcast(f.read())  # one vocabulary file: a few MB whatever the data
+        text = f.read()
+    digest, vocabulary = hashlib.sha256(text.encode()).digest(), spark.sparkContext.broadcast(text)  # one vocabulary file: a few MB whatever the data
 
     def stream(batches):
-        cache = _CACHES.get(len(vocabulary.value)) or _CACHES.setdefault(len(vocabulary.value), WordCache(vocabulary.value))
+        cache = _CACHES.get(digest) or _CACHES.setdefault(digest, WordCache(vocabulary.value))
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for key, ids in zip(batch.column("doc_id").to_pylist(), cache.encode(texts, end_id), strict=True):

@@ -9,7 +9,7 @@ in the corpus, w(e) of them near mentions of entity e, n(t) occurrences of term
 is the share of the entity's information content that the term gives away, 1 if the term occurs nowhere
 else. A term whose disclosure for any entity reaches ``threshold``, in at least ``support`` different contexts,
 is sanitised wherever it occurs: generalised to its beginning (``sch*``) if the words that share this do not
-disclose the entity themselves, else removed. With ``confidence`` a term is also sanitised, however few its
+disclose the entity themselves, else removed. With ``confidence`` (0.9 unless it is None) a term is also sanitised, however few its
 contexts, if its disclosure reaches ``threshold`` with the lower confidence bound (Wilson, one-sided) of
 n(e,t) / n(t) in place of that share: the more words a corpus has, the fewer mentions that takes.
 
@@ -130,7 +130,7 @@ def _lower_bound(share: Column, n: Column, confidence: float) -> Column:
     return (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
-def disclosing_terms(docs: DataFrame, threshold: float = 0.9, support: int = 3, confidence: float | None = None) -> DataFrame:
+def disclosing_terms(docs: DataFrame, threshold: float = 0.9, support: int = 3, confidence: float | None = 0.9) -> DataFrame:
     """``term, disclosure, replacement`` of the terms that disclose a protected entity of the corpus."""
     text = F.coalesce(F.col("text"), F.lit(""))
     spans = docs.select(F.explode(base_spans(text)).alias("s"))
@@ -163,15 +163,15 @@ def disclosing_terms(docs: DataFrame, threshold: float = 0.9, support: int = 3,
             .select("term", "disclosure", F.when(F.col("remove"), REMOVED).otherwise(F.concat("start", F.lit("*"))).alias("replacement")))
 
 
-def find(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with ``pii``: array of (kind, start, end, replacement), by kind (email, ip, card, phone, term)
+def find(docs: DataFrame, name: str = "pii", **how) -> DataFrame:
+    """``docs`` with ``name`` behind all other columns (one of that name gives way): array of (kind, start, end, replacement), by kind (email, ip, card, phone, term)
     and start; positions in code points, end exclusive. ``how``: see ``disclosing_terms``."""
-    kept = docs.drop("pii")
-    text = F.coalesce(kept["text"], F.lit(""))
+    text = F.coalesce(F.col("doc.text"), F.lit(""))
     terms = materialize(disclosing_terms(docs, **how), "terms")
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_key")
-    own = (docs.select(key, F.explode(F.array_distinct(_terms(F.coalesce(F.col("text"), F.lit(""))))).alias("term"))
-           .join(terms, "term").groupBy("_key").agg(F.collect_set(F.struct("term", "replacement")).alias("_terms")))
+    # By the text too, or all rows without doc_id would be one group.
+    keys = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_k1"), F.xxhash64("text").alias("_k2")]
+    own = (docs.select(*keys, F.explode(F.array_distinct(_terms(F.coalesce(F.col("text"), F.lit(""))))).alias("term"))
+           .join(terms, "term").groupBy("_k1", "_k2").agg(F.collect_set(F.struct("term", "replacement")).alias("_terms")))
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.col("_terms.term"), "|"), F.lit(r")(?!\p{L})"))
     replacement = F.map_from_entries("_terms")
 
@@ -185,8 +185,9 @@ def find(docs: DataFrame, **how) -> DataFrame:
         named = F.transform(base, lambda s: short(s, F.element_at(labels, s["kind"])))
         return F.concat(named, F.coalesce(added, F.array().cast("array<struct<kind:string,start:int,end:int,replacement:string>>")))
 
-    return (kept.withColumn("_key", key).join(own, "_key", "left")
-            .select(*(kept[c] for c in kept.columns), let(base_spans(text), all_spans).alias("pii")))
+    # As one column, so that no name of a document's column meets one of these.
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns if c.lower() != name.lower())).alias("doc"), *keys)
+    return whole.join(own, ["_k1", "_k2"], "left").select("doc.*", let(base_spans(text), all_spans).alias(name))
 
 
 def sanitised(text: Column, spans: Column) -> Column:

@@ -11,9 +11,9 @@ All layers are learned together from document labels (Adam on the log loss).
 Passage features describe form, not topic: shares of 16 character classes, shares of class pairs, word
 length, words that repeat their predecessor, words and word triples that the document had before.
 
-Fitting uses at most about ``fit_docs`` labelled documents of each label and ``fit_passages`` evenly spaced
-passages of each; their features alone go to the driver (some 40 MB at most, whatever the corpus). Scoring
-encodes every passage of every text.
+Fitting uses at most about ``fit_docs`` labelled documents of each label, with all their passages, and of these
+no more than fit into about ``fit_words`` words (of 5 characters) altogether; passages' features alone go to the
+driver (some 30 MB at most, whatever the corpus). Scoring encodes every passage of every text.
 
 Defined cases: a null or empty text is one passage without features, and is scored; with no labels every
 score is 0.5, with one label only it is that label; a null doc_id is scored; repeated rows are each scored;
@@ -157,16 +157,24 @@ class GatedAttention:
         return self.forward(np.concatenate(bags).astype(np.float64), first)["score"]
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_docs: int = 2500, fit_passages: int = 24) -> GatedAttention | float:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_docs: int = 2500, fit_words: int = 3_000_000) -> GatedAttention | float:
     """Learns from ``docs`` (doc_id, text) and ``labels`` (doc_id, label 0 or 1). A number is a constant score."""
     sample, share = labelled_sample(docs, labels, label, fit_docs)
     if len(share) < 2:
         return float(next(iter(share), 0.5))
+    # A number for each document of the sample; texts over the budget of words are left out as a whole.
+    long = sample.select("doc_id", F.xxhash64("text").alias("h"), (F.char_length("text") / 5).alias("n")).fillna(0).orderBy("h", "doc_id").collect()
+    left, taken_ids = fit_words, set()
+    for r in long:
+        if r["n"] <= left:
+            left -= int(r["n"])
+            taken_ids.add((r["doc_id"], r["h"]))
+    sample = sample.select("doc_id", "text", "target", F.xxhash64("text").alias("h"))
 
     def encode(batches):
         for batch in batches:
+            batch = batch.filter(pa.array([k in taken_ids for k in zip(batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), strict=True)], pa.bool_()))
             rows = [passages(t) for t in batch.column("text").to_pylist()]
-            rows = [r[np.linspace(0, len(r) - 1, min(len(r), fit_passages)).astype(int)] for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("target"), pa.array([r.astype("<f2").tobytes() for r in rows], pa.binary())],
                                              ["doc_id", "target", "bag"])
 
@@ -184,8 +192,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_docs: in
     return model
 
 
-def score(docs: DataFrame, model: GatedAttention | float, text: str = "text") -> DataFrame:
-    """``docs`` with ``_score`` in place of its column ``text``'s meaning: all columns stay, one is added."""
+def score(docs: DataFrame, model: GatedAttention | float, name: str = "score", text: str = "text") -> DataFrame:
+    """``docs`` with the column ``name`` behind all others, which stay; one of that name gives way."""
+    docs = docs.drop(name)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # some 10,000 numbers
 
     def judge(batches):
@@ -197,13 +206,12 @@ def score(docs: DataFrame, model: GatedAttention | float, text: str = "text") ->
                 scores = np.full(len(texts), model)
             else:
                 scores = np.concatenate([model.score([passages(t) for t in texts[at:at + 32]]) for at in range(0, len(texts), 32)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(judge, schema + ", _score double")
+    return docs.mapInArrow(judge, schema + f", `{name}` double")
 
 
 def judged(docs: DataFrame, model: GatedAttention | float, least: float = 0.5) -> DataFrame:
     """``docs`` with ``score``, and ``predicted`` 1 where it is ``least`` at least."""
-    kept = docs.drop("score", "predicted")
-    return score(kept, model).withColumnRenamed("_score", "score").withColumn("predicted", (F.col("score") >= least).cast("int"))
+    return score(docs.drop("predicted"), model).withColumn("predicted", (F.col("score") >= least).cast("int"))

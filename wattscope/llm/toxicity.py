@@ -4,14 +4,15 @@ A logistic model over the words of a text, and over the beginnings of words so t
 known insult count too; a feature is present in a text or not. Besides the log loss, learning penalises
 how much a score changes when identity terms are swapped: in each sampled sentence that names a group, the
 name is replaced by the next one of its kind, and the squared difference of the two logits is added to the
-loss. So a mention of a group cannot carry weight by itself, whatever the labels say about the sentences in
+loss. A sentence of every sampled text gets a name besides, put before it, and the next of its kind in place
+of that, so that the penalty is at work for groups that no labelled text mentions. So a mention of a group cannot carry weight by itself, whatever the labels say about the sentences in
 which it happens to stand, and neutral mentions are not taken for toxic ones.
 
 Only features that labels clearly depend on (chi-squared) become part of the model, so a long clean text
 does not add up noise; features of identity terms always do. Copies of a text count once when learning.
 
 Fitting uses at most about ``fit_docs`` labelled documents of each label and keeps ``most_features``
-features; scoring reads every word of every text.
+features; pairs that differ in the same features are counted together in the tasks, all of them; scoring reads every word of every text.
 
 Defined cases: a null or empty text, or one without known features, gets the score of none; with no labels,
 or labels of one value, the score is that constant (0 without any); a null doc_id is scored; repeated rows
@@ -21,7 +22,8 @@ are each scored; an empty table gives no rows; documents with contradicting labe
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+import zlib
+from collections.abc import Container, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,16 @@ IDENTITY_TERMS = (
     ("gay", "straight", "lesbian", "bisexual"), ("transgender", "cisgender"),
     ("black", "white", "asian", "latino"), ("immigrants", "natives"), ("immigrant", "native"),
     ("african", "european", "american", "arab", "indian", "chinese"),
+    ("africans", "europeans", "americans", "arabs", "indians", "chinese"), ("lesbians", "gays", "bisexuals"), ("asians", "latinos"),
+    ("frauen", "männer"), ("frau", "mann"), ("mädchen", "jungen"), ("mutter", "vater"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"), ("schwule", "lesben", "bisexuelle", "heteros"),
+    ("ausländer", "inländer"), ("einwanderer", "einheimische"), ("afrikaner", "europäer", "amerikaner", "araber", "inder", "chinesen"),
+    ("mujeres", "hombres"), ("mujer", "hombre"), ("chicas", "chicos"), ("madre", "padre"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"), ("gais", "lesbianas", "bisexuales", "heterosexuales"),
+    ("inmigrantes", "nativos"), ("africanos", "europeos", "americanos", "árabes", "indios", "chinos"),
+    ("femmes", "hommes"), ("femme", "homme"), ("filles", "garçons"), ("mère", "père"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"), ("homosexuels", "lesbiennes", "hétérosexuels"),
+    ("immigrés", "autochtones"), ("africains", "européens", "américains", "arabes", "indiens", "chinois"),
     ("blind", "sighted"), ("deaf", "hearing"), ("disabled", "abled"), ("old", "young"),
 )
 WORD = re.compile(r"[^\W\d_]+")
@@ -45,26 +57,37 @@ SENTENCE = re.compile(r"[^.!?\n]+")
 PREFIXES = (4, 5, 6, 7)
 
 
-def features(words: Iterable[str]) -> set[str]:
-    """Words, and beginnings of longer words with a hyphen behind."""
+def features(words: Iterable[str], whole: Container[str] = ()) -> set[str]:
+    """Words, and beginnings of longer words with a hyphen behind, but for words in ``whole``: an identity term
+    must not get weight from other words that begin like it."""
     out = set()
     for w in words:
         out.add(w)
-        out.update(w[:n] + "-" for n in PREFIXES if len(w) >= n)
+        if w not in whole:
+            out.update(w[:n] + "-" for n in PREFIXES if len(w) >= n)
     return out
 
 
 def swapped_pairs(text: str, following: dict[str, str]) -> list[tuple[list[str], list[str]]]:
-    """For each sentence with identity terms: features only the original has, and only the swapped one has."""
+    """For each identity term of a sentence: features only the original has, and only the one with the next term has."""
     out = []
     for sentence in SENTENCE.findall(text.lower()):
-        words = WORD.findall(sentence)
-        if any(w in following for w in words):
-            a, b = features(words), features(following.get(w, w) for w in words)
-            out.append((sorted(a - b), sorted(b - a)))
+        words = set(WORD.findall(sentence))
+        for w in sorted(words & following.keys()):
+            a, b = {w}, {following[w]} - words
+            out.append((sorted(a), sorted(b)))
     return out
 
 
+def made_pair(text: str, key: int, kinds: tuple[tuple[str, ...], ...]) -> tuple[list[str], list[str]]:
+    """A sentence of the text with a name before it, and with the next of its kind; which, the key tells."""
+    words = [WORD.findall(s) for s in SENTENCE.findall(text.lower())] or [[]]
+    kind = kinds[key % len(kinds)]
+    at = key // len(kinds) % len(kind)
+    rest = set(words[key // 97 % len(words)])
+    return sorted({kind[at]} - rest), sorted({kind[(at + 1) % len(kind)]} - rest)
+
+
 class Sparse:
     """Rows of feature numbers, with a value each."""
 
@@ -81,7 +104,7 @@ class Sparse:
         return np.bincount(self.at, weights=g[self.row] * self.value * seen, minlength=n)
 
 
-def learn(x: Sparse, y: np.ndarray, weight: np.ndarray, pairs: Sparse, n: int, counterfactual: float,
+def learn(x: Sparse, y: np.ndarray, weight: np.ndarray, pairs: Sparse, times: np.ndarray, n: int, counterfactual: float,
           decay: float = 1e-5, steps: int = 800, rate: float = 0.05, keep: float = 0.7) -> tuple[np.ndarray, float]:
     """Weights and intercept that minimise log loss + counterfactual * mean squared change + decay * |w|^2.
 
@@ -95,7 +118,7 @@ def learn(x: Sparse, y: np.ndarray, weight: np.ndarray, pairs: Sparse, n: int, c
         out = weight * (1 / (1 + np.exp(-np.clip(x.dot(w, seen) + b, -30, 30))) - y) / len(y)
         g = x.back(out, n, seen) + decay * w
         if len(pairs.sizes):
-            g = g + counterfactual * pairs.back(2 * pairs.dot(w) / len(pairs.sizes), n)
+            g = g + counterfactual * pairs.back(2 * times * pairs.dot(w) / times.sum(), n)
         g = np.append(g, out.sum())
         m = 0.9 * m + 0.1 * g
         v = 0.999 * v + 0.001 * g * g
@@ -105,7 +128,7 @@ def learn(x: Sparse, y: np.ndarray, weight: np.ndarray, pairs: Sparse, n: int, c
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_docs: int = 4000, most_features: int = 5000,
-        least_docs: int = 3, least_chi2: float = 20.0, most_pairs: int = 20_000, counterfactual: float = 5.0,
+        least_docs: int = 3, least_chi2: float = 20.0, counterfactual: float = 5.0,
         identity_terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> dict | float:
     """Learns from ``docs`` (doc_id, text) and ``labels`` (doc_id, label 0 or 1). A number is a constant score."""
     following = {a: b for kind in identity_terms for a, b in zip(kind, kind[1:] + kind[:1], strict=True)}
@@ -116,8 +139,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_docs: int
     def encode(batches):
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            found = [sorted(features(WORD.findall(t.lower()))) for t in texts]
-            pairs = [swapped_pairs(t, following) for t in texts]
+            found = [sorted(features(WORD.findall(t.lower()), following)) for t in texts]
+            pairs = [[*swapped_pairs(t, following), made_pair(t, zlib.crc32(str(key).encode()), identity_terms)]
+                     for key, t in zip(batch.column("doc_id").to_pylist(), texts, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("target"), pa.array(found, pa.list_(pa.string())),
                  pa.array([[p[0] for p in ps] for ps in pairs], pa.list_(pa.list_(pa.string()))),
@@ -136,9 +160,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_docs: int
     chi2 = (p + q) * (a * (q - b) - b * (p - a)) ** 2 / ((a + b) * (p + q - a - b + 1e-9) * p * q)
     chosen = [r[0] for r in counts.withColumn("chi2", chi2).where(F.col("chi2") >= least_chi2)
               .orderBy(F.desc("chi2"), "feature").limit(most_features).collect()]
-    number = {f: i for i, f in enumerate(dict.fromkeys([*chosen, *sorted(features(following))]))}
+    number = {f: i for i, f in enumerate(dict.fromkeys([*chosen, *sorted(following)]))}
     # Only numbers of chosen features leave the tasks: bounded by the sample and the number of features.
-    kept = sample.select("doc_id", "target", *(F.col(c) for c in ("found", "lost", "gained")))
+    kept = sample.select("doc_id", "target", "found")
+    # As many as there are different swaps, not mentions.
+    swaps = (sample.select(F.explode(F.arrays_zip("lost", "gained")).alias("p")).groupBy("p.lost", "p.gained").agg(F.count(F.lit(1)).alias("times"))
+             .orderBy("lost", "gained").collect())
 
     def narrow(batches):
         n = sent.value
@@ -146,20 +173,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_docs: int
         for batch in batches:
             rows = batch.to_pylist()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r["target"] for r in rows], pa.int32()), pa.array([pick(r["found"]) for r in rows], pa.list_(pa.int32())),
-                 pa.array([[pick(x) for x in r["lost"]] for r in rows], pa.list_(pa.list_(pa.int32()))),
-                 pa.array([[pick(x) for x in r["gained"]] for r in rows], pa.list_(pa.list_(pa.int32())))],
-                ["target", "found", "lost", "gained"])
+                [pa.array([r["target"] for r in rows], pa.int32()), pa.array([pick(r["found"]) for r in rows], pa.list_(pa.int32()))],
+                ["target", "found"])
 
     sent = docs.sparkSession.sparkContext.broadcast(number)
-    rows = kept.orderBy("doc_id").mapInArrow(narrow, "target int, found array<int>, lost array<array<int>>, gained array<array<int>>").collect()
+    rows = kept.orderBy("doc_id").mapInArrow(narrow, "target int, found array<int>").collect()
     y = np.array([r["target"] for r in rows], float)
     weight = np.where(y == 1, share[1] / p, share[0] / q)
-    pairs = [(lost, gained) for r in rows for lost, gained in zip(r["lost"], r["gained"], strict=True)][:most_pairs]
+    pairs = [([number[f] for f in r["lost"] if f in number], [number[f] for f in r["gained"] if f in number]) for r in swaps]
     w, b0 = learn(Sparse([r["found"] for r in rows]), y, weight / weight.mean(),
-                  Sparse([[*x, *z] for x, z in pairs], [[1.0] * len(x) + [-1.0] * len(z) for x, z in pairs]),
+                  Sparse([[*x, *z] for x, z in pairs], [[1.0] * len(x) + [-1.0] * len(z) for x, z in pairs]), np.array([float(r["times"]) for r in swaps]),
                   len(number), counterfactual)
-    return {"weights": {f: float(w[i]) for f, i in number.items()}, "intercept": b0}
+    return {"weights": {f: float(w[i]) for f, i in number.items()}, "intercept": b0, "pairs": sum(r["times"] for r in swaps),
+            "whole": frozenset(following)}
 
 
 class Scorer:
@@ -174,7 +200,7 @@ class Scorer:
         for w in set(WORD.findall((text or "").lower())):
             got = known.get(w)
             if got is None:
-                got = tuple(f for f in features([w]) if f in weights)
+                got = tuple(f for f in features([w], self.model["whole"]) if f in weights)
                 if len(known) >= self.most_words:
                     known.clear()
                 known[w] = got
