@@ -6,7 +6,7 @@ benchmark      documents contaminated with benchmark items go
 personal_data  personal data and terms that give it away are replaced in the text; n_chars follows
 packing        what is left is cut into sequences
 
-Each stage works on all its predecessor kept. Nulls, empty and repeated rows are handled as the operators say.
+Each stage works on all its predecessor kept, whatever other columns there are. Nulls, empty and repeated rows are handled as the operators say.
 """
 
 from __future__ import annotations
@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 
 from wattscope.llm import decontam, jaccard, packing, pii, quality
 from wattscope.llm.catalog import word_vocabulary
-from wattscope.llm.common import held_out, new_folder, ready, table
+from wattscope.llm.common import held_out, new_folder, ready, table, unused
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit(docs.where(~held_out(3, 1)), table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where("_score >= 0.5").drop("_score")
+    name = unused(docs, "score")
+    return quality.score(docs, model, name).where(F.col(name) >= 0.5).drop(name)
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,14 +30,16 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    marked = decontam.mark(docs, table(spark, sf_dir, "benchmark"))
-    return marked.where(~decontam.is_contaminated()).drop("contamination")
+    name = unused(docs, "contamination")
+    marked = decontam.mark(docs, table(spark, sf_dir, "benchmark"), name=name)
+    return marked.where(~decontam.is_contaminated(name=name)).drop(name)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = pii.find(docs, confidence=0.9).withColumn("_clean", F.when(F.size("pii") > 0, pii.sanitised(F.col("text"), F.col("pii"))))
-    changed = {"text": F.coalesce("_clean", "text"),
-               "n_chars": F.when(F.col("_clean").isNotNull(), F.char_length("_clean").cast("long")).otherwise(F.col("n_chars"))}
+    spans, clean = unused(docs, "pii"), unused(docs, "clean")
+    found = pii.find(docs, spans).withColumn(clean, F.when(F.size(spans) > 0, pii.sanitised(F.col("text"), F.col(spans))))
+    changed = {"text": F.coalesce(clean, "text"),
+               "n_chars": F.when(F.col(clean).isNotNull(), F.char_length(clean).cast("long")).otherwise(F.col("n_chars"))}
     return found.select(*(changed[c].alias(c) if c in changed else c for c in docs.columns))
 
 
