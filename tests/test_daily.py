@@ -11,6 +11,7 @@ from wattscope import schema
 from wattscope.operators import telemetry
 from wattscope.operators.quality import QualityError
 from wattscope.plans import daily
+from wattscope.sources import archive
 
 D1 = date(2026, 8, 21)
 D2, D3 = D1 + timedelta(1), D1 + timedelta(2)
@@ -90,3 +91,35 @@ def test_rerun_withdraws_what_no_longer_holds(spark, setup):
     Path(root, "moved").rename(Path(root, "archive", f"simulation_date={D2}"))
     got, found = run(spark, setup, D2, D2)
     assert set(got) == {(22, "A"), (22, "B")}
+
+
+def late(spark, events, root, day, event, energy):
+    rows = events(dict(event_id=event, plant="A", energy=energy, sec=3600 + 86400 * (day - D1).days)).withColumns({
+        "module_temp_c": F.lit(1.0), "inverter_temp_c": F.lit(1.0), "simulator_scenario": F.lit(None).cast("string"),
+        "kafka_topic": F.lit("t"), "kafka_partition": F.lit(0)})
+    telemetry.archive_rows(rows).write.mode("append").partitionBy(*schema.ARCHIVE_PARTITIONS).parquet(f"{root}/archive")
+
+
+def test_only_changed_days_run_again(spark, setup, events):
+    root, plants, tables = setup
+    for day in (D1, D2, D3):
+        put(root, day, ("A", 1000), ("B", 1600))
+    changed = lambda: daily.run_changed(spark, f"{root}/archive", f"{root}/feed", plants, tables)
+    summary = lambda: {(r.simulation_date.day, r.plant_id): r.performance_pct for r in daily.read_summary(spark, tables).collect()}
+    assert changed() == [D1, D2, D3] and changed() == []
+    before = summary()
+    assert before == {(d, p): x for d in (21, 22) for p, x in (("A", 80), ("B", 50))}
+    late(spark, events, root, D2, "late", 900.0)
+    assert changed() == [D2] and summary() == before | {(22, "A"): 90}
+    # A fold moves no figure and starts no run, nor does what it replaces going away.
+    archive.fold_day(spark, f"{root}/archive", D2)
+    assert changed() == []
+    archive.expire_day(spark, f"{root}/archive", D2)
+    assert changed() == []
+    late(spark, events, root, D2, "later", 950.0)
+    assert changed() == [D2] and summary() == before | {(22, "A"): 95}
+    put(root, D1, ("A", 800), ("B", 1600))
+    late(spark, events, root, D3, "third", 500.0)
+    assert changed() == [D1, D3] and summary()[21, "A"] == 100 and changed() == []
+    Path(root, "feed", f"daily_reference_{D1}.csv").rename(Path(root, "kept"))
+    assert changed() == [D1] and (21, "A") not in summary() and changed() == []

@@ -276,6 +276,59 @@ def test_upsert_touches_only_what_arrives(spark):
     assert sorted(Path(path, f"day={DAY + timedelta(1)}").glob("*.parquet")) == untouched
 
 
+def test_an_upsert_rewrites_the_files_that_hold_its_keys(spark, monkeypatch):
+    path = folder() + "/t"
+    ddl = "day date, k string, v int"
+    rows = lambda *r: spark.createDataFrame([(None if d is None else DAY + timedelta(d), k, v) for d, k, v in r], ddl)
+    for k in "abcdefgh":
+        rows((0, k, 1), (0, k + k, 1)).coalesce(1).write.mode("append").partitionBy("day").parquet(path)
+    rows((1, "a", 1), (None, "n", 1)).write.mode("append").partitionBy("day").parquet(path)
+    files = lambda: set(Path(path).rglob("*.parquet"))
+    held = lambda: sorted((str(r.day), r.k, r.v) for r in spark.read.schema(ddl).parquet(path).collect())
+    before = files()
+    assert upsert.upsert_files(rows((0, "c", 2), (0, "new", 2)), path, ["day", "k"], "day") == 1
+    want = sorted([(str(DAY), k * n, 2 if k * n == "c" else 1) for k in "abcdefgh" for n in (1, 2)] + [(str(DAY), "new", 2), (str(DAY + timedelta(1)), "a", 1), ("None", "n", 1)])
+    assert len(before - files()) == 1 and held() == want
+    # Cut short before it is decided, and when the new files are in and the old ones not yet out.
+    for name, value in (("_carry_out", "d"), ("unquote", "e")):
+        with monkeypatch.context() as m:
+            m.setattr(upsert, name, lambda *_: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                upsert.upsert_files(rows((0, value, 3)), path, ["day", "k"], "day")
+        upsert.recover(spark, path)
+        want = sorted((*r[:2], 3) if r[:2] == (str(DAY), value) else r for r in want)
+        assert held() == want
+    undecided = Path(path, "_upserts", "x", "new")
+    undecided.mkdir(parents=True)
+    assert upsert.upsert_files(rows((5, "x", 1)), path, ["day", "k"], "day") == 0 and len(held()) == len(want) + 1
+    assert not list(Path(path, "_upserts").iterdir())
+
+
+def test_fused_checks_find_what_the_single_ones_find(spark):
+    """And read the table once."""
+    plants = spark.createDataFrame([("A",), ("B",)], "plant_id string")
+    ddl = "plant_id string, k int, v double, w double"
+    rows = [("A", 1, 1.0, 1.0), ("A", 1, -1.0, 1.0), ("A", 1, -1.0, None), ("B", 2, None, -5.0), ("C", 2, -1.0, -1.0), (None, None, 1.0, 1.0), (None, None, -1.0, 1.0)]
+    path = folder() + "/t"
+    spark.createDataFrame(rows, ddl).write.parquet(path)
+    df, rules = spark.read.parquet(path), {"v": F.col("v") >= 0, "w": F.col("w") >= 0}
+    for key in (["plant_id", "k"], ["k"]):
+        got = quality.fused_violations(df, "t", key, rules, plants)
+        want = quality.union_all([quality.duplicate_keys(df, "t", key), quality.orphans(df, "t", plants), quality.broken_rows(df, "t", key, rules)])
+        show = lambda x: sorted(map(str, x.collect()))
+        assert show(got) == show(want) and got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("FileScan") == 1
+    assert quality.fused_violations(df.where("false"), "t", ["k"], rules, plants).isEmpty()
+    assert show(quality.fused_violations(df.drop("plant_id"), "t", ["k"], {}, plants)) == show(quality.duplicate_keys(df, "t", ["k"]))
+
+
+def test_rollup_levels(spark):
+    ddl = "simulation_date date, plant_id string, actual_generation_kwh double, expected_generation_kwh double, estimated_lost_energy_kwh double, estimated_actual_revenue double, estimated_lost_revenue double, alert_count bigint"
+    rows = spark.createDataFrame([(DAY, "A", 50.0, 100.0, 50.0, 1.0, 1.0, 2), (DAY, "B", 300.0, 300.0, 0.0, 2.0, 0.0, 0), (DAY + timedelta(1), "A", 0.0, 0.0, 0.0, 0.0, 0.0, 1)], ddl)
+    got = {(r.level, r.simulation_date, r.plant_id): (r.performance_pct, r.row_count, r.alert_count) for r in reconcile.rolled_up(rows).collect()}
+    assert len(got) == 6 and got["day", DAY, None] == (87.5, 2, 2) and got["all", None, None] == (87.5, 3, 3) and got["plant", DAY + timedelta(1), "A"] == (None, 1, 1)
+    assert reconcile.rolled_up(rows.where("false")).isEmpty()
+
+
 def test_health_marks_only_move_forward(spark, events):
     ok = monitor.batch_health(events(dict(sec=60)), F.lit(DAWN + timedelta(hours=1)))
     idle = monitor.batch_health(events(dict()).where("false"), F.lit(DAWN + timedelta(hours=2)))

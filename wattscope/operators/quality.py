@@ -138,21 +138,45 @@ def alert_violations(alerts: DataFrame, plants: DataFrame) -> DataFrame:
                            "alert_type")
                   .agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     return union_all([
-        duplicate_keys(alerts, "alerts", ["id"]),
-        orphans(alerts, "alerts", plants),
-        broken_rows(alerts, "alerts", ["id"], alert_rules()),
+        fused_violations(alerts, "alerts", ["id"], alert_rules(), plants),
         _found(open_twice, "alerts", "ONE_ACTIVE", _key(asset)),
     ])
 
 
+def fused_violations(df: DataFrame, table: str, key: list[str], rules: dict[str, Column], plants: DataFrame) -> DataFrame:
+    """Key, reference and row checks of a table in one pass over it.
+
+    One aggregation by key counts rows and broken rules; what it finds, and the plants it names, are then
+    counted once more by check, which leaves a row for each plant to look up in the registry.
+    """
+    text = _key(key)
+    refs = "plant_id" in df.columns
+    within = refs and "plant_id" not in key
+    keyed = df.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("rows"),
+        *(F.count_if(~F.coalesce(rule, F.lit(True))).alias(f"broken_{i}") for i, rule in enumerate(rules.values())),
+        *([F.collect_set(F.struct("plant_id")).alias("refs")] if within else []))
+
+    def found(check: str, of: Column, times: Column) -> Column:
+        return F.struct(F.lit(check).alias("check"), of.cast("string").alias("key"), times.cast("long").alias("times"))
+
+    finds = [found("PRIMARY_KEY", text, (F.col("rows") > 1).cast("long")),
+             *(found("CHECK", F.concat_ws(":", F.lit(name), text), F.col(f"broken_{i}")) for i, name in enumerate(rules))]
+    if refs and not within:
+        finds.append(found("FOREIGN_KEY", F.col("plant_id"), F.lit(1)))
+    listed = F.array(*finds)
+    if within:
+        listed = F.concat(listed, F.transform("refs", lambda r: found("FOREIGN_KEY", r["plant_id"], F.lit(1))))
+    counted = (keyed.select(F.explode(F.filter(listed, lambda x: x["times"] > 0)).alias("x")).select("x.*")
+               .groupBy("check", "key").agg(F.sum("times").alias("times")))
+    if refs:
+        known = plants.select(F.col("plant_id").alias("known")).distinct()
+        counted = counted.join(known, (F.col("check") == "FOREIGN_KEY") & (F.col("key") == F.col("known")), "left_anti")
+    again = F.when(F.col("check") == "CHECK", F.col("times")).otherwise(F.lit(1)).cast("int")
+    return counted.select(F.lit(table).alias("table"), "check", "key", F.explode(F.array_repeat(F.lit(1), again)).alias("_")).drop("_")
+
+
 def table_violations(tables: dict[str, tuple[DataFrame, list[str], dict[str, Column]]],
                      plants: DataFrame) -> DataFrame:
-    """Key, reference and row checks of several tables: ``name -> (frame, key, rules)``."""
-    frames = []
-    for name, (df, key, rules) in tables.items():
-        frames.append(duplicate_keys(df, name, key))
-        if "plant_id" in df.columns:
-            frames.append(orphans(df, name, plants))
-        if rules:
-            frames.append(broken_rows(df, name, key, rules))
-    return union_all(frames)
+    """Key, reference and row checks of several tables, each read once: ``name -> (frame, key, rules)``."""
+    return union_all([fused_violations(df, name, key, rules, plants) for name, (df, key, rules) in tables.items()])

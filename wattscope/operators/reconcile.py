@@ -94,20 +94,35 @@ def unreferenced_days(dates: DataFrame, reference: DataFrame) -> DataFrame:
     return dates.join(reference.select("simulation_date").distinct(), "simulation_date", "left_anti")
 
 
+_SUMS = {
+    "actual_generation_kwh": "actual_generation_kwh",
+    "expected_generation_kwh": "expected_generation_kwh",
+    "lost_energy_kwh": "estimated_lost_energy_kwh",
+    "actual_revenue": "estimated_actual_revenue",
+    "lost_revenue": "estimated_lost_revenue",
+}
+
+
+def rolled_up(summary: DataFrame) -> DataFrame:
+    """Figures of each plant and day, of each day, and of all, from one pass: ``level`` says which, and what a row
+    adds up over is NULL. A ratio is of sums at every level, so it is no mean of the ratios below it."""
+    return (summary.rollup("simulation_date", "plant_id")
+            .agg(*(F.sum(c).alias(name) for name, c in _SUMS.items()), F.count(F.lit(1)).alias("row_count"),
+                 F.sum("alert_count").alias("alert_count"), F.grouping_id().alias("_level"))
+            .withColumns({
+                "level": F.when(F.col("_level") == 0, "plant").when(F.col("_level") == 1, "day").otherwise("all"),
+                "performance_pct": model.ratio_pct(F.col("actual_generation_kwh"), F.col("expected_generation_kwh"))})
+            # Without rows there is no total either.
+            .where("row_count > 0").drop("_level"))
+
+
 def totals(summary: DataFrame, *more: Column) -> DataFrame:
     """Portfolio figures per day; a day without rows has no row. Performance is a ratio of sums.
 
     ``more`` are further aggregates over the same rows.
     """
-    sums = {
-        "actual_generation_kwh": "actual_generation_kwh",
-        "expected_generation_kwh": "expected_generation_kwh",
-        "lost_energy_kwh": "estimated_lost_energy_kwh",
-        "actual_revenue": "estimated_actual_revenue",
-        "lost_revenue": "estimated_lost_revenue",
-    }
     return (summary.groupBy("simulation_date")
-            .agg(*(F.sum(c).alias(name) for name, c in sums.items()),
+            .agg(*(F.sum(c).alias(name) for name, c in _SUMS.items()),
                  F.count(F.lit(1)).alias("plant_count"), *more)
             .withColumn("performance_pct", model.ratio_pct(F.col("actual_generation_kwh"),
                                                            F.col("expected_generation_kwh"))))

@@ -331,6 +331,18 @@ def upsert_merge(spark, d):
     return upsert.upsert(ref, reissued, ["simulation_date", "plant_id"])
 
 
+def upsert_by_file(spark, d):
+    """As ``upsert_merge``, in a stored table of days in several files each: files without an arriving key stay."""
+    ref = bed.daily_reference(spark, d).select("simulation_date", "plant_id", "ppa_rate_per_kwh")
+    path = new_folder(spark, "by-file")
+    ref.repartition(3, "plant_id").write.partitionBy("simulation_date").parquet(path)
+    reissued = ref.where("dayofmonth(simulation_date) > 15").select(
+        F.date_add("simulation_date", 7).alias("simulation_date"), "plant_id",
+        (F.col("ppa_rate_per_kwh") + 1).alias("ppa_rate_per_kwh"))
+    upsert.upsert_files(reissued, path, ["simulation_date", "plant_id"], "simulation_date")
+    return spark.read.schema(ref.schema).parquet(path)
+
+
 def upsert_repeated(spark, d):
     """The feed delivered three times at three rates: the dearest counts."""
     ref = bed.daily_reference(spark, d).select("simulation_date", "plant_id", "ppa_rate_per_kwh")
@@ -407,6 +419,10 @@ def daily_totals(spark, d):
     return reconcile.totals(_summary(spark, d))
 
 
+def daily_rollup(spark, d):
+    return reconcile.rolled_up(_summary(spark, d))
+
+
 def daily_report_rows(spark, d):
     return serving.daily_rows(_summary(spark, d), bed.plants(spark, d))
 
@@ -460,11 +476,11 @@ BATCH: tuple[Query, ...] = (
     alerts_listing, lifecycle_step, energy_increments, inverter_actuals, plant_actuals,
     running_meter, archive_presence, reference_problems, reference_rows, reconcile_summary,
     reconcile_published, reconcile_problems, reconcile_warnings, dq_checks, constraint_checks,
-    alert_constraints, forecast_feed, scenario_range_join, upsert_merge, plant_reference,
+    alert_constraints, forecast_feed, scenario_range_join, upsert_merge, upsert_by_file, plant_reference,
     portfolio_checks, rated_capacity, installed_capacity, portfolio_live, plants_list, plant_live,
     plant_live_one, plant_history_one, plant_inverters_one, upsert_repeated,
     report_export, portfolio_flatten,
-    plant_ranking, plant_history, plant_inverters, daily_totals, daily_report_rows, daily_report,
+    plant_ranking, plant_history, plant_inverters, daily_totals, daily_rollup, daily_report_rows, daily_report,
     pipeline_health, display_units,
 )
 

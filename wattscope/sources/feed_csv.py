@@ -27,7 +27,8 @@ def _headers(spark: SparkSession, path: str) -> DataFrame:
             .agg(F.min_by("value", "line_id").alias("header")))
 
 
-def _feed_date(file_path: Column) -> Column:
+def feed_date(file_path: Column) -> Column:
+    """The day a feed file is for, by its name."""
     return F.to_date(F.nullif(F.regexp_extract(file_path, _DAY, 1), F.lit("")))
 
 
@@ -54,7 +55,7 @@ def read_feed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
                                         ("COLUMN_UNEXPECTED", "warning", extra)):
             if columns:
                 problems.append(files.select(
-                    _feed_date(F.col("feed_path")).alias("feed_date"), F.lit(level).alias("level"),
+                    feed_date(F.col("feed_path")).alias("feed_date"), F.lit(level).alias("level"),
                     F.lit(problem).alias("problem"), F.lit(", ".join(columns)).alias("detail")))
         if missing:
             continue
@@ -78,7 +79,7 @@ def read_feed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     placed = _with_position(rows)
     empty = (headers.where(F.col("header").isin(readable)).select("feed_path")
              .join(rows.select("feed_path"), "feed_path", "left_anti")
-             .select(_feed_date(F.col("feed_path")).alias("feed_date"), F.lit("error").alias("level"),
+             .select(feed_date(F.col("feed_path")).alias("feed_date"), F.lit("error").alias("level"),
                      F.lit("NO_ROWS").alias("problem"), F.lit("").alias("detail")))
     for frame in problems:
         empty = empty.unionByName(frame)
@@ -95,7 +96,7 @@ def _with_position(rows: DataFrame) -> DataFrame:
                         .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     place = F.row_number().over(Window.partitionBy(*block).orderBy("line_id"))
     return (rows.withColumn("place", place).join(before, block)
-            .select(*schema.FEED_COLUMNS, _feed_date(F.col("feed_path")).alias("feed_date"),
+            .select(*schema.FEED_COLUMNS, feed_date(F.col("feed_path")).alias("feed_date"),
                     (F.col("before") + F.col("place")).cast("long").alias("position")))
 
 

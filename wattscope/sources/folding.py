@@ -59,7 +59,8 @@ class DayTable:
         return max(kept, default=0)
 
     def _files(self, spark: SparkSession, day: date) -> dict[str, int]:
-        """The files of a day by the path below its folder, with their sizes."""
+        """The files of a day by the path below its folder, with their sizes. Names and sizes, as Spark's own
+        listing has them on the driver."""
         path, files = hadoop_files(spark, self._folder(day))
         if not files.exists(path):
             return {}
