@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import tempfile
-from datetime import date
+from datetime import date, timedelta
 from pathlib import Path
 
 import pytest
@@ -120,6 +120,22 @@ def test_columns_are_found_by_name(spark, folder):
         (22, "warning", "COLUMN_UNEXPECTED"), (23, "error", "COLUMN_MISSING"), (24, "error", "NO_ROWS")}
 
 
+def test_two_hundred_headers_are_one_read(spark, folder):
+    """Each file has its own header; lines are placed by it, quoted fields too, and nothing is read twice."""
+    for n in range(200):
+        names = list(schema.FEED_COLUMNS[n % 9:] + schema.FEED_COLUMNS[:n % 9]) + [f"x{n}"] * (n % 2)
+        row = {**ROW, "plant_id": f"P{n}", "source_version": 'v "1", a'}
+        text = [",".join('"' + row.get(c, "z").replace('"', '\\"') + '"' if c == "source_version" else row.get(c, "z") for c in names)]
+        put(folder, date(2026, 1, 1) + timedelta(n), ["", *text, "  ", *text], "\ufeff" * (n % 3 == 0) + ",".join(names))
+    rows, bad = feed_csv.read_feed(spark, folder)
+    got = rows.collect()
+    assert len(got) == 400 and {r.plant_id for r in got} == {f"P{n}" for n in range(200)} and {r.position for r in got} == {1, 2}
+    assert {r.source_version for r in got} == {'v "1", a'} and all(r.plant_capacity_kw == ROW["plant_capacity_kw"] for r in got)
+    assert sorted(r.detail for r in bad.collect()) == sorted(f"x{n}" for n in range(1, 200, 2))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert folder not in plan
+
+
 def test_forecast_survives_its_own_validation(spark, folder):
     plants = spark.createDataFrame([("PLANT_01", 4000.0, 0.15), ("PLANT_02", 2000.0, None)],
                                    "plant_id string, capacity_kw double, ppa_rate_per_kwh double")

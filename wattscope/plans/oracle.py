@@ -679,6 +679,13 @@ _VIEWS["week_runs"] = _over("runs", ticks="week_ticks", faults="week_faults")
 _VIEWS["week_alerts"] = _over("alert_rows", runs="week_runs")
 _QUERIES["stream_alert_lifecycle"] = f"SELECT {_ALERT} FROM week_alerts"
 
+_QUERIES["stream_conditions"] = """
+        SELECT plant_id, inverter_id, alert_type, severity, first_observed_at, last_observed_at, observation_count, CAST(0 AS BIGINT) AS keys_twice
+        FROM week_runs WHERE ended_at IS NULL"""
+_QUERIES["stream_speed_layer"] = """
+        SELECT 'live' AS sink, count(DISTINCT plant_id) AS row_count FROM trusted
+        UNION ALL SELECT 'archive', count(*) FROM judged WHERE rejection_reason IS NULL
+        UNION ALL SELECT 'quarantine', count(*) FROM judged WHERE rejection_reason IS NOT NULL"""
 # The last week was never committed.
 _VIEWS["known_events"] = "SELECT * FROM week_events WHERE simulation_date < (SELECT max(simulation_date) FROM week_events)"
 for _view, _read in (("ticks", {"week_events": "known_events"}), ("states", {"week_ticks": "known_ticks", "week_events": "known_events"}),
@@ -800,6 +807,13 @@ for _view, _read in (("ticks", {"telem": "kept"}), ("states", {"ticks": "kept_ti
 _VIEWS["job_recon"] = _over("recon", recon_base="job_rows", alerts_per_day="kept_alerts_per_day")
 _QUERIES["daily_job_rerun"] = f"""
         SELECT *, CAST(simulation_date AS DATE) = (SELECT min(CAST(event_time AS DATE)) FROM telem) + 4 AS reran FROM ({_QUERIES["daily_job"]})"""
+_QUERIES["feed_files"] = """
+        SELECT CAST(CAST(simulation_date AS DATE) AS VARCHAR) AS feed_date, row_number() OVER (PARTITION BY simulation_date ORDER BY plant_id) AS position, plant_id,
+               CAST(plant_capacity_kw AS VARCHAR) AS plant_capacity_kw, CAST(expected_generation_kwh AS VARCHAR) AS expected_generation_kwh,
+               CAST(expected_peak_power_kw AS VARCHAR) AS expected_peak_power_kw, CAST(forecast_irradiance_kwh_m2 AS VARCHAR) AS forecast_irradiance_kwh_m2,
+               CAST(ppa_rate_per_kwh AS VARCHAR) AS ppa_rate_per_kwh, CAST(maintenance_flag AS VARCHAR) AS maintenance_flag, source_version,
+               CASE WHEN day(simulation_date) % 3 = 0 THEN 'warning' END AS level, CASE WHEN day(simulation_date) % 3 = 0 THEN 'note_' || day(simulation_date) END AS detail
+        FROM ref"""
 _QUERIES["daily_job_issues"] = """
         SELECT CAST(CAST(d AS DATE) AS VARCHAR) AS simulation_date, 'feed' AS stage, p.plant_id, 'PLANT_NOT_IN_FEED' AS problem
         FROM sites p, day_list WHERE p.n_regionkey = 2 AND day(d) = 13

@@ -9,7 +9,8 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattscope.operators import energy, incidents, metrics, monitor, reconcile, registry, telemetry
+from wattscope import schema
+from wattscope.operators import energy, incidents, lifecycle, metrics, monitor, quality, reconcile, registry, telemetry
 from wattscope.plans import daily
 from wattscope.plans import testbed as bed
 from wattscope.session import new_folder
@@ -18,8 +19,8 @@ from wattscope.sources import feed_csv
 from wattscope.sources.archive import expire_day, fold_day, read_days, write_archive
 from wattscope.sources.records import file_records
 from wattscope.streaming import silence, sinks
-from wattscope.streaming.jobs import start_live
-from wattscope.streaming.microbatch import LiveTables, alerts_table, live_table, pipeline_health
+from wattscope.streaming.jobs import start_live, start_speed_layer
+from wattscope.streaming.microbatch import LiveTables, alerts_table, live_table, pipeline_health, tracked_faults
 
 NOW = {"availableNow": True}
 S = FleetSettings()
@@ -151,6 +152,27 @@ def stream_live_crash(spark, d):
     return alerts.select("*", seen.alias("plant_rows"), folded.alias("portfolio_rows"), health.select("status").scalar().alias("health"))
 
 
+def stream_conditions(spark, d):
+    """Faults the live tables track after the last week, alerts or not yet, with what is wrong with their key."""
+    live = _weekly_live(spark, d)
+    tracked = tracked_faults(spark, live.root)
+    twice = quality.duplicate_keys(tracked, "conditions", list(lifecycle.FAULT)).agg(F.count(F.lit(1))).scalar()
+    return tracked.select(*lifecycle.FAULT, "severity", "first_observed_at", "last_observed_at", "observation_count", twice.alias("keys_twice"))
+
+
+def stream_speed_layer(spark, d):
+    """All three sinks over the same records, each with its own checkpoint: how many rows each has at the end."""
+    work = new_folder(spark, "speed")
+    bed.raw_records(spark, d).write.parquet(f"{work}/records")
+    inverters = bed.inverters(spark, d)
+    live = LiveTables(f"{work}/live", registry.plant_reference(bed.plants(spark, d), inverters), registry.inverter_reference(inverters), S)
+    for q in start_speed_layer(lambda: file_records(spark, f"{work}/records"), live, f"{work}/archive", f"{work}/ckpt", invalid_path=f"{work}/invalid", trigger=NOW):
+        q.awaitTermination()
+    of = lambda name, df: df.agg(F.lit(name).alias("sink"), F.count(F.lit(1)).alias("row_count"))
+    return quality.union_all([of("live", live_table(spark, live.root, "plant_metrics")), of("archive", spark.read.parquet(f"{work}/archive")),
+                              of("quarantine", spark.read.parquet(f"{work}/invalid"))])
+
+
 def stream_live_metrics(spark, d):
     """The plant metrics the microbatches wrote, read back."""
     rows = live_table(spark, _weekly_live(spark, d).root, "plant_metrics")
@@ -217,6 +239,24 @@ def daily_job_rerun(spark, d):
     return reconcile.totals(daily.read_summary(spark, tables)).withColumn("reran", F.array_contains(again, F.col("simulation_date")))
 
 
+def feed_files(spark, d):
+    """Feed files of which no two have the same header: columns turned about by a file's day and one more in every
+    third. Read back by name, with what is said about the files."""
+    work = new_folder(spark, "feed")
+    ref = bed.daily_reference(spark, d)
+    text = ref.select(F.col("simulation_date").alias("day"), *(F.col(c).cast("string").alias(c) for c in schema.FEED_COLUMNS))
+    n = F.dayofmonth("day")
+    turned = lambda a: F.concat(F.slice(a, n % 9 + 1, F.lit(9)), F.slice(a, F.lit(1), n % 9))
+    extra = F.when(n % 3 == 0, F.array(F.concat(F.lit("note_"), n.cast("string")))).otherwise(F.array().cast("array<string>"))
+    names = F.array_join(F.concat(turned(F.array(*map(F.lit, schema.FEED_COLUMNS))), extra), ",")
+    values = F.array_join(F.concat(turned(F.array(*(F.concat(F.lit('"'), c, F.lit('"')) for c in schema.FEED_COLUMNS))), extra), ",")
+    lines = text.select("day", F.lit(0).alias("at"), F.lit("").alias("plant_id"), names.alias("line")).distinct().union(text.select("day", F.lit(1), "plant_id", values.alias("line")))
+    (lines.repartition("day").sortWithinPartitions("day", "at", "plant_id").select("day", "line").write.partitionBy("day").text(f"{work}/feed"))
+    rows, problems = feed_csv.read_feed(spark, f"{work}/feed")
+    said = problems.groupBy("feed_date").agg(F.max("level").alias("level"), F.max("detail").alias("detail"))
+    return rows.join(said, "feed_date", "left").drop("simulation_date")
+
+
 def daily_job_issues(spark, d):
     """What the daily job found wrong: of the feed, in reconciling, in what was published."""
     return _daily_tables(spark, d)[1]
@@ -232,4 +272,5 @@ def daily_job_summary(spark, d):
 STREAMS = (stream_valid, stream_windowed_metrics, stream_sliding_metrics, stream_quarantine, stream_quarantine_rate,
            stream_archive_roundtrip, archive_compacted,
            stream_alert_lifecycle, stream_live_metrics, stream_live_portfolio, stream_live_health, stream_live_crash, stream_silence,
-           daily_job, daily_job_summary, daily_job_rerun, daily_job_issues)
+           daily_job, daily_job_summary, daily_job_rerun, daily_job_issues, feed_files,
+           stream_conditions, stream_speed_layer)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wattscope import schema
+from wattscope.session import materialize
 
 # Fixed formats: the day in a file's name, or in its folder's.
 _DAY = r"(?:daily_reference_|day=)(\d{4}-\d{2}-\d{2})"
@@ -17,14 +17,16 @@ class FeedError(ValueError):
     """The feed cannot be read or may not be written."""
 
 
-def _headers(spark: SparkSession, path: str) -> DataFrame:
-    """``(feed_path, header)`` of every file; the header is the line at its start."""
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("feed_path"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line_id"), "value")
+def _headers(lines: DataFrame) -> DataFrame:
+    """``feed_path, header_id, header`` of every file: the first line of its start that is not blank."""
     return (lines.where("block = 0").groupBy("feed_path")
-            .agg(F.min_by("value", "line_id").alias("header")))
+            .agg(F.min_by("value", "line_id").alias("header"), F.min("line_id").alias("header_id")))
+
+
+def _fields(text: Column, width: int) -> Column:
+    """The fields of a line of CSV as an array of ``width``."""
+    parsed = F.from_csv(text, ", ".join(f"c{i} string" for i in range(width)))
+    return F.array(*(parsed[f"c{i}"] for i in range(width)))
 
 
 def feed_date(file_path: Column) -> Column:
@@ -38,52 +40,45 @@ def read_feed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     Everything is read as text. ``rows`` has the contract's columns, ``feed_date`` and the
     row's ``position`` in its file. ``file_problems`` has a row for each file without a
     contract column (its rows are left out), with unexpected columns (a warning; they are
-    ignored) or without any row. Files are read once per distinct header; usually there is one.
+    ignored) or without any row. The files are read once, whatever their headers: lines are written down,
+    and a line's fields are placed by the header of its own file, which it meets by the file's name.
     """
-    headers = _headers(spark, path)
-    kinds = [r.header for r in headers.select("header").distinct().collect()]
-    if not kinds:
+    try:
+        text = spark.read.text(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise FeedError(f"no feed file at {path}") from e
+    lines = materialize(text.select(
+        F.col("_metadata.file_path").alias("feed_path"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line_id"), "value").where(F.col("value").rlike(r"\S")), "feed-lines")
+    first = _headers(lines)
+    commas = F.char_length(F.regexp_replace("header", "[^,]", ""))
+    width = first.agg(F.max(commas)).first()[0]
+    if width is None:
         raise FeedError(f"no feed file at {path}")
-
-    frames, problems, readable = [], [], []
-    for header in kinds:
-        names = [n.strip().strip('"').lstrip("﻿") for n in header.split(",")]
-        missing = [c for c in schema.FEED_COLUMNS if c not in names]
-        extra = [n for n in names if n not in schema.FEED_COLUMNS]
-        files = headers.where(F.col("header") == header).select("feed_path")
-        for problem, level, columns in (("COLUMN_MISSING", "error", missing),
-                                        ("COLUMN_UNEXPECTED", "warning", extra)):
-            if columns:
-                problems.append(files.select(
-                    feed_date(F.col("feed_path")).alias("feed_date"), F.lit(level).alias("level"),
-                    F.lit(problem).alias("problem"), F.lit(", ".join(columns)).alias("detail")))
-        if missing:
-            continue
-        readable.append(header)
-        layout = T.StructType([T.StructField(n if n in schema.FEED_COLUMNS else f"extra_{i}", T.StringType())
-                               for i, n in enumerate(names)])
-        rows = (spark.read.schema(layout).option("header", True).csv(path).select(
-                    *schema.FEED_COLUMNS,
-                    F.col("_metadata.file_path").alias("feed_path"),
-                    F.col("_metadata.file_block_start").alias("block"),
-                    F.monotonically_increasing_id().alias("line_id")))
-        frames.append(rows.join(files, "feed_path", "left_semi"))
-
-    if not frames:
-        rows = spark.createDataFrame([], ", ".join(f"{c} string" for c in schema.FEED_COLUMNS)
-                                     + ", feed_path string, block bigint, line_id bigint")
-    else:
-        rows = frames[0]
-        for frame in frames[1:]:
-            rows = rows.unionByName(frame)
-    placed = _with_position(rows)
-    empty = (headers.where(F.col("header").isin(readable)).select("feed_path")
-             .join(rows.select("feed_path"), "feed_path", "left_anti")
-             .select(feed_date(F.col("feed_path")).alias("feed_date"), F.lit("error").alias("level"),
-                     F.lit("NO_ROWS").alias("problem"), F.lit("").alias("detail")))
-    for frame in problems:
-        empty = empty.unionByName(frame)
-    return placed, empty
+    width += 1
+    contract = F.array(*(F.lit(c) for c in schema.FEED_COLUMNS))
+    bare = F.regexp_replace("header", "^\ufeff", "")
+    names = F.slice(F.transform(_fields(bare, width), lambda n: F.trim(F.coalesce(n, F.lit("")))), F.lit(1), commas + 1)
+    headers = materialize(first.withColumn("names", names).select(
+        "feed_path", "header_id", F.transform(contract, lambda c: F.array_position("names", c).cast("int")).alias("places"),
+        F.filter(contract, lambda c: ~F.array_contains("names", c)).alias("missing"),
+        F.filter("names", lambda n: ~F.array_contains(contract, n)).alias("extra")), "feed-headers")
+
+    fields = lines.join(headers.where(F.size("missing") == 0), "feed_path").where("line_id <> header_id")
+    rows = fields.withColumn("fields", _fields(F.col("value"), width)).select(
+        *(F.get("fields", F.col("places")[i] - 1).alias(c) for i, c in enumerate(schema.FEED_COLUMNS)), "feed_path", "block", "line_id")
+
+    def problem(level: str, name: str, columns: str) -> Column:
+        return F.when(F.size(columns) > 0, F.struct(F.lit(level).alias("level"), F.lit(name).alias("problem"), F.array_join(columns, ", ").alias("detail")))
+
+    day = feed_date(F.col("feed_path")).alias("feed_date")
+    of_header = headers.select(day, F.explode(F.array_compact(F.array(
+        problem("error", "COLUMN_MISSING", "missing"), problem("warning", "COLUMN_UNEXPECTED", "extra")))).alias("p")).select("feed_date", "p.*")
+    empty = (headers.where(F.size("missing") == 0).join(rows.select("feed_path"), "feed_path", "left_anti")
+             .select(day, F.lit("error").alias("level"), F.lit("NO_ROWS").alias("problem"), F.lit("").alias("detail")))
+    return _with_position(rows), empty.unionByName(of_header)
 
 
 def _with_position(rows: DataFrame) -> DataFrame:

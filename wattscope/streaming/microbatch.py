@@ -159,9 +159,14 @@ def pipeline_health(spark: SparkSession, root: str) -> DataFrame:
     return monitor.merge_health(known, later.drop("as_of_batch", "slot"))
 
 
+def tracked_faults(spark: SparkSession, root: str) -> DataFrame:
+    """Faults seen at the last committed observation, whether they have lasted long enough for an alert or not."""
+    return _committed_slot(spark, root, _TRACKED, lifecycle.TRACKED_SCHEMA)
+
+
 def fault_history(spark: SparkSession, root: str) -> DataFrame:
     """Faults tracked now (``ended_at`` NULL) and those that ended as alerts."""
-    open_now = (_committed_slot(spark, root, _TRACKED, lifecycle.TRACKED_SCHEMA)
+    open_now = (tracked_faults(spark, root)
                 .withColumn("ended_at", F.lit(None).cast("timestamp"))
                 .select(*incidents.INCIDENT_COLUMNS))
     resolved = read_table(spark, f"{root}/resolved_faults",
