@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import tempfile
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 from pathlib import Path
 
 import pytest
@@ -142,22 +142,29 @@ def test_forecast_survives_its_own_validation(spark, folder):
     units = spark.createDataFrame([("PLANT_01", f"I{n}", 1000.0) for n in range(4)] + [("PLANT_02", "I", 2000.0)],
                                   "plant_id string, inverter_id string, rated_power_kw double")
     days = F.array(F.lit(DAY), F.lit(date(2026, 8, 22)))
-    made = forecast.forecast_feed(plants, units, days)
+    # PLANT_01 was seen at six and twelve, on two days; PLANT_02 never, so it takes the fleet's hours.
+    at = lambda n, h: datetime(2026, 8, n, h)
+    seen = spark.createDataFrame([("PLANT_01", at(1, 6), 100.0, 20.0), ("PLANT_01", at(2, 6), 300.0, 20.0), ("PLANT_01", at(1, 12), 800.0, 45.0),
+                                  ("PLANT_03", at(1, 12), 1600.0, 45.0)], "plant_id string, event_time timestamp, irradiance_wm2 double, module_temp_c double")
+    made = forecast.forecast_feed(seen, plants, units, days)
     feed_csv.write_feed(made, folder)
     rows, bad = feed_csv.read_feed(spark, folder)
     a = feed.assess(rows)
     assert bad.isEmpty() and feed.feed_problems(a, plants).isEmpty()
     back = {(r.simulation_date, r.plant_id): r for r in feed.typed_rows(a).collect()}
     assert len(back) == 4 and back[(DAY, "PLANT_02")].ppa_rate_per_kwh == 0.085
-    one = back[(DAY, "PLANT_01")]
-    # About twelve full-power hours, peak at noon under the heat of the modules.
-    assert 11 < one.expected_generation_kwh / 4000 < 13 and one.expected_peak_power_kw == pytest.approx(4000 * (1 - 26 * 0.004))
+    one, two = back[(DAY, "PLANT_01")], back[(DAY, "PLANT_02")]
+    # A fifth and four fifths of full sun, noon at twenty degrees too many.
+    assert one.expected_generation_kwh == pytest.approx(800 + 3200 * 0.92) and one.expected_peak_power_kw == pytest.approx(3200 * 0.92)
+    assert one.forecast_irradiance_kwh_m2 == 1.0 and two.forecast_irradiance_kwh_m2 == pytest.approx(1.4)
+    assert two.expected_generation_kwh == pytest.approx(400 + 2000 * 0.92)
 
 
 def test_writing_refuses(spark, folder):
     plants = spark.createDataFrame([("A", 10.0)], "plant_id string, capacity_kw double")
     units = spark.createDataFrame([("A", "I", 10.0)], "plant_id string, inverter_id string, rated_power_kw double")
-    made = forecast.forecast_feed(plants, units, F.array(F.lit(DAY)))
+    seen = spark.createDataFrame([("PLANT_01", datetime(2026, 8, 1, 12), 800.0, 20.0)], "plant_id string, event_time timestamp, irradiance_wm2 double, module_temp_c double")
+    made = forecast.forecast_feed(seen, plants, units, F.array(F.lit(DAY)))
     with pytest.raises(feed_csv.FeedError, match="empty"):
         feed_csv.write_feed(made.where("false"), folder)
     with pytest.raises(feed_csv.FeedError, match="twice"):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from math import pi
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,13 +47,6 @@ def freshness(latest: Column, as_of: Column, stale_after_seconds: int) -> Column
             .otherwise(F.lit("LIVE")))
 
 
-def solar_shape(progress: Column, exponent: float = 1.5, daylight: float = 1.0) -> Column:
-    """0 at sunrise and sunset, 1 at noon; ``progress`` runs from 0 to 1 over a day."""
-    sun = (progress - (0.5 - daylight / 2.0)) / daylight
-    arc = F.pow(F.greatest(F.sin(F.lit(pi) * sun), F.lit(0.0)), F.lit(exponent))
-    return F.when((sun > 0) & (sun < 1), arc).otherwise(F.lit(0.0))
-
-
 def heat_factor(module_temp_c: Column, rated_at_c: float = 25.0, per_degree: float = 0.004,
                 floor: float = 0.80) -> Column:
     """Efficiency left at a module temperature."""

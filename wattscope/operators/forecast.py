@@ -1,8 +1,10 @@
-"""The expectation feed of a noise-free day."""
+"""The expectation feed, from what was measured: a plant's usual day under its own sun.
 
-from __future__ import annotations
+The mean irradiance and module temperature of each hour of the day make a plant's profile; its rating under
+that profile is the generation to expect. An hour of which a plant has no reading takes the fleet's mean.
+"""
 
-from dataclasses import dataclass
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,52 +12,37 @@ from pyspark.sql import functions as F
 from wattscope import schema
 from wattscope.functions import model
 
-
-@dataclass(frozen=True)
-class SolarDay:
-    """Coefficients of the generation model (fixed values) and the clock's resolution."""
-    clear_sky_wm2: float = 1000.0
-    exponent: float = 1.5
-    daylight: float = 1.0
-    ambient_c: float = 26.0
-    ambient_swing_c: float = 5.0
-    module_rise_c: float = 20.0
-    ticks_per_day: int = 100
-
-    @property
-    def hours_per_tick(self) -> float:
-        return 24.0 / self.ticks_per_day
+DEFAULT_RATE = 0.085
+FULL_SUN_WM2 = 1000.0
 
 
-DEFAULT_RATE = 0.085
+def hourly_profile(events: DataFrame) -> DataFrame:
+    """``plant_id, hour, irradiance_wm2, module_temp_c``: means over all days, and per hour alone (plant NULL)."""
+    return (events.withColumn("hour", F.hour("event_time")).rollup("hour", "plant_id")
+            .agg(F.avg("irradiance_wm2").alias("irradiance_wm2"), F.avg("module_temp_c").alias("module_temp_c"),
+                 F.grouping("plant_id").alias("fleet"), F.grouping("hour").alias("all")).where("all = 0 and hour is not null").drop("all"))
 
 
-def forecast_feed(plants: DataFrame, inverters: DataFrame, dates: Column,
-                  day: SolarDay = SolarDay(), source_version: str = "v1") -> DataFrame:
-    """One feed row per plant and date in ``dates`` (an array column).
+def forecast_feed(events: DataFrame, plants: DataFrame, inverters: DataFrame, dates: Column, source_version: str = "v1") -> DataFrame:
+    """One feed row per plant with inverters and date in ``dates`` (an array column).
 
-    Without noise every inverter is its rating times the same curve, so ratings are summed per
-    plant first and only then spread over the day's ticks: plants times ticks, not inverters
-    times ticks, and no join. Dates multiply the finished rows.
+    Readings are reduced to a row per plant and hour before anything else; dates multiply the finished rows.
     """
+    profile = hourly_profile(events)
+    # At most 24 hours.
+    fleet = profile.where("fleet = 1").agg(F.collect_list(F.struct(
+        "hour", F.col("irradiance_wm2").alias("sun"), F.col("module_temp_c").alias("heat")))).scalar()
+    own = profile.where("fleet = 0").select(F.col("plant_id").alias("of"), F.col("hour").alias("at"), "irradiance_wm2", "module_temp_c")
     rated = inverters.groupBy("plant_id").agg(F.sum("rated_power_kw").alias("rated_kw"))
     sites = plants.join(rated, "plant_id")
     if "ppa_rate_per_kwh" not in sites.columns:
         sites = sites.withColumn("ppa_rate_per_kwh", F.lit(None).cast("double"))
-    ticks = sites.select(
-        "plant_id", "capacity_kw", "rated_kw", "ppa_rate_per_kwh",
-        F.explode(F.sequence(F.lit(0), F.lit(day.ticks_per_day - 1))).alias("tick"))
-    ticks = ticks.withColumn("shape", model.solar_shape(
-        F.col("tick") / float(day.ticks_per_day), day.exponent, day.daylight))
-    module_c = day.ambient_c + (day.ambient_swing_c + day.module_rise_c) * F.col("shape")
-    ticks = ticks.withColumns({
-        "power_kw": F.col("rated_kw") * F.least(F.col("shape") * model.heat_factor(module_c), F.lit(1.0)),
-        "sun_kw_m2": day.clear_sky_wm2 * F.col("shape") / 1000.0,
-    })
-    whole = ticks.groupBy("plant_id", "capacity_kw", "ppa_rate_per_kwh").agg(
-        F.sum(F.col("power_kw") * day.hours_per_tick).alias("generation"),
-        F.max("power_kw").alias("peak"),
-        F.sum(F.col("sun_kw_m2") * day.hours_per_tick).alias("sun"))
+    hours = sites.select("plant_id", "capacity_kw", "rated_kw", "ppa_rate_per_kwh", F.inline(fleet))
+    met = hours.join(own, (F.col("plant_id") == F.col("of")) & (F.col("hour") == F.col("at")), "left").withColumns({
+        "sun": F.coalesce("irradiance_wm2", "sun"), "heat": F.coalesce("module_temp_c", "heat", F.lit(0.0))})
+    power = F.col("rated_kw") * F.least(F.col("sun") / FULL_SUN_WM2, F.lit(1.0)) * model.heat_factor(F.col("heat"))
+    whole = met.groupBy("plant_id", "capacity_kw", "ppa_rate_per_kwh").agg(
+        F.sum(power).alias("generation"), F.max(power).alias("peak"), (F.sum("sun") / 1000.0).alias("sun"))
     return whole.select(
         F.explode(dates).alias("simulation_date"), "plant_id",
         F.round("capacity_kw", 3).alias("plant_capacity_kw"),

@@ -313,7 +313,7 @@ def alert_constraints(spark, d):
 
 
 def forecast_feed(spark, d):
-    return forecast.forecast_feed(bed.plants(spark, d), _inverter_ref(spark, d), bed.days(spark, d))
+    return forecast.forecast_feed(bed.telemetry(spark, d), bed.plants(spark, d), _inverter_ref(spark, d), bed.days(spark, d))
 
 
 def scenario_range_join(spark, d):

@@ -481,18 +481,16 @@ _QUERIES: dict[str, str] = {
         SELECT DISTINCT 'alerts' AS "table", 'FOREIGN_KEY' AS "check", plant_id AS key FROM alert_rows
         WHERE plant_id NOT IN (SELECT plant_id FROM sites WHERE active)""",
     "forecast_feed": """
-        WITH curve AS (
-            SELECT t / CAST(100 AS DOUBLE) AS p,
-                   CASE WHEN t = 0 THEN CAST(0 AS DOUBLE) ELSE pow(greatest(sin(pi() * t / 100), 0), 1.5) END AS shape
-            FROM (SELECT unnest(range(100)) AS t)),
-        unit AS (
-            SELECT shape, least(shape * greatest(1 - greatest(26 + 25 * shape - 25, 0) * CAST(0.004 AS DOUBLE), CAST(0.8 AS DOUBLE)), 1) AS f FROM curve),
-        day_total AS (SELECT sum(f) * CAST(0.24 AS DOUBLE) AS hours, max(f) AS peak, sum(shape) * CAST(0.24 AS DOUBLE) AS sun FROM unit)
-        SELECT CAST(d AS VARCHAR) AS simulation_date, p.plant_id, round(capacity_kw, 3) AS plant_capacity_kw,
-               round(capacity_kw * hours, 3) AS expected_generation_kwh, round(capacity_kw * peak, 3) AS expected_peak_power_kw,
-               round(sun, 4) AS forecast_irradiance_kwh_m2, round(coalesce(ppa_rate_per_kwh, CAST(0.085 AS DOUBLE)), 4) AS ppa_rate_per_kwh,
-               false AS maintenance_flag, 'v1' AS source_version
-        FROM sites p, day_list, day_total""",
+        WITH own AS (SELECT plant_id, hour(event_time) AS h, avg(irradiance_wm2) AS sun, avg(k / CAST(2 AS DOUBLE) + 20) AS heat FROM telem GROUP BY 1, 2),
+             every AS (SELECT hour(event_time) AS h, avg(irradiance_wm2) AS sun, avg(k / CAST(2 AS DOUBLE) + 20) AS heat FROM telem GROUP BY 1),
+             rated AS (SELECT plant_id, sum(rated_power_kw) AS kw FROM in_service GROUP BY 1),
+             usual AS (SELECT r.plant_id, r.kw, coalesce(o.sun, e.sun) AS sun, coalesce(o.heat, e.heat, 0) AS heat
+                       FROM rated r CROSS JOIN every e LEFT JOIN own o ON o.plant_id = r.plant_id AND o.h = e.h),
+             power AS (SELECT plant_id, sun, kw * least(sun / 1000, 1) * greatest(1 - greatest(heat - 25, 0) * CAST(0.004 AS DOUBLE), CAST(0.8 AS DOUBLE)) AS p FROM usual)
+        SELECT CAST(d AS VARCHAR) AS simulation_date, s.plant_id, round(capacity_kw, 3) AS plant_capacity_kw,
+               round(generation, 3) AS expected_generation_kwh, round(peak, 3) AS expected_peak_power_kw, round(sun, 4) AS forecast_irradiance_kwh_m2,
+               round(coalesce(ppa_rate_per_kwh, CAST(0.085 AS DOUBLE)), 4) AS ppa_rate_per_kwh, false AS maintenance_flag, 'v1' AS source_version
+        FROM sites s JOIN (SELECT plant_id, sum(p) AS generation, max(p) AS peak, sum(sun) / 1000 AS sun FROM power GROUP BY 1) u ON u.plant_id = s.plant_id, day_list""",
     "scenario_range_join": """
         SELECT event_id, plant_id, inverter_id, event_time, scenario, round(power_factor, 6) AS power_factor
         FROM (SELECT *, (epoch_us(event_time) % 86400000000) / 1e6 AS sec FROM telem) e
@@ -637,7 +635,7 @@ def _over(view: str, **renamed: str) -> str:
 _VIEWS["spans_in"] = _over("span_events_6", telem="trusted")
 _VIEWS["spans_out"] = _over("span_rows", span_events_6="spans_in")
 _QUERIES["stream_valid"] = f"""
-        SELECT event_id, plant_id, inverter_id, {_r('irradiance_wm2')}, status, {_r('availability')}, event_time
+        SELECT event_id, plant_id, inverter_id, {_r('active_power_kw', 'energy_today_kwh', 'irradiance_wm2')}, status, {_r('availability')}, event_time
         FROM trusted"""
 # A window is written once event time has passed its end by the watermark.
 _QUERIES["stream_windowed_metrics"] = f"""

@@ -34,15 +34,16 @@ def _first_and_last(spark: SparkSession, sf_dir: str) -> tuple[date, date]:
     return tuple(bed.telemetry(spark, sf_dir).agg(F.min(day), F.max(day)).first())
 
 
-def _landed(spark: SparkSession, sf_dir: str, work: str) -> DataFrame:
-    bed.raw_records(spark, sf_dir).write.parquet(f"{work}/records")
+def _landed(spark: SparkSession, sf_dir: str, work: str, equal_copies: bool = False) -> DataFrame:
+    bed.raw_records(spark, sf_dir, equal_copies=equal_copies).write.parquet(f"{work}/records")
     return file_records(spark, f"{work}/records")
 
 
 def stream_valid(spark, d):
     work = new_folder(spark, "valid")
-    events = telemetry.trusted(telemetry.parse(_landed(spark, d, work)), S.watermark)
-    rows = events.select("event_id", "plant_id", "inverter_id", "irradiance_wm2", "status",
+    # A stream keeps whichever copy it sees first, so copies are equal here and every column can be compared.
+    events = telemetry.trusted(telemetry.parse(_landed(spark, d, work, equal_copies=True)), S.watermark)
+    rows = events.select("event_id", "plant_id", "inverter_id", "active_power_kw", "energy_today_kwh", "irradiance_wm2", "status",
                          "availability", "event_time")
     sinks.write_table(rows, f"{work}/out", f"{work}/ckpt", NOW).awaitTermination()
     return spark.read.parquet(f"{work}/out")

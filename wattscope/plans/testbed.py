@@ -83,10 +83,10 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
                 "k"))
 
 
-def raw_records(spark: SparkSession, sf_dir: str, strict: bool = False) -> DataFrame:
+def raw_records(spark: SparkSession, sf_dir: str, strict: bool = False, equal_copies: bool = False) -> DataFrame:
     """The telemetry as JSON records of a Kafka topic, some damaged, some delivered twice.
 
-    With ``strict`` the ids and instants have the form the producer's contract asks for.
+    Copies differ in their power unless they are to be equal. With ``strict`` the ids and instants have the form the producer's contract asks for.
     """
     k = F.col("k")
     event_id = F.col("event_id")
@@ -103,7 +103,7 @@ def raw_records(spark: SparkSession, sf_dir: str, strict: bool = False) -> DataF
         F.when(k != 82, F.col("plant_id")).alias("plant_id"),
         F.when(k != 83, F.col("inverter_id")).alias("inverter_id"),
         # The repeated copy reads one kW more: only the first arrival may count.
-        F.when(k == 86, -1.0).when(~missing, F.col("active_power_kw") + F.col("copy"))
+        F.when(k == 86, -1.0).when(~missing, F.col("active_power_kw") + (F.lit(0) if equal_copies else F.col("copy")))
          .alias("active_power_kw"),
         F.when(k == 87, -1.0).when(~missing, F.col("energy_today_kwh")).alias("energy_today_kwh"),
         F.when(k == 88, -1.0).when(k == 89, 1600.0).when(~missing, F.col("irradiance_wm2"))
