@@ -784,6 +784,12 @@ _QUERIES["stream_silence"] = f"""
         FROM (SELECT *, max(follows) OVER (PARTITION BY plant_id, inverter_id, island) AS after FROM silence_runs)
         WHERE back = 1 AND alert_type IS NOT NULL AND follows IS NOT NULL AND final_at - first_at >= 3600000"""
 
+_QUERIES["stream_state"] = """
+        SELECT plant_id, inverter_id, alert_type, severity, make_timestamp(CAST(first_at * 1000 AS BIGINT)) AS first_observed_at,
+               make_timestamp(CAST(final_at * 1000 AS BIGINT)) AS last_observed_at, CAST(run_n AS BIGINT) AS observation_count,
+               round(run_loss, 6) AS sum_loss_kw, final_at - first_at >= 3600000 AS opened, CAST(0 AS BIGINT) AS keys_twice
+        FROM silence_runs WHERE back = 1 AND alert_type IS NOT NULL AND follows IS NULL"""
+
 # The feed lacks a region's plants on the 13th, so that day is refused, as is any day with an
 # implausible plant; plants out of service are in no active portfolio.
 _VIEWS["job_rows"] = _over("recon_base", actuals="kept_actuals")

@@ -201,6 +201,18 @@ def stream_silence(spark, d):
     return spark.read.parquet(f"{work}/out")
 
 
+def stream_state(spark, d):
+    """Every inverter's fault as the silence stream's own state has it, keys checked."""
+    work = new_folder(spark, "state")
+    events = telemetry.trusted(telemetry.parse(_landed(spark, d, work)), S.watermark)
+    changes = silence.alert_changes(events, registry.inverter_reference(bed.inverters(spark, d)), 6 * 3600, GAP_SECONDS, S,
+                                    silent_since=datetime(2024, 1, 1))
+    sinks.write_table(changes, f"{work}/out", f"{work}/ckpt", NOW).awaitTermination()
+    state = silence.tracked_state(spark, f"{work}/ckpt")
+    twice = quality.duplicate_keys(state, "state", ["plant_id", "inverter_id"]).agg(F.count(F.lit(1))).scalar()
+    return state.where("alert_type is not null").drop("heard_at").withColumn("keys_twice", twice)
+
+
 def _daily_run(spark, d, alerts=None) -> DataFrame:
     return _daily_tables(spark, d, alerts)[0]
 
@@ -274,4 +286,4 @@ STREAMS = (stream_valid, stream_windowed_metrics, stream_sliding_metrics, stream
            stream_archive_roundtrip, archive_compacted,
            stream_alert_lifecycle, stream_live_metrics, stream_live_portfolio, stream_live_health, stream_live_crash, stream_silence,
            daily_job, daily_job_summary, daily_job_rerun, daily_job_issues, feed_files,
-           stream_conditions, stream_speed_layer)
+           stream_conditions, stream_state, stream_speed_layer)

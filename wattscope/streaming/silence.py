@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -166,6 +166,22 @@ class _Lifecycle(StatefulProcessor):
         return frame
 
 
+def tracked_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The keyed state of a stopped or running ``alert_changes`` as a table: what each inverter's fault is now.
+
+    Read from the stream's own checkpoint, as its last finished batch left it: ``plant_id, inverter_id,
+    heard_at`` (the latest reading), and the fault if there is one, with ``opened`` telling whether it is an alert.
+    """
+    stored = spark.read.format("statestore").option("stateVarName", "fault").load(checkpoint)
+    at = lambda c: F.timestamp_millis(F.col(f"value.{c}"))
+    fault = F.col("value.alert_type").isNotNull()
+    kept = lambda c: F.when(fault, c)
+    return stored.select(*(F.col(f"key.{c}").alias(c) for c in ASSET), at("heard_ms").alias("heard_at"), F.col("value.alert_type").alias("alert_type"),
+                         kept(F.col("value.severity")).alias("severity"), kept(at("first_ms")).alias("first_observed_at"),
+                         kept(at("last_ms")).alias("last_observed_at"), kept(F.col("value.observation_count")).alias("observation_count"),
+                         kept(F.col("value.sum_loss_kw")).alias("sum_loss_kw"), kept(F.col("value.opened")).alias("opened"))
+
+
 def alert_changes(events: DataFrame, inverters: DataFrame, width_seconds: int, gap_after_seconds: int,
                   s: FleetSettings = FleetSettings(), silent_since=None,
                   reading_every_seconds: float | None = None) -> DataFrame:
