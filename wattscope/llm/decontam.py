@@ -108,7 +108,9 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = 13, gram: int = 5,
 
     # As one column, so that no name of a document's column meets one of these.
     whole = docs.select(F.struct(*(docs[c] for c in docs.columns if c.lower() != name.lower())).alias("doc"), *keys_of)
-    return whole.join(hits, ["_k1", "_k2"], "left").select("doc.*", let(words(F.col("doc.text")), judge).alias(name))
+    # The result joins the others there: beside "doc.*" a name could be taken for one of the document's.
+    return (whole.join(hits, ["_k1", "_k2"], "left").select(F.col("doc").withField(name, let(words(F.col("doc.text")), judge)).alias("doc"))
+            .select("doc.*"))
 
 
 def _grams_of_words(text_words: Column, n: int) -> Column:

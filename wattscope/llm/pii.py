@@ -187,7 +187,8 @@ def find(docs: DataFrame, name: str = "pii", **how) -> DataFrame:
 
     # As one column, so that no name of a document's column meets one of these.
     whole = docs.select(F.struct(*(docs[c] for c in docs.columns if c.lower() != name.lower())).alias("doc"), *keys)
-    return whole.join(own, ["_k1", "_k2"], "left").select("doc.*", let(base_spans(text), all_spans).alias(name))
+    return (whole.join(own, ["_k1", "_k2"], "left").select(F.col("doc").withField(name, let(base_spans(text), all_spans)).alias("doc"))
+            .select("doc.*"))
 
 
 def sanitised(text: Column, spans: Column) -> Column:
