@@ -11,18 +11,22 @@ from wattscope.llm.common import materialize
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``node, component`` for each node of ``edges`` (columns a, b); a component is named by its smallest node.
 
-    Every round each node takes the smallest label among itself and its neighbours, and then the label of
-    its label, which halves paths. Labels are a written table each round, so neither the plan nor what a lost
-    executor costs grows with the rounds. Nothing is gathered by node: minima are taken before the shuffle.
+    Every round a node takes the smallest label among its own label's label and those its neighbours have for
+    theirs, and passes it on to the node that its label names (the scheme of FastSV). So whole trees are hooked at once and
+    paths are halved: a few rounds do, in whatever order names lie along a chain. Labels are a written table each round,
+    so neither the plan nor what a lost executor costs grows with the rounds. Nothing is gathered by node: minima
+    are taken before the shuffle.
     """
     both = materialize(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct(), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("component")), "labels")
     for _ in range(most_rounds):
-        near = (both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near")))
-        met = labels.join(near, labels["node"] == near["a"]).select("node", "component", F.least("component", "near").alias("near"))
         of = labels.select(F.col("node").alias("hub"), F.col("component").alias("far"))
-        step = materialize(met.join(of, met["near"] == of["hub"], "left")
-                           .select("node", F.least("near", F.coalesce("far", "near")).alias("component"), F.col("component").alias("before")), "labels")
+        far = materialize(labels.join(of, labels["component"] == of["hub"]).select("node", "component", "far"), "far-labels")
+        near = both.join(far.select(F.col("node").alias("b"), "far"), "b").groupBy("a").agg(F.min("far").alias("near"))
+        met = materialize(far.join(near, far["node"] == near["a"]).select("node", "component", F.least("far", "near").alias("near")), "near-labels")
+        passed = met.groupBy("component").agg(F.min("near").alias("passed")).withColumnRenamed("component", "to")
+        step = materialize(met.join(passed, met["node"] == passed["to"], "left")
+                           .select("node", F.least("component", "near", "passed").alias("component"), F.col("component").alias("before")), "labels")
         labels = step.select("node", "component")
         if step.where("component <> before").isEmpty():
             return labels

@@ -6,16 +6,21 @@
    threshold. Band hashes are shuffled; nodes that share one are candidates, linked through the smallest
    node of the band's group, so a group costs as many rows as it has members. Candidates that hang together
    form a candidate group.
-3. Inside a candidate group all pairs are verified on the full sets. A group's texts travel once; a group
-   that is large is cut into blocks, and every pair of blocks is a task of its own. Tasks give sums and
+3. Pairs are verified on the full sets, in pieces. A candidate group that fits a block is one piece, and its
+   texts travel once. A larger one is cut the cheaper way of two: into blocks of the whole group, every pair of
+   blocks a piece, which suits many copies of one text; or into the groups of its bands, where a pair is compared in the
+   first band it shares, which suits long chains of texts that are alike only by neighbours. Bands that
+   bring the same nodes together count once. So no text moves more often than its bands ask for. Pieces give sums and
    spanning links, never pairs: for each node its number of links, and enough links to connect what is linked.
 4. Verified links make the classes.
 
-A pair is found if any band brings it, or a chain of other candidates, into one group: no cap on partners.
+A pair is found if any band brings it into one group: no cap on partners. In a group cut by blocks, or not at
+all, pairs that share no band are found too.
 
 Words are runs of letters and digits in lower case. A text of one to four words has one shingle, all its
-words. Defined cases: a text that is null or has no word is alone; a row without doc_id is alone too, with
-no class; a repeated row is linked to its copies; an empty table gives no rows; other columns are ignored.
+words. Defined cases: a text that is null or has no word is alone; a row without doc_id is linked like any
+other, and its class is null where no member has an id; a repeated row is linked to its copies; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattscope.llm import hashing
@@ -83,13 +88,13 @@ class MinHash:
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, text_hash, node, size, bands``; node is null for a text without words or a row without doc_id."""
+    """``doc_id, text_hash, node, size, bands``; node is null for a text without words."""
     def sign(batches):
         hasher = MinHash(bands, rows)
         for batch in batches:
             ids, out = batch.column("doc_id"), []
-            for key, text in zip(ids.to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found = shingles(text, n) if key is not None else np.empty(0)
+            for text in batch.column("text").to_pylist():
+                found = shingles(text, n)
                 out.append((node_name(found), len(found), hasher.bands_of(found)) if len(found) else (None, 0, None))
             yield pa.RecordBatch.from_arrays([ids, batch.column("text_hash"), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64()),
                                               pa.array([x[2] for x in out], pa.list_(pa.int64()))], ["doc_id", "text_hash", "node", "size", "bands"])
@@ -127,6 +132,14 @@ def similar(sets: list[np.ndarray], threshold: float, split: int | None = None,
     return i[keep], j[keep]
 
 
+def not_met_before(bands: np.ndarray, place: int) -> np.ndarray:
+    """For each pair of nodes (rows of ``bands``) whether it shares none of the bands before ``place``."""
+    out = np.ones((len(bands), len(bands)), bool)
+    for column in bands.T[:place]:
+        out &= column[:, None] != column[None, :]
+    return out
+
+
 def _verified(rows: list[dict], n: int, threshold: float) -> Iterator[tuple]:
     """(node, links, other): counts for each node of a piece, and links that span what is linked."""
     left = {r["node"]: r for r in rows if r["side"] == 0}
@@ -135,8 +148,19 @@ def _verified(rows: list[dict], n: int, threshold: float) -> Iterator[tuple]:
     whole = rows[0]["x"] == rows[0]["y"]
     if len(chosen) < 2 or not whole and not (left and right):
         return
+    split, fresh = len(left), None
+    if rows[0]["place"] > 0:  # of a band: nodes whose pairs have all met in an earlier one need no comparison
+        fresh = np.triu(not_met_before(np.array([r["bands"] for r in chosen]), rows[0]["place"]), 1)
+        if not whole:
+            fresh[split:], fresh[:, :split] = False, False
+        use = np.flatnonzero(fresh.any(axis=0) | fresh.any(axis=1))
+        if not len(use):
+            return
+        chosen, fresh, split = [chosen[k] for k in use], fresh[np.ix_(use, use)], int((use < split).sum())
     sets = [shingles(r["text"], n) for r in chosen]
-    i, j = similar(sets, threshold, None if whole else len(left))
+    i, j = similar(sets, threshold, None if whole else split)
+    if fresh is not None:
+        i, j = i[fresh[i, j]], j[fresh[i, j]]
     times = np.array([r["times"] for r in chosen])
     links = np.bincount(i, weights=times[j], minlength=len(chosen)) + np.bincount(j, weights=times[i], minlength=len(chosen))
     root = list(range(len(chosen)))
@@ -165,32 +189,63 @@ def near_copies(docs: DataFrame, **how) -> DataFrame:
     return classify(docs, **how).select("doc_id", "class_id", "n_links")
 
 
+def _blocks(nodes: str, total: str) -> Column:
+    return F.greatest(F.ceil(F.col(nodes) / BLOCK_NODES), F.ceil(F.col(total) / BLOCK_SHINGLES)).cast("int")
+
+
+def _pieces(nodes: DataFrame, shared: DataFrame, met: DataFrame, groups: DataFrame) -> DataFrame:
+    """``node, unit, place, blocks``: the units each candidate is verified in, cut into so many blocks. A unit is a
+    candidate group (``place`` -1) or, where fewer texts move that way, the group of a band (its place)."""
+    large = materialize(groups.join(nodes.select("node", "size"), "node").groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
+                        .withColumn("blocks", _blocks("n", "total")).where("blocks > 1"), "large-groups")
+    # Bands with the same nodes are one: of these the first counts.
+    kept = (met.groupBy("n", "total", "f1", "f2").agg(F.min(F.struct("place", "band", "a")).alias("first"))
+            .select("first.*", "n", _blocks("n", "total").alias("blocks")))
+    by_band = (kept.join(groups.withColumnRenamed("node", "a"), "a").groupBy("component").agg(F.sum(F.col("n") * F.col("blocks")).alias("moved")))
+    # Both have a row for each large group only; few enough to be sent along by Spark, else a join like any other.
+    routed = materialize(large.join(by_band, "component").select("component", "blocks", (F.col("moved") < F.col("n") * F.col("blocks")).alias("by_band")), "routes")
+    routes = groups.join(routed, "component", "left")
+    units = routes.where(~F.coalesce("by_band", F.lit(False))).select(
+        "node", F.col("component").alias("unit"), F.lit(-1).alias("place"), F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    if routed.where("by_band").isEmpty():
+        return units
+    of_bands = (routes.where("by_band").select("node").join(shared.select("node", "band"), "node")
+                .join(kept.select("band", "place", "blocks"), "band"))
+    return units.unionByName(of_bands.select("node", F.unhex(F.hex("band")).alias("unit"), "place", "blocks"))
+
+
 def classify(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
-    """For each row ``doc_id``, a hash of its text, ``class_id``, ``n_links``, and whether it is the row that
-    ``stays`` of its class: the smallest doc_id, of rows with the same one the smallest hash."""
+    """For each row ``doc_id``, a hash of its text, its ``node`` (null: no words), ``class_id``, ``n_links``, and whether it is
+    the row that ``stays`` of its class: the smallest doc_id (none counts last), of rows with the same one the smallest hash."""
     bands, rows = banding(threshold, recall)
     signed = materialize(signatures(docs, n, bands, rows), "signatures")
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     nodes = materialize(signed.where("node is not null").groupBy("node")
-                        .agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.count(F.lit(1)).alias("times"), F.max("size").alias("size"),
-                             F.min("bands").alias("bands")), "nodes")
-    banded = nodes.select("node", F.explode("bands").alias("band"))
-    met = banded.groupBy("band").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "a")
+                        .agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("times"), F.max("size").alias("size"), F.min("bands").alias("bands")), "nodes")
+    banded = nodes.select("node", "size", F.posexplode("bands").alias("place", "band"))
+    # Two independent hashes, added without carry, tell which bands bring the same nodes together.
+    met = materialize(banded.groupBy("band").agg(
+        F.min("node").alias("a"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.min("place").alias("place"),
+        F.bit_xor(F.xxhash64("node")).alias("f1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("f2")).where("n > 1"), "bands")
+    shared = materialize(banded.select("node", "band").join(met.select("band", "a"), "band"), "meetings")
     # A node is linked to the smallest node it meets, and that one to the smallest of each of the node's bands:
     # the same groups with about one link a node, where many near copies share many bands. At most ``bands`` a node.
-    own = banded.join(met, "band").groupBy("node").agg(F.min("a").alias("a"), F.collect_set("a").alias("others"))
+    own = shared.groupBy("node").agg(F.min("a").alias("a"), F.collect_set("a").alias("others"))
     links = own.select("a", F.col("node").alias("b")).union(own.select("a", F.explode("others").alias("b"))).where("a <> b").distinct()
     groups = connected_components(links)
 
-    sized = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")).join(
-        groups.join(nodes.select("node", "size"), "node").groupBy("component").agg(F.sum("size").alias("total")), "component")
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
-    members = (groups.join(sized.select("component", blocks.alias("blocks")), "component")
-               .join(nodes.select("node", F.col("least.doc_id").alias("rep_id"), "times"), "node")
-               .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
-    texts = (docs.select(F.col("doc_id").cast("long").alias("rep_id"), "text").join(members, "rep_id")
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
-                     F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"), "node", "times", "text"))
+    chosen = groups.join(nodes, "node")
+    of_row = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    least = chosen.select("node", F.col("least.doc_id").alias("rep_id"), F.col("least.text_hash").alias("rep_hash"))
+    # Equal rows are one before anything moves: with no id, or a repeated one, a text may come any number of times.
+    texts = (of_row.join(least, of_row["doc_id"].eqNullSafe(least["rep_id"]) & (of_row["text_hash"] == least["rep_hash"]))
+             .groupBy("node").agg(F.min("text").alias("text")))
+    pieces = (_pieces(nodes, shared, met, groups).join(nodes.select("node", "times", "bands"), "node")
+              .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+              .join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+              .select("unit", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
+                      F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"), "node", "times", "place",
+                      F.when(F.col("place") > 0, F.col("bands")).alias("bands"), "text"))
 
     def verify(batches):
         held: list[dict] = []
@@ -204,21 +259,19 @@ def classify(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float
 
         for batch in batches:
             for row in batch.to_pylist():
-                key = row["component"], row["x"], row["y"]
-                if held and key != (held[0]["component"], held[0]["x"], held[0]["y"]):
+                key = row["unit"], row["x"], row["y"]
+                if held and key != (held[0]["unit"], held[0]["x"], held[0]["y"]):
                     out.extend(_verified(held, n, threshold))
                     held = []
-                # A doc_id may come with several texts: those of other nodes go.
-                if node_name(shingles(row["text"], n)) == row["node"]:
-                    held.append(row)
+                held.append(row)
                 if len(out) > 10_000:
                     yield batch_of()
         out.extend(_verified(held, n, threshold) if held else ())
         if out:
             yield batch_of()
 
-    keys = ["component", "x", "y"]
-    found = materialize(texts.repartition(*keys).sortWithinPartitions(*keys, "side", "node")
+    keys = ["unit", "x", "y"]
+    found = materialize(pieces.repartition(*keys).sortWithinPartitions(*keys, "side", "node")
                         .mapInArrow(verify, "node binary, links long, other binary"), "links")
     classes = connected_components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
@@ -226,17 +279,20 @@ def classify(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float
     named = named.withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("least").alias("first"))
     named = named.join(smallest, "component").select("node", "first", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"))
-    stays = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
-    alone = signed.where("node is null").select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("stays"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    alone = signed.where("node is null").select("doc_id", "text_hash", "node", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"),
+                                                F.lit(True).alias("stays"))
     return signed.where("node is not null").join(named, "node").select(
-        "doc_id", "text_hash", F.col("first.doc_id").alias("class_id"), "n_links", stays.alias("stays")).unionByName(alone)
+        "doc_id", "text_hash", "node", F.col("first.doc_id").alias("class_id"), "n_links", stays.alias("stays")).unionByName(alone)
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with one row of each class; rows with the same doc_id and text are one; rows without doc_id all stay."""
-    gone = classify(docs, **how).where(~F.col("stays")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_gone")).distinct()
+    """``docs`` with one row of each class; rows with the same doc_id and text are one; of rows without doc_id, those without
+    words all stay, since nothing tells whether they are copies."""
+    told = (classify(docs, **how).where("node is not null and (not stays or doc_id is null)")
+            .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_told"), F.col("stays").alias("_stays")).distinct())
     # As one column, so that no name of a document's column meets one of these.
     hashed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("_own"), F.xxhash64("text").alias("_hash"))
-    kept = hashed.join(gone, (hashed["_own"] == gone["_id"]) & (hashed["_hash"] == gone["_gone"]), "left_anti")
-    once = kept.where("_own is not null").dropDuplicates(["_own", "_hash"])
-    return once.unionByName(kept.where("_own is null")).select("doc.*")
+    kept = hashed.join(told, hashed["_own"].eqNullSafe(told["_id"]) & (hashed["_hash"] == told["_told"]), "left").where("coalesce(_stays, true)")
+    known = F.col("_own").isNotNull() | F.col("_stays").isNotNull()
+    return kept.where(known).dropDuplicates(["_own", "_hash"]).select("doc.*").unionByName(kept.where(~known).select("doc.*"))

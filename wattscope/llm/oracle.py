@@ -52,7 +52,7 @@ FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)"""
 SQL["op7_jaccard"] = r"""
 WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), []) AS w FROM documents),
      sh AS (SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS g
-            FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0 AND doc_id IS NOT NULL)),
+            FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
      size AS (SELECT r, count(*) AS n FROM sh GROUP BY 1),
      met AS (SELECT a.r AS a, b.r AS b, count(*) AS n FROM sh a JOIN sh b ON a.g = b.g AND a.r <> b.r GROUP BY 1, 2),
      link AS (SELECT a, b FROM met JOIN size x ON x.r = a JOIN size y ON y.r = b
