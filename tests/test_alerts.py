@@ -32,6 +32,12 @@ def test_one_condition_per_inverter_in_priority_order(events, fleet):
     assert "No telemetry" in got["INV_05"].message and got["INV_05"].observed_at == DAWN
 
 
+def test_shares_are_rounded_as_sql_does(events, fleet):
+    """2.01 of 60 kW is 3.3499999999999996 %; scaled by ten that is 33.5."""
+    got = found(events(dict(inv="INV_01", power=2.01, sun=600.0)), fleet(("PLANT_01", "INV_01", 100.0)))
+    assert got["INV_01"].message.endswith("generating 3.4% of expected under current irradiance")
+
+
 def test_threshold_is_exclusive_and_night_is_not_judged(events, fleet):
     registry = fleet(("PLANT_01", "INV_01", 1000.0), ("PLANT_01", "INV_02", 1000.0))
     assert not found(events(dict(inv="INV_01", power=400.0), dict(inv="INV_02", power=0.0, sun=149.0)), registry)

@@ -25,6 +25,13 @@ def ratio_pct(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole * PCT)
 
 
+def rounded(value: Column, places: int) -> Column:
+    """To ``places`` decimals by scaling, as SQL engines do it: a quotient an ulp below a half goes up where scaling
+    reaches the half. ``F.round`` goes by the shortest decimal text instead, and there it stays below."""
+    scale = float(10 ** places)
+    return F.round(value * scale) / scale
+
+
 def shortfall(expected: Column, actual: Column) -> Column:
     """Missing output, never negative; NULL when nothing can be expected."""
     return F.when(expected.isNotNull(), F.greatest(expected - actual, F.lit(0.0)))

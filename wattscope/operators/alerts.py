@@ -31,7 +31,7 @@ def diagnose(fleet: DataFrame, s: FleetSettings = FleetSettings()) -> DataFrame:
             .when((F.col("status") == "OFFLINE") | (F.col("availability") == 0), F.lit(OFFLINE))
             .when((sun >= s.min_irradiance_wm2) & (performance < s.underperformance_pct), F.lit(WEAK)))
     subject = F.concat(F.lit("Inverter "), F.col("inverter_id"), F.lit(" at plant "), F.col("plant_id"))
-    weak_text = F.concat(subject, F.lit(" generating "), F.round(performance, 1).cast("string"),
+    weak_text = F.concat(subject, F.lit(" generating "), model.rounded(performance, 1).cast("string"),
                          F.lit("% of expected under current irradiance"))
     return (fleet.withColumn("alert_type", kind)
             .withColumns({
