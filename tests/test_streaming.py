@@ -150,6 +150,23 @@ def test_whole_speed_layer(spark, work, land, sites, fleet):
     assert book.latest["quarantine"]["quarantined"] == 2 and not book.failed
 
 
+def test_batches_bring_what_is_read_and_are_tables(spark, work, land, sites, fleet):
+    """The text of a record is not moved, and the stream's plan runs once for all that a batch does."""
+    land(dict(inv="INV_01"), dict(inv="INV_01", power=10.0, sec=60))
+    brought = []
+
+    class Noting(LiveTables):
+        def _write_metrics(self, events, batch_id):
+            brought.append(events.columns)
+            assert all(f.startswith("file:") for f in events.inputFiles()) and events.inputFiles()
+            super()._write_metrics(events, batch_id)
+
+    live = Noting(f"{work}/live", sites(("PLANT_01", 1000.0, 1)), fleet(("PLANT_01", "INV_01", 100.0)), S)
+    start_live(records(spark, work), live, f"{work}/ckpt", NOW).awaitTermination()
+    assert brought == [list(microbatch.BATCH_COLUMNS)]
+    assert microbatch.live_table(spark, live.root, "portfolio_metrics").first().current_power_kw == 10
+
+
 def hourly(h, inv="INV_01", power=500.0):
     return dict(inv=inv, power=power, at=DAWN + timedelta(hours=h))
 

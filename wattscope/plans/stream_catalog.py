@@ -8,6 +8,7 @@ from datetime import date, datetime, timedelta
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wattscope import schema
 from wattscope.operators import energy, incidents, lifecycle, metrics, monitor, quality, reconcile, registry, telemetry
@@ -121,14 +122,18 @@ class _CutShort(LiveTables):
 def _weekly_live(spark, d, cut_short: bool = False) -> LiveTables:
     """A week of records per microbatch, the query stopped and started again in between; the last may be cut short."""
     work = new_folder(spark, "live")
-    records = bed.raw_records(spark, d)
     week = F.floor(F.unix_timestamp("timestamp") / WEEK)
-    low, high = records.agg(F.min(week), F.max(week)).first()
+    # Records are made in one pass; a week that arrives is then a copy of its folder, in a file per core, as a stream reads
+    # a file of one row group in one task. A key's records lie together as they arrived: of copies the stream keeps the first it meets.
+    bed.raw_records(spark, d).withColumn("week", week).write.partitionBy("week").parquet(f"{work}/weeks")
+    made = spark.read.schema(T.StructType([*schema.RAW_RECORD.fields, T.StructField("week", T.LongType())])).parquet(f"{work}/weeks")
+    low, high = made.agg(F.min("week"), F.max("week")).first()
+    cores = spark.sparkContext.defaultParallelism
     inverters = bed.inverters(spark, d)
     live = LiveTables(f"{work}/live", registry.plant_reference(bed.plants(spark, d), inverters),
                       registry.inverter_reference(inverters), S)
     for n in range(low, high + 1):
-        records.where(week == n).write.mode("append").parquet(f"{work}/records")
+        made.where(F.col("week") == n).drop("week").repartition(cores, "key").sortWithinPartitions("timestamp", "offset").write.mode("append").parquet(f"{work}/records")
         if cut_short and n == high:
             live = _CutShort(live.root, live.plant_reference, live.inverter_reference, S)
         try:

@@ -11,14 +11,15 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from wattscope.operators import metrics, telemetry
 from wattscope.settings import FleetSettings
 from wattscope.sources.archive import write_archive
-from wattscope.streaming.microbatch import LiveTables
+from wattscope.streaming.microbatch import BATCH_COLUMNS, LiveTables
 from wattscope.streaming.sinks import write_quarantine, write_table
 
 
 def start_live(records: DataFrame, live: LiveTables, checkpoint: str,
                trigger: dict | None = None) -> StreamingQuery:
-    """Metrics, faults and health per microbatch."""
-    events = telemetry.trusted(telemetry.parse(records), live.settings.watermark)
+    """Metrics, faults and health per microbatch. Only what these read is moved to the event's id."""
+    sound = telemetry.normalize(telemetry.accepted(telemetry.judge(telemetry.parse(records))))
+    events = telemetry.deduplicate(sound.select("event_id", *BATCH_COLUMNS), live.settings.watermark)
     writer = (events.writeStream.queryName("live").outputMode("append")
               .option("checkpointLocation", checkpoint).foreachBatch(live))
     return (writer.trigger(**trigger) if trigger else writer).start()

@@ -4,7 +4,7 @@ Every write of batch N goes to a place that belongs to N alone, so a batch that
 after a failure overwrites its own output:
 
 * metric rows and resolved alerts: a partition ``batch_id=N``;
-* tracked faults, health and the commit record: one of two alternating slots. Batch N reads the slot
+* the batch's events, tracked faults, health and the commit record: one of two alternating slots. Batch N reads the slot
   of N-1 and writes the other one, so what it read is still there if it has to start over.
 
 The commit record is what a batch writes last. Every reader takes batches up to the newest one, so all
@@ -31,7 +31,9 @@ from wattscope.operators.upsert import read_table, replace_partitions
 from wattscope.settings import FleetSettings
 from wattscope.sources.folding import TARGET_BYTES, DayTable
 
-_TRACKED, _HEALTH, _COMMIT, _FAILURE = "tracked_faults", "pipeline_health", "commits", "failure"
+_EVENTS, _TRACKED, _HEALTH, _COMMIT, _FAILURE = "batch_events", "tracked_faults", "pipeline_health", "commits", "failure"
+# What metrics, faults and health read of an event.
+BATCH_COLUMNS = ("plant_id", "inverter_id", "active_power_kw", "irradiance_wm2", "status", "availability", "event_time", "kafka_offset")
 _COMMIT_SCHEMA = "committed_at timestamp"
 
 
@@ -88,21 +90,25 @@ class LiveTables:
         spark, s = batch.sparkSession, self.settings
         read = partial(_read_slot, spark, self.root)
         tracked = read(_TRACKED, batch_id - 1, lifecycle.TRACKED_SCHEMA)
-        events = batch.persist()
-        try:
-            if events.isEmpty():
-                # Alive but idle: faults stay as they are.
-                _write_slot(tracked, self.root, _TRACKED, batch_id)
-            else:
-                self._write_metrics(events, batch_id)
-                self._advance_faults(events, tracked, batch_id)
-            health = monitor.merge_health(
-                read(_HEALTH, batch_id - 1, monitor.HEALTH_SCHEMA),
-                monitor.batch_health(events, F.current_timestamp()))
-            _write_slot(health, self.root, _HEALTH, batch_id)
-            self._commit(spark, batch_id)
-        finally:
-            events.unpersist()
+        events = self._events(batch, batch_id)
+        if events.isEmpty():
+            # Alive but idle: faults stay as they are.
+            _write_slot(tracked, self.root, _TRACKED, batch_id)
+        else:
+            self._write_metrics(events, batch_id)
+            self._advance_faults(events, tracked, batch_id)
+        health = monitor.merge_health(
+            read(_HEALTH, batch_id - 1, monitor.HEALTH_SCHEMA),
+            monitor.batch_health(events, F.current_timestamp()))
+        _write_slot(health, self.root, _HEALTH, batch_id)
+        self._commit(spark, batch_id)
+
+    def _events(self, batch: DataFrame, batch_id: int) -> DataFrame:
+        """The batch as a table written once. Every job on the batch itself would run the stream's plan again,
+        deduplication against its state included; a cached batch is run again too, where a plan does not find it."""
+        rows = batch.select(*BATCH_COLUMNS)
+        _write_slot(rows, self.root, _EVENTS, batch_id)
+        return batch.sparkSession.read.schema(rows.schema).parquet(_slot(self.root, _EVENTS, batch_id))
 
     def _commit(self, spark: SparkSession, batch_id: int) -> None:
         _write_slot(spark.range(1).select(F.current_timestamp().alias("committed_at")), self.root, _COMMIT, batch_id)
