@@ -350,3 +350,12 @@ def test_kafka_source_and_sink_options(spark, events):
         sinks.write_quarantine(None, "ckpt")
     with pytest.raises(ValueError):
         sinks.write_quarantine(None, "ckpt", path="p", kafka={"topic": "t"})
+
+
+def test_lifecycle_takes_rows(spark, work, land, fleet):
+    """No data frame is made for an inverter."""
+    land(dict(inv="INV_01"))
+    events = telemetry.trusted(telemetry.parse(records(spark, work)), S.watermark)
+    changes = silence.alert_changes(events, fleet(("PLANT_01", "INV_01", 1000.0)), 60, 86400, S)
+    assert "TransformWithStateInPySpark" in changes._jdf.queryExecution().analyzed().toString()
+    assert not hasattr(silence, "pd")

@@ -15,8 +15,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from datetime import datetime, timezone
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -40,7 +41,12 @@ def windowed_latest(events: DataFrame, width: str) -> DataFrame:
             .select(*ASSET, "span", "r.*"))
 
 
+_CHANGE = Row(*(c.split()[0] for c in CHANGES.split(", ")))
+
+
 class _Lifecycle(StatefulProcessor):
+    """Takes and returns rows: with a data frame per inverter, making frames costs more than the lifecycle."""
+
     def __init__(self, gap_ms: int, sustain_ms: int, width_ms: int) -> None:
         self.gap_ms, self.sustain_ms, self.width_ms = gap_ms, sustain_ms, width_ms
 
@@ -48,16 +54,15 @@ class _Lifecycle(StatefulProcessor):
         self.handle = handle
         self.memory = handle.getValueState("fault", _STATE)
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
         """An inverter of the registry nobody has heard from yet."""
-        self._remember(self._fresh(int(initialState["since"].iloc[0].timestamp() * 1000)))
+        self._remember(self._fresh(initialState["since_ms"]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         state = self._recall()
-        out: list[tuple] = []
-        seen = pd.concat(list(rows), ignore_index=True).sort_values("event_time", kind="stable")
-        for row in seen.itertuples(index=False):
-            at = row.event_time.value // 1_000_000
+        out: list[Row] = []
+        for row in sorted(rows, key=lambda r: r["event_us"]):
+            at = row["event_us"] // 1000
             if state is None:
                 state = self._fresh(at)
             elif at < state["heard_ms"]:
@@ -65,22 +70,22 @@ class _Lifecycle(StatefulProcessor):
                 out.append(self._change(key, state, "SKIPPED", ended_ms=at))
                 continue
             out += self._catch_up(key, state, at - 1)
-            kind = row.alert_type if isinstance(row.alert_type, str) else None
-            loss = float(row.loss_kw) if kind else 0.0
-            out += self._observe(key, state, at, kind, row.severity, row.message, loss)
+            kind = row["alert_type"]
+            loss = float(row["loss_kw"]) if kind else 0.0
+            out += self._observe(key, state, at, kind, row["severity"], row["message"], loss)
             state["heard_ms"] = at
         if state is not None:
             self._remember(state)
-        yield self._frame(out)
+        yield from out
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         state = self._recall()
-        out: list[tuple] = []
+        out: list[Row] = []
         if state is not None and state["timer_ms"] == expiredTimerInfo.getExpiryTimeInMs():
             state["timer_ms"] = None
             out = self._catch_up(key, state, timerValues.getCurrentWatermarkInMs() - self.width_ms)
             self._remember(state)
-        yield self._frame(out)
+        yield from out
 
     # -- state ---------------------------------------------------------------
 
@@ -110,7 +115,7 @@ class _Lifecycle(StatefulProcessor):
 
     # -- lifecycle -------------------------------------------------------------
 
-    def _catch_up(self, key, state: dict, until: int) -> list[tuple]:
+    def _catch_up(self, key, state: dict, until: int) -> list[Row]:
         """Observe the silence at every due instant up to ``until``, all at once."""
         first = self._next_silence(state)
         if first > until:
@@ -129,7 +134,7 @@ class _Lifecycle(StatefulProcessor):
         state["last_ms"] = first + steps * self.gap_ms
         return changes
 
-    def _observe(self, key, state: dict, at: int, kind, severity, message, loss: float, refresh: bool = True) -> list[tuple]:
+    def _observe(self, key, state: dict, at: int, kind, severity, message, loss: float, refresh: bool = True) -> list[Row]:
         changes = []
         if state["alert_type"] is not None and state["alert_type"] != kind:
             if state["opened"]:
@@ -150,20 +155,13 @@ class _Lifecycle(StatefulProcessor):
         return changes
 
     @staticmethod
-    def _change(key, state: dict, change: str, ended_ms: int | None = None) -> tuple:
+    def _change(key, state: dict, change: str, ended_ms: int | None = None) -> Row:
         def instant(ms):
-            return None if ms is None else pd.Timestamp(ms, unit="ms")
-
-        return (key[0], key[1], change, state["alert_type"], state["severity"], state["message"],
-                instant(state["first_ms"]), instant(state["last_ms"]), state["observation_count"],
-                state["sum_loss_kw"], instant(ended_ms))
+            return None if ms is None else datetime.fromtimestamp(ms // 1000, timezone.utc).replace(microsecond=ms % 1000 * 1000)
 
-    @staticmethod
-    def _frame(rows: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame(rows, columns=[c.split()[0] for c in CHANGES.split(", ")])
-        for c in ("first_observed_at", "last_observed_at", "ended_at"):
-            frame[c] = pd.to_datetime(frame[c])
-        return frame
+        return _CHANGE(key[0], key[1], change, state["alert_type"], state["severity"], state["message"],
+                       instant(state["first_ms"]), instant(state["last_ms"]), state["observation_count"],
+                       state["sum_loss_kw"], instant(ended_ms))
 
 
 def tracked_state(spark: SparkSession, checkpoint: str) -> DataFrame:
@@ -200,10 +198,10 @@ def alert_changes(events: DataFrame, inverters: DataFrame, width_seconds: int, g
     registry = inverters.select(*ASSET, "rated_power_kw")
     observed = windowed_latest(events, f"{width_seconds} seconds").join(registry, list(ASSET))
     judged = diagnose(observed, s).select(
-        *ASSET, "event_time", "alert_type", "severity", "message", "loss_kw")
+        *ASSET, F.unix_micros("event_time").alias("event_us"), "event_time", "alert_type", "severity", "message", "loss_kw")
     initial = None
     if silent_since is not None:
-        initial = registry.select(*ASSET, F.lit(silent_since).cast("timestamp").alias("since")).groupBy(*ASSET)
-    return judged.groupBy(*ASSET).transformWithStateInPandas(
+        initial = registry.select(*ASSET, F.unix_millis(F.lit(silent_since).cast("timestamp")).alias("since_ms")).groupBy(*ASSET)
+    return judged.groupBy(*ASSET).transformWithState(
         _Lifecycle(gap_after_seconds * 1000, s.sustain_seconds * 1000, width_seconds * 1000), CHANGES,
         outputMode="Append", timeMode="EventTime", initialState=initial)
