@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from wattscope import schema
 from wattscope.operators import telemetry
 from wattscope.operators.quality import QualityError
-from wattscope.plans import daily
+from wattscope.plans import daily, stream_catalog
+from wattscope.plans import testbed as bed
+from wattscope.session import prepare
 from wattscope.sources import archive
 
 D1 = date(2026, 8, 21)
@@ -123,3 +125,22 @@ def test_only_changed_days_run_again(spark, setup, events):
     assert changed() == [D1, D3] and summary()[21, "A"] == 100 and changed() == []
     Path(root, "feed", f"daily_reference_{D1}.csv").rename(Path(root, "kept"))
     assert changed() == [D1] and (21, "A") not in summary() and changed() == []
+
+
+def test_given_tables_are_worked_through_once(spark, monkeypatch):
+    """The job's summary with alerts makes and decodes its records once and derives plants and expectations once."""
+    calls = []
+    for owner, name in ((bed, "raw_records"), (bed, "plants"), (bed, "daily_reference"), (telemetry, "parse"), (stream_catalog, "read_days"), (daily, "read_days")):
+        real = getattr(owner, name)
+        monkeypatch.setattr(owner, name, lambda *a, _real=real, _name=name, **kw: calls.append(_name) or _real(*a, **kw))
+    assert stream_catalog.daily_job_summary(prepare(spark), "/root/testdata/sf0.001").count() > 0
+    assert sorted(calls) == ["daily_reference", "parse", "plants", "raw_records", "read_days"]
+
+
+def test_events_already_read(spark, setup):
+    root, plants, tables = setup
+    put(root, D1, ("A", 1000), ("B", 1600))
+    put(root, D2, ("A", 1000), ("B", 1600))
+    want = run(spark, setup, D1, D2)
+    events = archive.read_days(spark, f"{root}/archive", D1, D2)
+    assert run(spark, (root, plants, daily.DailyTables(f"{root}/again")), D1, D2, events=events) == want

@@ -71,8 +71,11 @@ def _issues(df: DataFrame, stage: str, day: str, problem: str) -> DataFrame:
 def run_days(spark: SparkSession, archive: str, feed_path: str, plants: DataFrame,
              tables: DailyTables, first: date, last: date | None = None,
              alerts: DataFrame | None = None, s: FleetSettings = FleetSettings(),
-             strict: bool = False) -> None:
-    """Reconcile every day of ``[first, last]``. With ``strict`` any issue raises at the end."""
+             strict: bool = False, events: DataFrame | None = None) -> None:
+    """Reconcile every day of ``[first, last]``. With ``strict`` any issue raises at the end.
+
+    ``events`` are what ``read_days`` has of these days, if the caller has read it already.
+    """
     last = last or first
     active = plants.where("active")
     dates = spark.range(1).select(F.explode(F.sequence(F.lit(first), F.lit(last))).alias("simulation_date"))
@@ -86,7 +89,7 @@ def run_days(spark: SparkSession, archive: str, feed_path: str, plants: DataFram
                               "simulation_date", "left_anti").withColumn("problem", F.lit("FEED_MISSING")))
 
     # Each stage is a table the next one reads: lost executors repeat one stage, not the run.
-    actuals = energy.plant_actuals(read_days(spark, archive, first, last), s)
+    actuals = energy.plant_actuals(read_days(spark, archive, first, last) if events is None else events, s)
     _replace_days(actuals, dates, tables.actuals)
     day = F.col("simulation_date")
     in_range = day.between(F.lit(first), F.lit(last))
@@ -110,7 +113,7 @@ def run_days(spark: SparkSession, archive: str, feed_path: str, plants: DataFram
                  .join(refused, "simulation_date", "left_anti"))
 
     counts = reconcile.alert_counts(alerts) if alerts is not None else None
-    reconciled = reconcile.reconcile(reference, actuals.join(refused, "simulation_date", "left_anti"), counts)
+    reconciled = materialize(reconcile.reconcile(reference, actuals.join(refused, "simulation_date", "left_anti"), counts), "reconciled")
     _replace_days(reconcile.publishable(reconciled), dates, tables.summary)
     problems = _issues(reconcile.remarks(reconciled, "problems"), "reconcile", "simulation_date", "remark")
 

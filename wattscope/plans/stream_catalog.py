@@ -14,7 +14,7 @@ from wattscope import schema
 from wattscope.operators import energy, incidents, lifecycle, metrics, monitor, quality, reconcile, registry, telemetry
 from wattscope.plans import daily
 from wattscope.plans import testbed as bed
-from wattscope.session import new_folder
+from wattscope.session import materialize, new_folder
 from wattscope.settings import FleetSettings
 from wattscope.sources import feed_csv
 from wattscope.sources.archive import expire_day, fold_day, read_days, write_archive
@@ -218,23 +218,42 @@ def stream_state(spark, d):
     return state.where("alert_type is not null").drop("heard_at").withColumn("keys_twice", twice)
 
 
-def _daily_run(spark, d, alerts=None) -> DataFrame:
-    return _daily_tables(spark, d, alerts)[0]
+def _daily_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The plants, all of them in service, and the expectations. A row per plant (and day), derived from all
+    events and customers: written down, as every step of the daily job asks for them."""
+    plants = materialize(bed.plants(spark, sf_dir), "plants")
+    return plants.withColumn("active", F.lit(True)), materialize(bed.daily_reference(spark, sf_dir, plants), "reference")
 
 
-def _daily_tables(spark, d, alerts=None) -> tuple[DataFrame, DataFrame]:
-    """Feed files and archive in, published summaries out, for the whole month in one run."""
+def _landed_days(spark: SparkSession, work: str) -> tuple[date, date]:
+    """``_first_and_last`` of landed records: each first copy arrives at its event's own instant."""
+    day = F.to_date("timestamp")
+    landed = spark.read.schema(schema.RAW_RECORD).parquet(f"{work}/records").where(F.col("offset") < bed.REPEAT_OFFSET)
+    return tuple(landed.agg(F.min(day), F.max(day)).first())
+
+
+def _daily_tables(spark, d, with_alerts: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Feed files and archive in, published summaries out, for the whole month in one run. The alerts of the
+    month, if it counts them, come from the archive too: records are made and decoded once."""
     work = new_folder(spark, "daily")
     archive = _archived(spark, d, work)
-    feed_csv.write_feed(bed.daily_reference(spark, d), f"{work}/feed")
+    first, last = _landed_days(spark, work)
+    plants, reference = _daily_inputs(spark, d)
+    feed_csv.write_feed(reference, f"{work}/feed")
+    alerts = events = None
+    if with_alerts:
+        # Copies are taken out once, for the alerts and the meters.
+        events = materialize(read_days(spark, archive, first, last).select(
+            *energy.METER, "active_power_kw", "energy_today_kwh", "irradiance_wm2", "status", "availability", "event_time", "kafka_offset"), "events")
+        inverters = registry.inverter_reference(bed.inverters(spark, d))
+        alerts = incidents.priced_alerts(incidents.sustained_runs(events, inverters, 86400, S), reference, S)
     tables = daily.DailyTables(f"{work}/tables")
-    plants = bed.plants(spark, d).withColumn("active", F.lit(True))
-    daily.run_days(spark, archive, f"{work}/feed", plants, tables, *_first_and_last(spark, d), alerts, S)
+    daily.run_days(spark, archive, f"{work}/feed", plants, tables, first, last, alerts, S, events=events)
     return daily.read_summary(spark, tables), daily.issues(spark, tables)
 
 
 def daily_job(spark, d):
-    return reconcile.totals(_daily_run(spark, d))
+    return reconcile.totals(_daily_tables(spark, d)[0])
 
 
 def daily_job_rerun(spark, d):
@@ -244,9 +263,9 @@ def daily_job_rerun(spark, d):
     first, last = _first_and_last(spark, d)
     records = bed.raw_records(spark, d)
     late = F.date_trunc("day", "timestamp").eqNullSafe(F.lit(first + timedelta(4)).cast("timestamp")) & (F.hour("timestamp") >= 18)
-    feed_csv.write_feed(bed.daily_reference(spark, d), f"{work}/feed")
+    plants, reference = _daily_inputs(spark, d)
+    feed_csv.write_feed(reference, f"{work}/feed")
     tables = daily.DailyTables(f"{work}/tables")
-    plants = bed.plants(spark, d).withColumn("active", F.lit(True))
     ran = []
     for part in (records.where(~late), records.where(late)):
         part.write.mode("append").parquet(f"{work}/records")
@@ -282,9 +301,7 @@ def daily_job_issues(spark, d):
 
 def daily_job_summary(spark, d):
     """The published rows, with the alerts of each plant and day counted."""
-    inverters = registry.inverter_reference(bed.inverters(spark, d))
-    runs = incidents.sustained_runs(telemetry.trusted(telemetry.parse(bed.raw_records(spark, d))), inverters, 86400, S)
-    return _daily_run(spark, d, incidents.priced_alerts(runs, bed.daily_reference(spark, d), S))
+    return _daily_tables(spark, d, with_alerts=True)[0]
 
 
 STREAMS = (stream_valid, stream_windowed_metrics, stream_sliding_metrics, stream_quarantine, stream_quarantine_rate,

@@ -133,16 +133,16 @@ def days(spark: SparkSession, sf_dir: str) -> Column:
             .agg(F.sequence(F.min(day), F.max(day)).alias("days")).scalar())
 
 
-def _expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = plants(spark, sf_dir).withColumn("d", F.explode(days(spark, sf_dir)))
+def _expectations(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> DataFrame:
+    p = (plants(spark, sf_dir) if known is None else known).withColumn("d", F.explode(days(spark, sf_dir)))
     # One day's file lacks the plants of one region.
     return p.where(~((F.col("n_regionkey") == 2) & (F.dayofmonth("d") == 13)))
 
 
-def daily_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The loaded expectation feed: a row per plant and day."""
+def daily_reference(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> DataFrame:
+    """The loaded expectation feed: a row per plant and day. ``known`` are the plants, if they have been derived."""
     nth = F.dayofmonth("d")
-    return _expectations(spark, sf_dir).select(
+    return _expectations(spark, sf_dir, known).select(
         F.col("d").alias("simulation_date"), "plant_id",
         F.col("capacity_kw").alias("plant_capacity_kw"),
         F.round(F.col("capacity_kw") * (0.3 + 0.04 * nth), 3).alias("expected_generation_kwh"),
