@@ -89,6 +89,34 @@ def test_suffix_sort():
         assert parts == sorted(parts)
 
 
+def alike():
+    """Two different texts of 400 bytes with the same 96-gram as anchor, and equal polynomial hashes whatever the (odd) base:
+    their difference is a product of 1 - x^k that is divisible by 2^64."""
+    d = np.ones(1, int)
+    for step in (*[1] * 8, 4, 8, 16):
+        d = np.convolve(d, np.r_[1, np.zeros(step - 1, int), -1])
+    heads = np.full((2, 8 * (len(d) - 1) + 1), 32)
+    heads[0, ::8] += np.maximum(d, 0)
+    heads[1, ::8] += np.maximum(-d, 0)
+    rng = random.Random(1)
+    while True:
+        tail = "".join(rng.choice("cdefghij") for _ in range(400 - heads.shape[1]))
+        texts = ["".join(map(chr, h)) + tail for h in heads]
+        (at, _, _, g, _), (at2, _, _, g2, _) = (next(suffix_dedup.anchors(t.encode(), 400, 96)) for t in texts)
+        if len(at) == len(at2) == 1 and at[0] == at2[0] and g[0] == g2[0]:
+            return texts
+
+
+@pytest.mark.parametrize("most_classes", [20_000, 1])
+def test_texts_of_equal_hashes(spark, most_classes):
+    one, other = alike()
+    assert len({hashing.prefix(np.frombuffer(t.encode(), np.uint8), b)[-1] for t in (one, other) for b in range(3)}) == 3
+    rows = [(1, one), (2, other)]
+    assert run(spark, rows, most_classes=most_classes) == brute(rows, 400)
+    rows = [(1, one), (2, "before " + one), (3, other), (4, other + " behind"), (5, "x" + other)]
+    assert run(spark, rows, most_classes=most_classes) == brute(rows, 400)
+
+
 def test_collisions_are_noticed(monkeypatch):
     members = [(1, 0, 5, b"abcdefghijklmnop"), (1, 0, 5, b"abcdefghijklmnoq"), (1, 0, 5, b"zbcdefghijklmnoq"), (2, 0, 5, b"abcdefghijklmnop")]
     want = [f.tolist() for f in suffix_dedup.repeated_windows(members, 12)]
