@@ -117,6 +117,26 @@ def test_texts_of_equal_hashes(spark, most_classes):
     assert run(spark, rows, most_classes=most_classes) == brute(rows, 400)
 
 
+def test_hot_gram_is_split(spark):
+    """The classes of a k-gram that very many have are joined by several tasks."""
+    small = {"skewJoin.skewedPartitionThresholdInBytes": "20000", "skewJoin.skewedPartitionFactor": "2", "advisoryPartitionSizeInBytes": "20000"}
+    before = {k: spark.conf.get(f"spark.sql.adaptive.{k}") for k in small} | {"autoBroadcastJoinThreshold": spark.conf.get("spark.sql.autoBroadcastJoinThreshold")}
+    for k, v in small.items():
+        spark.conf.set(f"spark.sql.adaptive.{k}", v)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        one = "named_struct('k1', id, 'k2', id, 'at', 0, 'lo', 0, 'hi', 0) as one"
+        classes = suffix_dedup.materialize(spark.range(0, 30_000, 1, 8).selectExpr("if(id < 20000, 0, id div 2) as g", "cast(string(id) as binary) as c", "1L as n", one), "t")
+        got = suffix_dedup.contested(classes)
+        rows = got.collect()
+        assert len(rows) == 30_000 and {r["classes"] for r in rows} == {2, 20_000}
+        assert "SortMergeJoin(skew=true)" in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before.pop("autoBroadcastJoinThreshold"))
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.adaptive.{k}", v)
+
+
 def test_collisions_are_noticed(monkeypatch):
     members = [(1, 0, 5, b"abcdefghijklmnop"), (1, 0, 5, b"abcdefghijklmnoq"), (1, 0, 5, b"zbcdefghijklmnoq"), (2, 0, 5, b"abcdefghijklmnop")]
     want = [f.tolist() for f in suffix_dedup.repeated_windows(members, 12)]
