@@ -137,6 +137,25 @@ def test_hot_gram_is_split(spark):
             spark.conf.set(f"spark.sql.adaptive.{k}", v)
 
 
+@pytest.mark.parametrize("most_classes", [20_000, 2])
+def test_common_passage_is_cut(spark, monkeypatch, most_classes):
+    """A passage that very many documents have does not bring them all to one task of the sort."""
+    rng = random.Random(6)
+    own = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    rows = [(k, own(60) + passage + own(60)) for k in range(300) for passage in [" all of them have this line in common " if k % 3 else "this, of 23 bytes, is no"]]
+    rows += [(400 + k, rows[k % 2][1][:100]) for k in range(3)]
+    biggest, sort = [], suffix_dedup.sorted_windows
+
+    def spy(members, *args):
+        biggest.append(max((r["count"] for r in members.groupBy("g").count().collect()), default=0))
+        return sort(members, *args)
+
+    monkeypatch.setattr(suffix_dedup, "sorted_windows", spy)
+    monkeypatch.setattr(suffix_dedup, "CROWD", 5)
+    assert run(spark, rows, length=24, gram=6, most_classes=most_classes) == brute(rows, 24)
+    assert len(biggest) == 2 and max(biggest) <= 16
+
+
 def test_collisions_are_noticed(monkeypatch):
     members = [(1, 0, 5, b"abcdefghijklmnop"), (1, 0, 5, b"abcdefghijklmnoq"), (1, 0, 5, b"zbcdefghijklmnoq"), (2, 0, 5, b"abcdefghijklmnop")]
     want = [f.tolist() for f in suffix_dedup.repeated_windows(members, 12)]
