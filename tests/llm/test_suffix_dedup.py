@@ -170,3 +170,37 @@ def test_collisions_are_noticed(monkeypatch):
     monkeypatch.setattr(hashing, "prefix", lambda x, base=0: honest(x * 0, base))
     with pytest.raises(RuntimeError):
         suffix_dedup.repeated_windows(members, 12)
+
+
+def test_order_is_verified(monkeypatch):
+    """A collision that only spoils the order keeps equal windows apart."""
+    class Careless(suffix_dedup.Suffixes):
+        def __init__(self, texts, length, base):
+            super().__init__(texts, length, base)
+            self.careless = base == 0
+
+        def common(self, a, b):
+            n = super().common(a, b)
+            return np.where(n < self.length, self.length - 1, n) if self.careless else n
+
+    monkeypatch.setattr(suffix_dedup, "Suffixes", Careless)
+    members = [(1, 0, 1, b"abcdefghijkl"), (1, 0, 1, b"zbcdefghijkl"), (1, 0, 1, b"abcdefghijkl")]
+    assert [f.tolist() for f in suffix_dedup.repeated_windows(members, 12)] == [[True], [False], [True]]
+
+
+@pytest.mark.parametrize("stretch", [1, 7, 2_000_000])
+def test_every_claim_of_a_sort(monkeypatch, stretch):
+    monkeypatch.setattr(suffix_dedup, "STRETCH", stretch)
+    rng = random.Random(8)
+    texts = [bytes(rng.choice(b"ab") for _ in range(30)) for _ in range(20)]
+    s = suffix_dedup.Suffixes(texts, 12, 0)
+    at = np.concatenate([f + np.arange(10) for f in s.first[:-1]])
+    at = at[s.sort(at, np.zeros(len(at), int))]
+    a, b = at[:-1], at[1:]
+    n = s.common(a, b)
+    assert (n < 12).any() and (n == 12).any()
+    s.verify(a, b, n)
+    for k in range(len(n)):
+        for wrong in {int(n[k]) - 1, int(n[k]) + 1} & set(range(13)):
+            with pytest.raises(suffix_dedup.Collision):
+                s.verify(a, b, np.r_[n[:k], wrong, n[k + 1:]])
