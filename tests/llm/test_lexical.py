@@ -69,3 +69,23 @@ def test_a_pair_bound_is_below_the_sum_and_never_below_a_score():
     assert lexical._bound(((0, 1), (1, 1)), single, joint) == 70 and lexical._bound(((0, 1), (1, 1)), single, {}) == 60
     assert lexical._bound(((0, 3), (1, 1)), single, joint) == 170 and lexical._bound(((0, 1),), single, joint) == 50
     assert lexical._bound(((0, 1), (2, 1)), single, joint) == 50
+
+
+@pytest.mark.parametrize("most_sent", [0, 100])
+def test_a_document_moves_as_one_row_of_the_items_terms(spark, most_sent):
+    """Terms of no item are dropped where they are counted, or by the join where there are too many to be sent."""
+    rows = [(5, "the cat. The dog, THE end"), (6, "nothing asked"), (7, "..."), (8, None), (None, "cat"), (5, "cat")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    wanted = spark.createDataFrame([("the", 40), ("cat", 7), ("absent", 3)], "term string, t long")
+    held = lexical.postings(docs, wanted, most_sent).collect()
+    assert sorted((r["doc_id"], r["n"], sorted(zip(r["t"], r["tf"], strict=True))) for r in held) == [(5, 1, [(7, 1)]), (5, 6, [(7, 1), (40, 3)]), (6, 2, [])]
+    items = [(1, "the cat"), (2, "asked nothing dog"), (3, "absent")]
+    assert run(spark, rows, items, most_sent=most_sent) == brute(rows, items)
+
+
+def test_any_character_parts_terms_alike(spark):
+    """Documents are split by Arrow, items by Spark."""
+    text = "".join(f"a{chr(c)}B" for c in [*range(256), 0x130, 0x212A, 0x2028, 0x3000, 0xFFFD, 0x1F600]) + " é"
+    docs = [(1, text), (2, text[::-1]), (3, " " + text.lower() + "\n"), (4, "ab B a é")]
+    items = [(k, w) for k, w in enumerate(terms(text))]
+    assert run(spark, docs, items) == brute(docs, items)

@@ -1,8 +1,8 @@
 """Ranked lexical search: the best documents of each item, by MaxScore with bounds for pairs of terms.
 
-Documents are read once into a written table of postings of the items' terms. Items are then taken in blocks of
-bounded size. For a block, postings with their impacts are dealt over shards by document; every shard builds the
-lists of its terms and, for the pairs of terms that items look up together, intersection lists with the largest
+Documents are read once into a written table of the numbers and counts of the items' terms, a row for each document.
+Items are then taken in blocks of bounded size. For a block, postings with their impacts are dealt over shards by
+document; every shard builds the lists of its terms and, for the pairs of terms that items look up together, intersection lists with the largest
 joint impact. A list also names its best joint impacts: over all shards they give each item a score that 20
 documents reach for sure, the first threshold.
 
@@ -35,11 +35,15 @@ from wattscope.llm.common import materialize, new_folder
 
 #: Fixed: what a term is, and the constants of a score.
 TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+#: What is between terms. Documents are split in the tasks that count: Spark's regexp_extract_all took seven times as long.
+GAP = TERM.replace("^", "")
 UNIT, SATURATION, LENGTH_SHARE = 1000, 12, 25
 #: Items of a block; their terms are sent to every task.
 BLOCK = 512
 #: Postings of a shard, about.
 SHARD = 400_000
+#: Terms of all items that are sent to every task; more of them meet the documents' terms in a join.
+MOST_SENT = 200_000
 LISTS = "shard int, a int, b int, ids array<long>, docs array<long>, s array<long>, top long, best array<long>"
 
 
@@ -47,28 +51,42 @@ def _terms(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(TERM), F.lit(0))
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document's terms with their counts, and an empty term with its length."""
+def _counted(batches: Iterator[pa.RecordBatch], terms: pa.Array | None = None, numbers: pa.Array | None = None) -> Iterator[pa.RecordBatch]:
+    """Each document with a term: its length, and the numbers of its terms that are in ``terms`` with their counts; without ``terms`` all of them, as text."""
     for b in batches:
-        terms, counts, lengths, sizes = [], [], [], []
-        for words in b.column("words").to_pylist():
-            found = Counter(words)
-            terms += ["", *found]
-            counts += [len(words), *found.values()]
-            sizes.append(len(found) + 1)
-            lengths.append(len(words))
-        sizes = np.array(sizes, np.int64)
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        yield pa.RecordBatch.from_arrays([pc.take(b.column("row"), row), pc.take(b.column("doc_id"), row), pa.array(np.array(lengths, np.int64)[row]),
-                                          pa.array(terms, pa.string()), pa.array(counts, pa.int64())], ["row", "doc_id", "n", "term", "tf"])
-
-
-def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """``row, doc_id, n, term, tf`` of the terms in ``terms`` (term, each once), written; the empty term has every document with a term."""
-    words = (docs.where("doc_id is not null").select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _terms(F.col("text")).alias("words"))
-             .where(F.size("words") > 0))
-    every = words.mapInArrow(_counted, "row long, doc_id long, n long, term string, tf long")
-    return materialize(every.join(terms.select("term"), "term").select("row", "doc_id", "n", "term", "tf"), "postings")
+        words = pc.split_pattern_regex(pc.ascii_lower(b.column("text")), pattern=GAP)
+        row, word = pc.list_parent_indices(words).to_numpy(), words.flatten()
+        # A gap at either end of a text leaves an empty word.
+        lengths = np.bincount(row[pc.not_equal(word, "").to_numpy(zero_copy_only=False)], minlength=len(b))
+        known = pc.unique(word.filter(pc.not_equal(word, ""))) if terms is None else terms
+        place = pc.index_in(word, value_set=known)
+        met = place.is_valid().to_numpy(zero_copy_only=False)
+        size = max(len(known), 1)
+        key, tf = np.unique(row[met] * size + place.drop_null().to_numpy(), return_counts=True)
+        cuts = pa.array(np.searchsorted(key, np.arange(len(b) + 1) * size), pa.int32())
+        found = (known if terms is None else numbers).take(pa.array(key % size))
+        yield pa.RecordBatch.from_arrays(
+            [b.column("row"), b.column("doc_id"), pa.array(lengths), pa.ListArray.from_arrays(cuts, found),
+             pa.ListArray.from_arrays(cuts, pa.array(tf))], ["row", "doc_id", "n", "t", "tf"]).filter(pa.array(lengths > 0))
+
+
+def postings(docs: DataFrame, wanted: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
+    """``row, doc_id, n, t, tf``, written: a row for each document with a term, its length, and the numbers and counts of its terms in ``wanted`` (term, t).
+
+    Most terms of a document are in no item, so they are dropped where they are counted, while the wanted ones are few enough to be sent to every task.
+    """
+    texts = docs.where("doc_id is not null and text is not null").select(
+        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.make_valid_utf8("text").alias("text"))
+    if wanted.count() <= most_sent:
+        rows = wanted.collect()
+        terms, numbers = pa.array([r["term"] for r in rows], pa.string()), pa.array([r["t"] for r in rows], pa.int64())
+        return materialize(texts.mapInArrow(lambda x: _counted(x, terms, numbers), "row long, doc_id long, n long, t array<long>, tf array<long>"), "postings")
+    every = materialize(texts.mapInArrow(_counted, "row long, doc_id long, n long, t array<string>, tf array<long>"), "every-term")
+    met = (every.select("row", F.inline(F.arrays_zip(F.col("t").alias("term"), F.col("tf").alias("tf")))).join(wanted, "term")
+           .groupBy("row").agg(F.collect_list(F.struct("t", "tf")).alias("met")))
+    none = F.array().cast("array<long>")
+    return materialize(every.select("row", "doc_id", "n").join(met, "row", "left")
+                       .select("row", "doc_id", "n", F.coalesce("met.t", none).alias("t"), F.coalesce("met.tf", none).alias("tf")), "postings")
 
 
 class _Items:
@@ -77,9 +95,10 @@ class _Items:
     Pairs are neighbours by weight, so frequent terms meet each other and the rare ones each other.
     """
 
-    def __init__(self, rows: list, weights: dict[str, int]):
+    def __init__(self, rows: list, weights: dict[str, int], numbers: dict[str, int]):
         self.number = {t: i for i, t in enumerate(sorted(weights))}
         self.weight = np.array([weights[t] for t in sorted(weights)], np.int64)
+        self.t = np.array([numbers[t] for t in sorted(weights)], np.int64)
         self.ids, self.units = [], []
         for r in rows:
             counts = Counter(t for t in r["words"] if t in self.number)
@@ -114,11 +133,28 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def _impacts(batches: Iterator[pa.RecordBatch], items: _Items, n_docs: int, total: int) -> Iterator[pa.RecordBatch]:
+    """Each document's terms of the block by number, with their impacts."""
+    known = pa.array(items.t, pa.int64())
+    for b in batches:
+        parent, tf = pc.list_parent_indices(b.column("t")).to_numpy(), b.column("tf").flatten().to_numpy()
+        place = pc.index_in(b.column("t").flatten(), value_set=known)
+        met = place.is_valid().to_numpy(zero_copy_only=False)
+        term, parent, tf = place.drop_null().to_numpy(), parent[met], tf[met]
+        m = 100 - LENGTH_SHARE + LENGTH_SHARE * b.column("n").to_numpy() * n_docs // total
+        s = items.weight[term] * (1_000_000_000 * tf // (UNIT * tf + SATURATION * m[parent]))
+        cuts = pa.array(np.searchsorted(parent, np.arange(len(b) + 1)), pa.int32())
+        yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.ListArray.from_arrays(cuts, pa.array(term)), pa.ListArray.from_arrays(cuts, pa.array(s))],
+                                         ["row", "doc_id", "t", "s"]).filter(pa.array(np.diff(cuts) > 0))
+
+
 def _lists(batches: Iterator[pa.RecordBatch], items: _Items, k: int) -> Iterator[pa.RecordBatch]:
     """The lists of terms and of pairs of each shard; ``b`` is -1 for a single term. Pair lists keep their figures, not their members."""
     for t in _groups(batches):
-        shard, term = t.column("shard")[0].as_py(), t.column("t").to_numpy()
-        row, doc, s = t.column("row").to_numpy(), t.column("doc_id").to_numpy(), t.column("s").to_numpy()
+        shard, terms = t.column("shard")[0].as_py(), t.column("t").combine_chunks()
+        at = pc.list_parent_indices(terms).to_numpy()
+        row, doc = t.column("row").to_numpy()[at], t.column("doc_id").to_numpy()[at]
+        term, s = terms.flatten().to_numpy(), t.column("s").combine_chunks().flatten().to_numpy()
         order = np.lexsort((row, term))
         term, row, doc, s = term[order], row[order], doc[order], s[order]
         lo, hi = np.searchsorted(term, np.arange(len(items.weight))), np.searchsorted(term, np.arange(len(items.weight)), side="right")
@@ -202,7 +238,7 @@ def _answers(batches: Iterator[pa.RecordBatch], items: _Items, k: int) -> Iterat
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["item_id", "row", "doc_id", "score"])
 
 
-def search(docs: DataFrame, items: DataFrame, k: int = 20, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, k: int = 20, block: int = BLOCK, shard: int = SHARD, most_sent: int = MOST_SENT) -> DataFrame:
     """The ``k`` best documents of ``docs`` (doc_id, text) for each of ``items`` (item_id, text): ``item_id, rank, doc_id, score``."""
     spark = docs.sparkSession
     schema = "item_id long, rank int, doc_id long, score long"
@@ -211,23 +247,20 @@ def search(docs: DataFrame, items: DataFrame, k: int = 20, block: int = BLOCK, s
     n_items = asked.count()
     if not n_items:
         return spark.createDataFrame([], schema)
-    # Written, so that its size is known before the join with all terms of all documents is planned.
-    wanted = materialize(asked.select(F.explode(F.concat("words", F.array(F.lit("")))).alias("term")).distinct(), "wanted")
-    held = postings(docs, wanted)
-    n_docs, total, n_rows = held.agg(F.count_if(F.col("term") == ""), F.sum(F.when(F.col("term") == "", F.col("n"))), F.count(F.lit(1))).first()
-    weights = materialize(held.where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-                          .select("term", F.floor(1000 * F.log((2.0 * F.lit(n_docs or 0) + 2) / (2 * F.col("df") + 1))).cast("long").alias("w")), "weights")
+    # Written, so that a term keeps its number.
+    wanted = materialize(asked.select(F.explode("words").alias("term")).distinct().withColumn("t", F.monotonically_increasing_id()), "wanted")
+    held = postings(docs, wanted, most_sent)
+    n_docs, total, n_rows = held.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(1)), F.coalesce(F.sum(F.size("t")), F.lit(0))).first()
+    weights = materialize(held.select(F.explode("t").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+                          .select("t", F.floor(1000 * F.log((2.0 * F.lit(n_docs) + 2) / (2 * F.col("df") + 1))).cast("long").alias("w")), "weights")
     path, blocks, shards = new_folder(spark, "ranked"), -(-n_items // block), max(1, -(-n_rows // shard))
-    m = F.lit(100 - LENGTH_SHARE) + F.expr(f"({LENGTH_SHARE} * n * {n_docs or 0}L) div {total or 1}L")
-    impact = F.expr(f"w * ((1000000000 * tf) div ({UNIT} * tf + {SATURATION} * m))")
     best = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id", "row")
     for b in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        mine = part.select(F.explode("words").alias("term")).distinct().join(weights, "term")
-        of = _Items(part.collect(), {r["term"]: r["w"] for r in mine.collect()})
-        named = spark.createDataFrame([(t, i, int(of.weight[i])) for t, i in of.number.items()], "term string, t int, w long")
-        dealt = (held.join(named, "term").withColumn("m", m).select(F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"), "t", "row", "doc_id", impact.alias("s"))
-                 .repartition("shard").sortWithinPartitions("shard"))
+        mine = part.select(F.explode("words").alias("term")).distinct().join(wanted, "term").join(weights, "t").collect()
+        of = _Items(part.collect(), {r["term"]: r["w"] for r in mine}, {r["term"]: r["t"] for r in mine})
+        dealt = (held.mapInArrow(lambda x, of=of: _impacts(x, of, n_docs, total), "row long, doc_id long, t array<int>, s array<long>")
+                 .withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")).repartition("shard").sortWithinPartitions("shard"))
         lists = materialize(dealt.mapInArrow(lambda x, of=of: _lists(x, of, k), LISTS), "lists")
         # Of each list and shard the best k; a window keeps k of them in every task.
         top = Window.partitionBy("a", "b").orderBy(F.desc("x"))
