@@ -127,6 +127,23 @@ def test_banding_meets_the_recall():
     assert jaccard.banding(0.8, 0.999, rows=3)[1] == 3
 
 
+def test_sets_are_signed_together_as_each_alone():
+    """A band's hash is that of the least values of its rows, whatever other sets are signed with it."""
+    rng = np.random.default_rng(6)
+    sets = [rng.integers(1 << 64, size=k, dtype=np.uint64) for k in (1, 300, 2, 70, 1)]
+    hasher = jaccard.MinHash(4, 3)
+    want = []
+    for found in sets:
+        least = [min((int(x) * int(a) + int(b)) % 2 ** 64 >> 20 for x in found) for a, b in zip(hasher.a, hasher.b, strict=True)]
+        out = np.arange(4, dtype=np.uint64)
+        for r in range(3):
+            out = jaccard.hashing.mix(out + np.array(least[r::3], np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        want.append(out.view(np.int64).tolist())
+    assert hasher.bands_of(sets).tolist() == want and hasher.bands_of([]).tolist() == []
+    assert [hasher.bands_of(s).tolist() for s in jaccard._some(sets, 1)] == [[w] for w in want]
+    assert [len(s) for s in jaccard._some([*sets, sets[0][:0]], 302)] == [3, 3]
+
+
 def test_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     got = sorted(map(tuple, catalog.op7_jaccard(spark, "/root/testdata/sf0.001").collect()), key=str)

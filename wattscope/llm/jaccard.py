@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from math import ceil, log
 
 import numpy as np
@@ -42,6 +42,8 @@ from wattscope.llm.components import connected_components
 WORD = re.compile(r"[^\W_]+")
 #: Nodes and shingles of a block; a group within them is verified in one piece.
 BLOCK_NODES, BLOCK_SHINGLES = 256, 500_000
+#: Shingles that are signed at once, about.
+SIGNED = 100_000
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -78,24 +80,46 @@ class MinHash:
         self.a = rng.integers(1 << 62, size=bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.b = rng.integers(1 << 62, size=bands * rows, dtype=np.uint64)
 
-    def bands_of(self, found: np.ndarray) -> np.ndarray:
-        """One hash for each band of a non-empty set."""
-        least = np.array([((found * a + b) >> np.uint64(20)).min() for a, b in zip(self.a, self.b, strict=True)])
+    def bands_of(self, sets: list[np.ndarray]) -> np.ndarray:
+        """For each of some non-empty sets a row with one hash for each band. A hash function goes over all sets at once: calls for one set cost more than its shingles."""
+        if not sets:
+            return np.empty((0, self.bands), np.int64)
+        every, starts = np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
+        hashed, least = np.empty_like(every), np.empty((len(self.a), len(sets)), np.uint64)
+        for k, (a, b) in enumerate(zip(self.a, self.b, strict=True)):
+            np.multiply(every, a, out=hashed)
+            np.add(hashed, b, out=hashed)
+            least[k] = np.minimum.reduceat(hashed, starts)
+        least >>= np.uint64(20)  # weak low bits; a shift keeps the order, so it can follow the minimum
         out = np.arange(self.bands, dtype=np.uint64)
         for r in range(self.rows):
-            out = hashing.mix(out + least[r::self.rows] * np.uint64(0x9E3779B97F4A7C15))
+            out = hashing.mix(out + least[r::self.rows].T * np.uint64(0x9E3779B97F4A7C15))
         return out.view(np.int64)
 
 
+def _some(sets: Iterable[np.ndarray], most: int) -> Iterator[list[np.ndarray]]:
+    """``sets`` in lists of about ``most`` shingles together."""
+    held: list[np.ndarray] = []
+    size = 0
+    for found in sets:
+        held.append(found)
+        size += len(found)
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     """``doc_id, text_hash, node, size, bands``; node is null for a text without words."""
     def sign(batches):
         hasher = MinHash(bands, rows)
         for batch in batches:
             ids, out = batch.column("doc_id"), []
-            for text in batch.column("text").to_pylist():
-                found = shingles(text, n)
-                out.append((node_name(found), len(found), hasher.bands_of(found)) if len(found) else (None, 0, None))
+            for sets in _some((shingles(text, n) for text in batch.column("text").to_pylist()), SIGNED):
+                signed = iter(hasher.bands_of([found for found in sets if len(found)]))
+                out += [(node_name(found), len(found), next(signed)) if len(found) else (None, 0, None) for found in sets]
             yield pa.RecordBatch.from_arrays([ids, batch.column("text_hash"), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64()),
                                               pa.array([x[2] for x in out], pa.list_(pa.int64()))], ["doc_id", "text_hash", "node", "size", "bands"])
 
