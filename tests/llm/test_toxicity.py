@@ -98,3 +98,33 @@ def test_scores_are_sums_of_the_weights_of_words_and_beginnings(spark):
         words = {w.lower() for w in (t or "").split()}
         z = -1.0 + ("abcdefg" in words) + 0.5 * any(w.startswith("abcd") for w in words - {"abcdwhole"}) + 0.25 * any(w.startswith("abcde") for w in words) + 2.0 * ("xyz" in words)
         assert got[k] == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+def test_texts_scored_together_score_as_each_alone():
+    """By definition: a text's features, in the order of their names, summed."""
+    rng = random.Random(5)
+    model = {"weights": {f: rng.random() for f in ["abcdefg", "abcd-", "abcde-", "abcdefg-", "straß-", "straße", "xyz", "½", "σας", "abcdwhole"]}, "intercept": -1.0, "whole": frozenset(["abcdwhole", "abcdegone"])}
+    words = ["abcdefg", "Abcdefgh", "abcd", "abc", "XYZ", "abcdwhole", "abcdegone", "Straßen", "straße", "½", "ΣΑΣ", "a1abcde", "_xyz_", "\u2028", "0", "--"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(9))) for _ in range(300)] + ["", None, "xyz", " xyz "]
+    scorer = toxicity.Scorer(model)
+    want = []
+    for t in texts:
+        found = toxicity.features(toxicity.WORD.findall((t or "").lower()), model["whole"]) & model["weights"].keys()
+        z = model["intercept"] + sum(model["weights"][f] for f in sorted(found))
+        want.append(float(1 / (1 + np.exp(-np.clip(z, -500, 500)))))
+    assert scorer.scores(texts) == want == [scorer(t) for t in texts] and scorer.scores([]) == []
+
+
+def test_any_character_parts_words_alike():
+    """Texts are split by Arrow when scored, and by Python when learned from."""
+    held = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    parts = toxicity.pc.match_substring_regex(toxicity.pa.array(held), toxicity.NO_WORD).to_pylist()
+    assert [c for c, x in zip(held, parts, strict=True) if x == bool(toxicity.WORD.match(c))] == []
+
+
+def test_the_sample_is_encoded_once(spark, monkeypatch):
+    written, write = [], toxicity.materialize
+    monkeypatch.setattr(toxicity, "materialize", lambda df, label: written.append(write(df, label)) or written[-1])
+    docs = spark.createDataFrame([(k, f"a vileword {k}" if k % 2 else f"a plain text {k}") for k in range(40)], "doc_id long, text string")
+    assert toxicity.fit(docs, spark.createDataFrame([(k, 1, k % 2) for k in range(40)], LABELS))["pairs"] == 40
+    assert len(written) == 1 and {"found", "lost", "gained"} <= set(written[0].columns)
